@@ -29,13 +29,29 @@ def knn_distance(
     others = right.select(
         F.col(right_id), F.col(right_xy[0]).alias("x"), F.col(right_xy[1]).alias("y")
     )
-    places = T.locations(rows, left_id, dims)
-    tree = T.build(T.locations(others, right_id, dims), dims)
-    mine = T.build(places, dims)
-    if tree is None or mine is None:
+    places = cut(T.locations(rows, left_id, dims))
+    best, k = nearest_sets(places, T.locations(others, right_id, dims), dims, k)
+    if best is None:
         return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn(
             "mean_distance", F.lit(None).cast("double")
         ).drop(*dims)
+    measured = best.selectExpr(*dims, f"{_mean_of_nearest('best', k)} AS mean_distance")
+    weighted = cut(measured.join(places.select(*dims, "w"), dims))
+    return attach(rows, weighted, dims, "w").drop(*dims)
+
+
+def nearest_sets(
+    left: DataFrame, right: DataFrame, dims: list[str], k: int
+) -> tuple[DataFrame | None, int]:
+    """(pid, dims…, best) of left locations: `best` lists (d2, w, pid) of their nearest right
+    locations, closest first, holding at least k rows. Both sides have pid, w, dims.
+
+    Also gives the k used, at most the number of right rows; None when a side is empty.
+    """
+    tree = T.build(right, dims)
+    mine = T.build(left, dims)
+    if tree is None or mine is None:
+        return None, 0
 
     k = min(k, tree.root["w"])
     near = T.nearest(mine.tiles, tree, k)
@@ -44,9 +60,7 @@ def knn_distance(
         near.select(F.col("a").alias("tile"), "b", "bw", "bound", *[f"b{s}" for s in sides]), "tile"
     )
     # the same bound again, now for the single point instead of its whole tile
-    spots = pairs.selectExpr(
-        "*", *[f"{d} AS p{e}_{d}" for d in dims for e in ("lo", "hi")]
-    )
+    spots = pairs.selectExpr("*", *[f"{d} AS p{e}_{d}" for d in dims for e in ("lo", "hi")])
     sure = f"min(CASE WHEN bw >= {k} THEN {T._reach2(dims, 'p', 'b')} END) OVER (PARTITION BY pid)"
     chosen = (
         spots.withColumn("bound", F.expr(f"least(bound, {sure})"))
@@ -61,18 +75,16 @@ def knn_distance(
         share = chosen.groupBy("tile").agg(F.count("*").alias("asked"))
         met = attach(chosen, cut(arrays.join(share, "tile")), ["tile"], "asked")
     else:
-        met = chosen.join(arrays, "tile")
+        met = spread(chosen, "tile").join(spread(arrays, "tile"), "tile")
 
-    found = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w))"
+    found = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w, q.pid AS pid))"
     best = (
         met.withColumn("here", F.struct(*dims))
         .selectExpr("pid", *dims, f"slice(array_sort({found}), 1, {k}) AS best")
         .groupBy("pid", *dims)
         .agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
     )
-    measured = best.selectExpr(*dims, f"{_mean_of_nearest('best', k)} AS mean_distance")
-    weighted = cut(measured.join(places.select(*dims, "w"), dims))
-    return attach(rows, weighted, dims, "w").drop(*dims)
+    return best, k
 
 
 def _mean_of_nearest(best: str, k: int) -> str:
@@ -106,13 +118,14 @@ def radius_counts(tree: T.Tiles, near: DataFrame, eps: float) -> DataFrame:
     whole = near.where("inside").groupBy(F.col("a").alias("tile")).agg(F.sum("bw").alias("n"))
     certain = tree.points.join(whole, "tile").select("pid", "n")
 
-    crossing = spread(near.where("NOT inside").select(F.col("a").alias("tile"), "b"), "tile", "b")
-    theirs = tree.tiles.select(F.col("tile").alias("b"), F.col("pts").alias("others"))
+    crossing = near.where("NOT inside").select(F.col("a").alias("tile"), "b")
+    theirs = spread(tree.tiles.select(F.col("tile").alias("b"), F.col("pts").alias("others")), "b")
     hits = (
         "aggregate(others, 0L, (n, q) -> n + "
         f"if({T.distance2(dims, 'p', 'q')} <= {eps * eps!r}D, q.w, 0L))"
     )
-    counted = crossing.join(tree.tiles.select("tile", "pts"), "tile").join(theirs, "b")
+    mine = crossing.join(tree.tiles.select("tile", "pts"), "tile")
+    counted = spread(mine, "b").join(theirs, "b")
     partial = counted.selectExpr(f"inline(transform(pts, p -> struct(p.pid AS pid, {hits} AS n)))")
     return certain.unionByName(partial).groupBy("pid").agg(F.sum("n").alias("n_neighbours"))
 

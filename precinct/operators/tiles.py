@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from precinct.runtime import BROADCAST_ROWS, cut, small
+from precinct.runtime import BROADCAST_ROWS, cut, small, spread
 
 CAPACITY = 128
 _BITS = 48  # positions per dimension: 2^48 steps over the data's range
@@ -177,7 +177,7 @@ def distance2(dims: list[str], p: str, q: str) -> str:
 def _start(left: DataFrame, tree: Tiles) -> DataFrame:
     """Every left tile paired with the root, whose figures are plain literals."""
     sides = [f"{e}_{d}" for d in tree.dims for e in ("lo", "hi")]
-    return left.selectExpr(
+    return spread(left.select("tile", *sides), "tile").selectExpr(
         "tile AS a",
         *[f"{s} AS a{s}" for s in sides],
         "'' AS b",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,10 +16,28 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 # A table with at most this many narrow rows may be broadcast (a few MB).
 BROADCAST_ROWS = 200_000
 
+# Distinct keys that one task may sort.
+FEW_KEYS = 1_000_000
+
 # A key with more rows than this is handled as hot in `attach`.
 HOT_ROWS = 1_000_000
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder (globs allowed) is there, on any Hadoop file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
+def send_to_workers(module: str) -> None:
+    """Send the Python functions of `module` along with the tasks.
+
+    Executors then need no installed copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage, as the cluster names it.
 
@@ -83,6 +103,22 @@ def attach(
     )
 
 
+def ranked(df: DataFrame, by: list[str], name: str, within: str | None = None) -> DataFrame:
+    """Number the rows of a table of distinct keys 0, 1, … by `by` (apart per `within`).
+
+    A short table is numbered by a window, a long one by range partitions.
+    """
+    df = cut(df)
+    if df.count() <= FEW_KEYS:
+        window = Window.partitionBy(within) if within else Window
+        return df.withColumn(name, F.row_number().over(window.orderBy(*by)).cast("bigint") - 1)
+    if not within:
+        return numbered(df, by, name)
+    rows = numbered(df, [within, *by], name)
+    firsts = rows.groupBy(within).agg(F.min(name).alias("_first"))
+    return rows.join(F.broadcast(firsts), within).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+
 def numbered(df: DataFrame, order_by: list[str] | None = None, name: str = "seq") -> DataFrame:
     """Add 0, 1, 2, … in the order of `order_by` (or in partition order) at scale.
 
