@@ -20,8 +20,7 @@ def blank_to_null(c: Column | str) -> Column:
 def number(c: Column | str) -> Column:
     """A double; text that is not a number, and NaN, give null."""
     text = col(c).cast("string")
-    value = F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    return F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
 
 
 def whole(c: Column | str) -> Column:

@@ -37,34 +37,36 @@ def classify(raw: DataFrame, entity: Entity, validate_coordinates: bool = True)
     Rules are checked in order and a row is charged to the first it fails. A
     required cell must hold text; coordinates must also be numbers.
     """
-    known = [c for c in raw.columns if c in entity.columns]
-    text = raw.select([parse.blank_to_null(F.col(c).cast("string")).alias(c) for c in raw.columns])
-    coordinates = {c for pair in entity.points for c in pair}
-
     def typed(c: str) -> Column:
         kind = entity.columns.get(c, "string")
         if kind == "boolean" and c not in entity.flags:
             return F.col(c).try_cast("boolean")
         return _PARSERS[kind](c) if kind in _PARSERS else F.col(c)
 
-    # bad text in these columns is a null; the row's fate is decided below
+    # three projections, so that no parser is written out twice into one expression
+    columns = raw.columns
+    text = raw.select([parse.blank_to_null(F.col(c).cast("string")).alias(c) for c in columns])
+    parsed = text.select(
+        [typed(c).alias(c) for c in columns]
+        + [F.col(c).isNull().alias(f"_no_{c}") for c in entity.required if c in columns]
+    )
+
+    coordinates = {c for pair in entity.points for c in pair}
     missing = F.lit(False)
     for c in entity.required:
-        if c in known:
-            missing = missing | (typed(c) if c in coordinates else F.col(c)).isNull()
-
+        if c in columns:
+            missing = missing | (F.col(c).isNull() if c in coordinates else F.col(f"_no_{c}"))
     reason = F.when(missing, MISSING)
     if validate_coordinates:
         beyond = F.lit(False)
         for lat, lon in entity.points:
-            if lat in known and lon in known:
-                beyond = beyond | geo.out_of_range(typed(lat), typed(lon))
+            if lat in columns and lon in columns:
+                beyond = beyond | geo.out_of_range(lat, lon)
         reason = reason.when(beyond, BAD_COORDINATES)
     for c in entity.strict_numbers:
-        if c in known:
-            reason = reason.when(typed(c).isNull(), f"invalid_{c}")
-
-    return text.select([typed(c).alias(c) for c in raw.columns] + [reason.alias(REASON)])
+        if c in columns:
+            reason = reason.when(F.col(c).isNull(), f"invalid_{c}")
+    return parsed.select(*columns, reason.alias(REASON))
 
 
 def accepted(classified: DataFrame) -> DataFrame:

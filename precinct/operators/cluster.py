@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precinct.operators import tiles as T
 from precinct.operators.components import connected_components
-from precinct.operators.neighbours import radius_counts
-from precinct.runtime import attach, cut, ranked, send_to_workers, spread
+from precinct.operators.neighbours import nearest_sets, radius_counts
+from precinct.runtime import attach, cut, ranked, send_to_workers, small, spread
 
 NOISE = -1
+# Rows of one block of the pairwise silhouette.
+BLOCK_ROWS = 4_000
+
+send_to_workers(__name__)
 
 
 def dbscan(
@@ -19,14 +27,16 @@ def dbscan(
     """Rows plus `dbscan_label`: 0, 1, … by smallest core row id, −1 for noise.
 
     A point is core with at least `min_samples` rows within `eps`, itself included; a
-    border point joins the lowest-numbered cluster it touches. Tiles are split until
+    border point joins the lowest-numbered cluster it touches. Rows lacking a coordinate
+    are noise. Tiles are split until
     they are narrower than `eps`, so all core points of a tile belong together and the
     graph to contract has tiles, not points, as its nodes.
     """
     places = cut(T.locations(rows, row_id, dims))
     tree = T.build(places, dims, max_diagonal=eps)
+    lost = rows.where(~_all_present(dims)).withColumn("dbscan_label", F.lit(NOISE))
     if tree is None:
-        return rows.withColumn("dbscan_label", F.lit(NOISE)).where(F.lit(False))
+        return lost
     near = cut(T.within(tree.tiles, tree, eps))
     counts = radius_counts(tree, near, eps)
     marked = tree.points.join(counts, "pid").withColumn("core", F.col("n_neighbours") >= min_samples)
@@ -40,7 +50,7 @@ def dbscan(
     )
     labels = _tile_labels(split, near, dims, eps)
     if labels is None:
-        return rows.where(_all_present(dims)).withColumn("dbscan_label", F.lit(NOISE))
+        return rows.withColumn("dbscan_label", F.lit(NOISE))
 
     core_labels = split.join(labels, "tile").selectExpr("label", "inline(cores)").select("pid", "label")
     border = _border_labels(split, near, labels, dims, eps)
@@ -48,10 +58,10 @@ def dbscan(
     located = places.join(found, "pid", "left").select(
         *dims, "w", F.coalesce("label", F.lit(NOISE)).cast("int").alias("dbscan_label")
     )
-    return attach(rows, cut(located), dims, "w")
+    return attach(rows, cut(located), dims, "w").unionByName(lost)
 
 
-def _all_present(dims: list[str]):
+def _all_present(dims: list[str]) -> Column:
     present = F.lit(True)
     for d in dims:
         present = present & F.col(d).isNotNull()
@@ -119,3 +129,126 @@ def _border_labels(
         "label", f"inline(filter(others, p -> exists(cores, q -> {reach})))"
     ).select("pid", "label")
     return certain.unionByName(touching)
+
+
+def assembled(df: DataFrame, row_id: str, names: list[str]) -> DataFrame:
+    """Vectors in a fixed layout and order, so that seeded fits repeat."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    return vectors.repartition(parts, row_id).sortWithinPartitions(row_id)
+
+
+def kmeans(df: DataFrame, row_id: str, names: list[str], k: int, seed: int = 42) -> tuple[DataFrame, KMeansModel]:
+    """(row_id, kmeans_label) and the fitted model."""
+    vectors = assembled(df, row_id, names)
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="kmeans_label").fit(vectors)
+    return model.transform(vectors).select(row_id, "kmeans_label"), model
+
+
+def cluster_counts(df: DataFrame, label: str = "dbscan_label") -> DataFrame:
+    """One row: n_clusters, noise_ratio, n_records."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
+    noise = F.coalesce(F.sum(F.when(F.col(label) == NOISE, F.col("n"))), F.lit(0))
+    return sizes.agg(
+        F.count_if(F.col(label) != NOISE).alias("n_clusters"),
+        (noise / F.sum("n")).alias("noise_ratio"),
+        F.sum("n").alias("n_records"),
+    )
+
+
+def cluster_metrics(
+    df: DataFrame, row_id: str, dims: list[str], label: str = "dbscan_label", metric: str = "squared"
+) -> DataFrame:
+    """One row: n_clusters, noise_ratio, n_records, silhouette (0 unless over one cluster).
+
+    Noise counts as a cluster of its own. The `squared` silhouette uses squared
+    distances, for which cluster means stand in for the members: its work grows with the
+    rows. The `euclidean` one has no such form and costs all pairs of rows, done in
+    blocks; choose it for tables of up to some hundred thousand rows.
+    """
+    forms = {"squared": silhouette_squared, "euclidean": silhouette_euclidean}
+    counted = cluster_counts(df, label)
+    score = forms[metric](df, row_id, dims, label).agg(F.avg("silhouette")).scalar()
+    # with one cluster the measure is 0, whatever the noise
+    shown = F.when(F.col("n_clusters") > 1, score).otherwise(0.0)
+    return counted.select("*", shown.alias("silhouette"))
+
+
+def silhouette_squared(df: DataFrame, row_id: str, dims: list[str], label: str) -> DataFrame:
+    """(row_id, silhouette) with squared distances.
+
+    The mean squared distance to a cluster is the squared distance to its centre plus the
+    cluster's variance, i.e. a distance to the point (centre, deviation) in one more
+    dimension. So the closest other cluster is a nearest-neighbour search over centres,
+    with as many clusters as there may be.
+    """
+    spread_of = F.expr(" + ".join(f"var_pop({d})" for d in dims))
+    clusters = cut(
+        df.groupBy(label).agg(
+            F.count("*").alias("members"), *[F.avg(d).alias(f"c_{d}") for d in dims], spread_of.alias("spread")
+        )
+    )
+    space = [*dims, "deviation"]
+    centres = clusters.select(
+        F.col(label).cast("string").alias("pid"), F.lit(1).cast("bigint").alias("w"),
+        *[F.col(f"c_{d}").alias(d) for d in dims], F.sqrt("spread").alias("deviation"),
+    )
+    places = cut(T.locations(df.withColumn("deviation", F.lit(0.0)), row_id, space))
+    best, k = nearest_sets(places, centres, space, 2)
+    if k < 2:
+        return df.select(row_id, F.lit(0.0).alias("silhouette"))
+    closest = cut(best.select(*dims, F.slice("best", 1, 3).alias("best")).join(places.select(*dims, "w"), dims))
+    rows = attach(df.select(row_id, label, *dims), closest, dims, "w")
+    own = rows.join(small(clusters, clusters.count()), label)
+    to_centre = " + ".join(f"({d} - c_{d}) * ({d} - c_{d})" for d in dims)
+    inner = f"(({to_centre}) + spread) * members / (members - 1)"
+    outer = f"filter(best, c -> c.pid <> CAST({label} AS STRING))[0].d2"
+    return own.selectExpr(row_id, f"CASE WHEN members > 1 THEN {inner} END AS a", f"{outer} AS b").selectExpr(
+        row_id, "CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0D ELSE (b - a) / greatest(a, b) END AS silhouette"
+    )
+
+
+def silhouette_euclidean(df: DataFrame, row_id: str, dims: list[str], label: str) -> DataFrame:
+    """(row_id, silhouette) with plain distances, by blocks of rows against blocks of rows.
+
+    Quadratic work by definition of the measure. Each pair of blocks is one bounded numpy
+    product giving sums per row and cluster; no pair of rows is ever emitted.
+    """
+    total = df.count()
+    blocks = max(1, -(-total // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64(row_id), F.lit(blocks))
+    rows = cut(df.select(F.col(row_id).cast("string").alias("pid"), F.col(label).alias("label"), *dims, block.alias("block")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    mine = rows.withColumn("other", every)
+    theirs = rows.withColumnRenamed("block", "other").withColumn("block", every)
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for name, members in right.groupby("label"):
+            total = np.zeros(len(left))
+            points = members[dims].to_numpy()
+            here = left[dims].to_numpy()
+            for at in range(0, len(points), 256):
+                gap = here[:, None, :] - points[None, at : at + 256, :]
+                total += np.sqrt((gap * gap).sum(axis=2)).sum(axis=1)
+            parts.append(pd.DataFrame({"pid": left["pid"], "own": left["label"], "label": name, "total": total}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["pid", "own", "label", "total"])
+
+    partial = (
+        mine.groupBy("block", "other")
+        .cogroup(theirs.groupBy("block", "other"))
+        .applyInPandas(sums, "pid string, own bigint, label bigint, total double")
+    )
+    sizes = rows.groupBy("label").agg(F.count("*").alias("members"))
+    summed = partial.groupBy("pid", "own", "label").agg(F.sum("total").alias("total")).join(sizes, "label")
+    mean = F.when(F.col("own") == F.col("label"), F.col("total") / F.nullif(F.col("members") - 1, F.lit(0))).otherwise(
+        F.col("total") / F.col("members")
+    )
+    scored = summed.withColumn("mean", mean).groupBy("pid").agg(
+        F.max(F.when(F.col("own") == F.col("label"), F.col("mean"))).alias("a"),
+        F.min(F.when(F.col("own") != F.col("label"), F.col("mean"))).alias("b"),
+    )
+    return scored.selectExpr(
+        f"pid AS {row_id}",
+        "CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0D ELSE (b - a) / greatest(a, b) END AS silhouette",
+    )

@@ -21,23 +21,20 @@ def knn_distance(
     """Left rows plus `mean_distance` to their k nearest right rows, in coordinate units.
 
     k shrinks to the number of right rows; a right row at the same place is a neighbour
-    at distance 0. Left rows without a location are dropped; without any right row the
-    distance is null.
+    at distance 0. The distance is null for left rows without a location, and when there
+    is no right row at all.
     """
-    dims = ["x", "y"]
-    rows = left.withColumns({"x": F.col(left_xy[0]), "y": F.col(left_xy[1])})
-    others = right.select(
-        F.col(right_id), F.col(right_xy[0]).alias("x"), F.col(right_xy[1]).alias("y")
-    )
+    dims = ["knn_x", "knn_y"]
+    rows = left.withColumns({d: F.col(c) for d, c in zip(dims, left_xy)})
+    others = right.select(right_id, *[F.col(c).alias(d) for d, c in zip(dims, right_xy)])
     places = cut(T.locations(rows, left_id, dims))
     best, k = nearest_sets(places, T.locations(others, right_id, dims), dims, k)
     if best is None:
-        return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn(
-            "mean_distance", F.lit(None).cast("double")
-        ).drop(*dims)
+        return rows.withColumn("mean_distance", F.lit(None).cast("double")).drop(*dims)
     measured = best.selectExpr(*dims, f"{_mean_of_nearest('best', k)} AS mean_distance")
     weighted = cut(measured.join(places.select(*dims, "w"), dims))
-    return attach(rows, weighted, dims, "w").drop(*dims)
+    lost = rows.where("knn_x IS NULL OR knn_y IS NULL").withColumn("mean_distance", F.lit(None).cast("double"))
+    return attach(rows, weighted, dims, "w").unionByName(lost).drop(*dims)
 
 
 def nearest_sets(
@@ -131,11 +128,16 @@ def radius_counts(tree: T.Tiles, near: DataFrame, eps: float) -> DataFrame:
 
 
 def eps_neighbours(rows: DataFrame, row_id: str, dims: list[str], eps: float) -> DataFrame:
-    """Rows plus `n_neighbours`, the rows within `eps` in the space of `dims`, itself included."""
+    """Rows plus `n_neighbours`, the rows within `eps` in the space of `dims`, itself included.
+
+    Rows lacking a coordinate have no neighbours, not even themselves.
+    """
     places = cut(T.locations(rows, row_id, dims))
     tree = T.build(places, dims)
+    unplaced = " OR ".join(f"{d} IS NULL" for d in dims)
+    lost = rows.where(unplaced).withColumn("n_neighbours", F.lit(0).cast("bigint"))
     if tree is None:
-        return rows.where(F.lit(False)).withColumn("n_neighbours", F.lit(0).cast("bigint"))
+        return lost
     near = cut(T.within(tree.tiles, tree, eps))
     counts = radius_counts(tree, near, eps)
-    return attach(rows, cut(places.join(counts, "pid").drop("pid")), dims, "w")
+    return attach(rows, cut(places.join(counts, "pid").drop("pid")), dims, "w").unionByName(lost)

@@ -191,4 +191,4 @@ def with_views(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({SOURCES[n][0]})" for n in order)
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({SOURCES[n][0]})" for n in order)
