@@ -52,10 +52,7 @@ def nearest_sets(
 
     k = min(k, tree.root["w"])
     near = T.nearest(mine.tiles, tree, k)
-    sides = [f"{e}_{d}" for d in dims for e in ("lo", "hi")]
-    pairs = mine.points.join(
-        near.select(F.col("a").alias("tile"), "b", "bw", "bound", *[f"b{s}" for s in sides]), "tile"
-    )
+    pairs = mine.points.join(near.select(F.col("a").alias("tile"), "b", "bw", "bound", "box.*"), "tile")
     # the same bound again, now for the single point instead of its whole tile
     spots = pairs.selectExpr("*", *[f"{d} AS p{e}_{d}" for d in dims for e in ("lo", "hi")])
     sure = f"min(CASE WHEN bw >= {k} THEN {T._reach2(dims, 'p', 'b')} END) OVER (PARTITION BY pid)"

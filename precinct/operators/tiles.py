@@ -174,46 +174,55 @@ def distance2(dims: list[str], p: str, q: str) -> str:
     return "(" + " + ".join(f"({p}.{d} - {q}.{d}) * ({p}.{d} - {q}.{d})" for d in dims) + ")"
 
 
-def _start(left: DataFrame, tree: Tiles) -> DataFrame:
-    """Every left tile paired with the root, whose figures are plain literals."""
-    sides = [f"{e}_{d}" for d in tree.dims for e in ("lo", "hi")]
-    return spread(left.select("tile", *sides), "tile").selectExpr(
-        "tile AS a",
-        *[f"{s} AS a{s}" for s in sides],
-        "'' AS b",
-        f"CAST({tree.root['w']} AS BIGINT) AS bw",
-        "false AS bleaf",
-        *[f"{tree.root[s]!r}D AS b{s}" for s in sides],
-    )
-
-
 def _walk(
-    frontier: DataFrame, tree: Tiles, settled: str, prune: Callable[[DataFrame], DataFrame]
+    left: DataFrame,
+    tree: Tiles,
+    measures: dict[str, str],
+    settled: str,
+    keep: str | None = None,
+    prune: Callable[[DataFrame], DataFrame] = lambda frontier: frontier,
 ) -> DataFrame:
-    """Replace unsettled nodes b by their children, level by level, pruning as it goes.
-
-    Small levels are broadcast, and settled rows pass through the outer join untouched.
-    For large levels the frontier is written out, so that settled rows skip the join.
+    """Pair every left tile a with the root and go down: replace each unsettled node b by its
+    children, level by level.
+
+    `measures` are SQL columns over the boxes of a and of a node just reached (sides alo_…,
+    ahi_…, blo_…, bhi_…); nodes failing `keep`, over the same boxes, are dropped at once, and
+    `prune` sees each new frontier. Small levels are broadcast, and settled rows pass through
+    the outer join untouched. For large levels the frontier is written out, so that settled
+    rows skip the join.
     """
     sides = [f"{e}_{d}" for d in tree.dims for e in ("lo", "hi")]
-    child = [("b", "path"), ("bw", "w"), ("bleaf", "leaf"), *[(f"b{s}", s) for s in sides]]
     own = ["a", *[f"a{s}" for s in sides]]
+    kept = f"({keep})" if keep else "true"
+    # The root's figures are plain literals. It is not tested by `keep`: a filter under these
+    # renamed columns would make Catalyst infer it in every combination of old and new names.
+    frontier = spread(left.select("tile", *sides), "tile").selectExpr(
+        "tile AS a",
+        *[f"{s} AS a{s}" for s in sides],
+        f"CAST({tree.root['w']} AS BIGINT) AS _bw",
+        *[f"{tree.root[s]!r}D AS b{s}" for s in sides],
+    )
+    frontier = frontier.selectExpr(
+        *own, "'' AS b", "_bw AS bw", "false AS bleaf", *[f"{m} AS {name}" for name, m in measures.items()]
+    )
     frontier = prune(frontier)
-    own += [c for c in frontier.columns if c == "bound"]
+    own = [c for c in frontier.columns if c not in ("b", "bw", "bleaf", *measures)]
     for level, size in zip(tree.levels, tree.sizes):
-        kids = level.selectExpr("parent AS _parent", *[f"{c} AS _{c}" for _, c in child])
+        kids = level.selectExpr(
+            "parent AS _parent", "path AS _b", "w AS _bw", "leaf AS _bleaf", *[f"{s} AS b{s}" for s in sides]
+        )
+        fresh = {"b": "_b", "bw": "_bw", "bleaf": "_bleaf", **measures}
         if size <= BROADCAST_ROWS:
-            joined = frontier.withColumn("_key", F.expr(f"CASE WHEN NOT ({settled}) THEN b END")).join(
-                F.broadcast(kids), F.col("_key") == F.col("_parent"), "left"
-            )
-            frontier = joined.selectExpr(
-                *own, *[f"CASE WHEN _parent IS NOT NULL THEN _{c} ELSE {b} END AS {b}" for b, c in child]
+            open_node = frontier.withColumn("_key", F.expr(f"CASE WHEN NOT ({settled}) THEN b END"))
+            joined = open_node.join(F.broadcast(kids), F.col("_key") == F.col("_parent"), "left")
+            frontier = joined.where(f"_parent IS NULL OR {kept}").selectExpr(
+                *own, *[f"CASE WHEN _parent IS NOT NULL THEN {new} ELSE {c} END AS {c}" for c, new in fresh.items()]
             )
         else:
             written = cut(frontier)
             stepped = written.where(f"NOT ({settled})").join(kids, F.col("b") == F.col("_parent"))
-            frontier = written.where(settled).select(*own, *[b for b, _ in child]).unionByName(
-                stepped.selectExpr(*own, *[f"_{c} AS {b}" for b, c in child])
+            frontier = written.where(settled).select(*own, *fresh).unionByName(
+                stepped.where(kept).selectExpr(*own, *[f"{new} AS {c}" for c, new in fresh.items()])
             )
         frontier = prune(frontier)
     return frontier
@@ -225,23 +234,28 @@ def within(left: DataFrame, tree: Tiles, eps: float) -> DataFrame:
     `inside` marks a node all of whose points are within `eps` of all points of a; the
     other rows are leaf tiles that need a look at their points.
     """
-    inside = f"{_reach2(tree.dims, 'a', 'b')} <= {eps * eps!r}D"
-    touching = f"{_gap2(tree.dims, 'a', 'b')} <= {eps * eps!r}D"
-    near = _walk(_start(left, tree), tree, f"{inside} OR bleaf", lambda f: f.where(touching))
-    return near.selectExpr("a", "b", "bw", f"{inside} AS inside")
+    reach2 = f"{eps * eps!r}D"
+    near = _walk(
+        left, tree, {"inside": f"{_reach2(tree.dims, 'a', 'b')} <= {reach2}"}, "inside OR bleaf",
+        keep=f"{_gap2(tree.dims, 'a', 'b')} <= {reach2}",
+    )
+    return near.select("a", "b", "bw", "inside")
 
 
 def nearest(left: DataFrame, tree: Tiles, k: int) -> DataFrame:
-    """(a, b, bw, blo_…, bhi_…, bound): leaf tiles that may hold a k nearest point of a."""
+    """(a, b, bw, box, bound): leaf tiles that may hold a k nearest point of a."""
+    sides = [f"{e}_{d}" for d in tree.dims for e in ("lo", "hi")]
 
     def prune(frontier: DataFrame) -> DataFrame:
-        known = ["bound"] if "bound" in frontier.columns else []
-        others = [c for c in frontier.columns if c != "bound"]
         # a node with k points bounds the k-th distance by its far side
-        sure = f"min(CASE WHEN bw >= {k} THEN {_reach2(tree.dims, 'a', 'b')} END) OVER (PARTITION BY a)"
-        bound = f"least(bound, {sure})" if known else sure
-        return frontier.selectExpr(*others, f"{bound} AS bound").where(
-            f"{_gap2(tree.dims, 'a', 'b')} <= bound"
-        )
-
-    return _walk(_start(left, tree), tree, "bleaf", prune)
+        known = "bound, " if "bound" in frontier.columns else ""
+        others = [c for c in frontier.columns if c != "bound"]
+        bound = f"least({known}min(far) OVER (PARTITION BY a))" if known else "min(far) OVER (PARTITION BY a)"
+        return frontier.selectExpr(*others, f"{bound} AS bound").where("gap <= bound")
+
+    measures = {
+        "gap": _gap2(tree.dims, "a", "b"),
+        "far": f"CASE WHEN _bw >= {k} THEN {_reach2(tree.dims, 'a', 'b')} END",
+        "box": f"struct({', '.join(f'b{s}' for s in sides)})",
+    }
+    return _walk(left, tree, measures, "bleaf", prune=prune).select("a", "b", "bw", "box", "bound")
