@@ -21,9 +21,17 @@ def quantile(df: DataFrame, column: str, q: float, accuracy: int = ACCURACY) ->
     slack = 2.0 / accuracy
     ends = [max(0.0, q - slack), min(1.0, q + slack)]
     sketch = values.agg(
-        F.struct(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends"))
+        F.struct(
+            F.count("*").alias("n"),
+            F.percentile_approx("v", ends, accuracy).alias("ends"),
+            F.min("v").alias("least"),
+            F.max("v").alias("most"),
+        )
     ).scalar()
-    low, high = sketch["ends"][0], sketch["ends"][1]
+    # on few rows the slack is less than a row or two, so all of them are taken
+    few = sketch["n"] < 2 * accuracy
+    low = F.when(few, sketch["least"]).otherwise(sketch["ends"][0])
+    high = F.when(few, sketch["most"]).otherwise(sketch["ends"][1])
 
     # null stands for everything below the bracket and sorts first
     key = F.when(F.col("v") >= low, F.col("v"))

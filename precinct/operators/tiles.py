@@ -19,6 +19,7 @@ from precinct.runtime import BROADCAST_ROWS, cut, small, spread
 
 CAPACITY = 128
 _BITS = 48  # positions per dimension: 2^48 steps over the data's range
+_FUSED_COLUMNS = 12  # dimensions times levels in one stage of a walk
 _MAX_TURNS = _BITS // 2
 
 
@@ -207,7 +208,11 @@ def _walk(
     )
     frontier = prune(frontier)
     own = [c for c in frontier.columns if c not in ("b", "bw", "bleaf", *measures)]
-    for level, size in zip(tree.levels, tree.sizes):
+    # Fused joins over many box columns outgrow what the JVM compiles, so a long walk is cut.
+    stride = max(1, _FUSED_COLUMNS // len(tree.dims))
+    for step, (level, size) in enumerate(zip(tree.levels, tree.sizes), 1):
+        if step % stride == 0 and size <= BROADCAST_ROWS:
+            frontier = cut(frontier)
         kids = level.selectExpr(
             "parent AS _parent", "path AS _b", "w AS _bw", "leaf AS _bleaf", *[f"{s} AS b{s}" for s in sides]
         )
