@@ -44,7 +44,7 @@ def from_wkt(text: Column | str) -> Column:
 def out_of_range(lat: Column | str, lon: Column | str) -> Column:
     """True only for a present value beyond ±90 / ±180; the limits themselves are fine."""
     lat, lon = col(lat), col(lon)
-    bad = (lat < -90) | (lat > 90) | (lon < -180) | (lon > 180)
+    bad = (F.abs(lat) > 90) | (F.abs(lon) > 180)
     return F.coalesce(bad, F.lit(False))
 
 

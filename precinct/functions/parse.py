@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from precinct.functions.geo import col
 from precinct.schemas import FALSE_TEXTS, NULL_TOKENS, TRUE_TEXTS
 
-# Java also reads "1d", "1f" and hex floats as numbers; this pattern shuts them out.
-_NUMERIC = r"(?i)^\s*[-+]?((\d+\.?\d*|\.\d+)(e[-+]?\d+)?|inf|infinity)\s*$"
-_DAY_FIRST_NEEDS_SLASH = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
+# Java also reads "1d", "1f" and hex floats as numbers; this pattern finds them.
+_JAVA_ONLY = r"[dDxX]|[0-9.][fF]"
+_SLASHES = r"^\s*\d{1,2}/\d{1,2}/\d{4}"
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -20,7 +20,7 @@ def blank_to_null(c: Column | str) -> Column:
 def number(c: Column | str) -> Column:
     """A double; text that is not a number, and NaN, give null."""
     text = col(c).cast("string")
-    return F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
+    return F.when(~text.rlike(_JAVA_ONLY), F.nullif(text.try_cast("double"), F.lit(float("nan"))))
 
 
 def whole(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ def timestamp(c: Column | str) -> Column:
     text = F.trim(col(c).cast("string"))
     iso = text.try_cast("timestamp_ntz")
     slash = F.when(
-        text.rlike(_DAY_FIRST_NEEDS_SLASH),
+        text.rlike(_SLASHES),
         F.coalesce(
             F.try_to_timestamp(text, F.lit("M/d/yyyy H:m:s")),
             F.try_to_timestamp(text, F.lit("M/d/yyyy H:m")),

@@ -37,25 +37,30 @@ def classify(raw: DataFrame, entity: Entity, validate_coordinates: bool = True)
     Rules are checked in order and a row is charged to the first it fails. A
     required cell must hold text; coordinates must also be numbers.
     """
+
     def typed(c: str) -> Column:
         kind = entity.columns.get(c, "string")
         if kind == "boolean" and c not in entity.flags:
             return F.col(c).try_cast("boolean")
         return _PARSERS[kind](c) if kind in _PARSERS else F.col(c)
 
-    # three projections, so that no parser is written out twice into one expression
     columns = raw.columns
+    coordinates = {c for pair in entity.points for c in pair}
     text = raw.select([parse.blank_to_null(F.col(c).cast("string")).alias(c) for c in columns])
-    parsed = text.select(
-        [typed(c).alias(c) for c in columns]
-        + [F.col(c).isNull().alias(f"_no_{c}") for c in entity.required if c in columns]
+    # The numbers the rules look at go through a generator: its output is computed once per
+    # row, where a plain projection would be copied into the filter on the reason as well.
+    ruling = [c for c in columns if c in coordinates or c in entity.strict_numbers]
+    checked = text.select(
+        [F.col(c) for c in columns if c not in ruling]
+        + [F.col(c).isNull().alias(f"_no_{c}") for c in entity.strict_numbers if c in columns]
+        + ([F.inline(F.array(F.struct([typed(c).alias(c) for c in ruling])))] if ruling else [])
     )
+    absent = {c: f"_no_{c}" if c in entity.strict_numbers else c for c in entity.required}
 
-    coordinates = {c for pair in entity.points for c in pair}
     missing = F.lit(False)
     for c in entity.required:
         if c in columns:
-            missing = missing | (F.col(c).isNull() if c in coordinates else F.col(f"_no_{c}"))
+            missing = missing | (F.col(absent[c]) if absent[c] != c else F.col(c).isNull())
     reason = F.when(missing, MISSING)
     if validate_coordinates:
         beyond = F.lit(False)
@@ -66,7 +71,8 @@ def classify(raw: DataFrame, entity: Entity, validate_coordinates: bool = True)
     for c in entity.strict_numbers:
         if c in columns:
             reason = reason.when(F.col(c).isNull(), f"invalid_{c}")
-    return parsed.select(*columns, reason.alias(REASON))
+    values = [F.col(c) if c in ruling else typed(c).alias(c) for c in columns]
+    return checked.select(*values, reason.alias(REASON))
 
 
 def accepted(classified: DataFrame) -> DataFrame:

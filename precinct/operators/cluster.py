@@ -32,8 +32,7 @@ def dbscan(
     they are narrower than `eps`, so all core points of a tile belong together and the
     graph to contract has tiles, not points, as its nodes.
     """
-    places = cut(T.locations(rows, row_id, dims))
-    tree = T.build(places, dims, max_diagonal=eps)
+    tree = T.build(T.locations(rows, row_id, dims), dims, max_diagonal=eps)
     lost = rows.where(~_all_present(dims)).withColumn("dbscan_label", F.lit(NOISE))
     if tree is None:
         return lost
@@ -55,7 +54,7 @@ def dbscan(
     core_labels = split.join(labels, "tile").selectExpr("label", "inline(cores)").select("pid", "label")
     border = _border_labels(split, near, labels, dims, eps)
     found = core_labels.unionByName(border).groupBy("pid").agg(F.min("label").alias("label"))
-    located = places.join(found, "pid", "left").select(
+    located = tree.locs.join(found, "pid", "left").select(
         *dims, "w", F.coalesce("label", F.lit(NOISE)).cast("int").alias("dbscan_label")
     )
     return attach(rows, cut(located), dims, "w").unionByName(lost)
@@ -193,11 +192,11 @@ def silhouette_squared(df: DataFrame, row_id: str, dims: list[str], label: str)
         F.col(label).cast("string").alias("pid"), F.lit(1).cast("bigint").alias("w"),
         *[F.col(f"c_{d}").alias(d) for d in dims], F.sqrt("spread").alias("deviation"),
     )
-    places = cut(T.locations(df.withColumn("deviation", F.lit(0.0)), row_id, space))
+    places = T.locations(df.withColumn("deviation", F.lit(0.0)), row_id, space)
     best, k = nearest_sets(places, centres, space, 2)
     if k < 2:
         return df.select(row_id, F.lit(0.0).alias("silhouette"))
-    closest = cut(best.select(*dims, F.slice("best", 1, 3).alias("best")).join(places.select(*dims, "w"), dims))
+    closest = cut(best.select(*dims, "w", F.slice("best", 1, 3).alias("best")))
     rows = attach(df.select(row_id, label, *dims), closest, dims, "w")
     own = rows.join(small(clusters, clusters.count()), label)
     to_centre = " + ".join(f"({d} - c_{d}) * ({d} - c_{d})" for d in dims)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,10 @@ def knn_distance(
     dims = ["knn_x", "knn_y"]
     rows = left.withColumns({d: F.col(c) for d, c in zip(dims, left_xy)})
     others = right.select(right_id, *[F.col(c).alias(d) for d, c in zip(dims, right_xy)])
-    places = cut(T.locations(rows, left_id, dims))
-    best, k = nearest_sets(places, T.locations(others, right_id, dims), dims, k)
+    best, k = nearest_sets(T.locations(rows, left_id, dims), T.locations(others, right_id, dims), dims, k)
     if best is None:
         return rows.withColumn("mean_distance", F.lit(None).cast("double")).drop(*dims)
-    measured = best.selectExpr(*dims, f"{_mean_of_nearest('best', k)} AS mean_distance")
-    weighted = cut(measured.join(places.select(*dims, "w"), dims))
+    weighted = cut(best.selectExpr(*dims, "w", f"{_mean_of_nearest('best', k)} AS mean_distance"))
     lost = rows.where("knn_x IS NULL OR knn_y IS NULL").withColumn("mean_distance", F.lit(None).cast("double"))
     return attach(rows, weighted, dims, "w").unionByName(lost).drop(*dims)
 
@@ -40,13 +40,15 @@ def knn_distance(
 def nearest_sets(
     left: DataFrame, right: DataFrame, dims: list[str], k: int
 ) -> tuple[DataFrame | None, int]:
-    """(pid, dims…, best) of left locations: `best` lists (d2, w, pid) of their nearest right
+    """(pid, w, dims…, best) of left locations: `best` lists (d2, w, pid) of their nearest right
     locations, closest first, holding at least k rows. Both sides have pid, w, dims.
 
     Also gives the k used, at most the number of right rows; None when a side is empty.
     """
-    tree = T.build(right, dims)
-    mine = T.build(left, dims)
+    # the two sides are independent, so their jobs run side by side
+    with ThreadPoolExecutor(2) as pool:
+        # narrow right tiles bound the k-th distance well and leave few points to sort
+        tree, mine = pool.map(lambda side: T.build(side[0], dims, side[1]), ((right, max(16, 4 * k)), (left, T.CAPACITY)))
     if tree is None or mine is None:
         return None, 0
 
@@ -59,7 +61,7 @@ def nearest_sets(
     chosen = (
         spots.withColumn("bound", F.expr(f"least(bound, {sure})"))
         .where(f"{T._gap2(dims, 'p', 'b')} <= bound")
-        .select("pid", *dims, F.col("b").alias("tile"))
+        .select("pid", "w", *dims, "bound", F.col("b").alias("tile"))
     )
 
     arrays = tree.tiles.select("tile", "pts")
@@ -71,11 +73,12 @@ def nearest_sets(
     else:
         met = spread(chosen, "tile").join(spread(arrays, "tile"), "tile")
 
-    found = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w, q.pid AS pid))"
+    gaps = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w, q.pid AS pid))"
+    found = f"filter({gaps}, c -> c.d2 <= bound)"
     best = (
         met.withColumn("here", F.struct(*dims))
-        .selectExpr("pid", *dims, f"slice(array_sort({found}), 1, {k}) AS best")
-        .groupBy("pid", *dims)
+        .selectExpr("pid", "w", *dims, f"slice(array_sort({found}), 1, {k}) AS best")
+        .groupBy("pid", "w", *dims)
         .agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
     )
     return best, k
@@ -129,12 +132,11 @@ def eps_neighbours(rows: DataFrame, row_id: str, dims: list[str], eps: float) ->
 
     Rows lacking a coordinate have no neighbours, not even themselves.
     """
-    places = cut(T.locations(rows, row_id, dims))
-    tree = T.build(places, dims)
+    tree = T.build(T.locations(rows, row_id, dims), dims)
     unplaced = " OR ".join(f"{d} IS NULL" for d in dims)
     lost = rows.where(unplaced).withColumn("n_neighbours", F.lit(0).cast("bigint"))
     if tree is None:
         return lost
     near = cut(T.within(tree.tiles, tree, eps))
     counts = radius_counts(tree, near, eps)
-    return attach(rows, cut(places.join(counts, "pid").drop("pid")), dims, "w").unionByName(lost)
+    return attach(rows, cut(tree.locs.join(counts, "pid").drop("pid")), dims, "w").unionByName(lost)

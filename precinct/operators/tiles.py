@@ -26,6 +26,7 @@ _MAX_TURNS = _BITS // 2
 @dataclass(frozen=True)
 class Tiles:
     dims: list[str]
+    locs: DataFrame  # pid, w, dims…: one row per distinct location, written out
     tiles: DataFrame  # tile, w, lo_…, hi_…, pts: one row per tile
     levels: list[DataFrame]  # per depth: path, parent, n, w, leaf, lo_…, hi_…
     sizes: list[int]
@@ -123,7 +124,7 @@ def build(
     tiles = placed.groupBy("tile").agg(
         F.sum("w").alias("w"), F.collect_list(row).alias("pts"), *map(F.expr, edges)
     )
-    return Tiles(dims, cut(tiles), kept, [sizes[i][0] for i in range(1, depth + 1)], root)
+    return Tiles(dims, locs, cut(tiles), kept, [sizes[i][0] for i in range(1, depth + 1)], root)
 
 
 def _depth_limit(dims: list[str]) -> int:

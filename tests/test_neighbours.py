@@ -146,10 +146,24 @@ def test_attach_splits_hot_keys(spark):
     assert got.count() == 1000 and got.where("v <> k * 2").count() == 0
 
 
-def test_cut_uses_the_named_folder(spark, tmp_path):
-    spark.conf.set(runtime.CHECKPOINT_CONF, str(tmp_path))
-    try:
-        df = runtime.cut(spark.range(5))
-        assert df.count() == 5 and all(str(tmp_path) in f for f in df.inputFiles())
-    finally:
-        spark.conf.unset(runtime.CHECKPOINT_CONF)
+class _Session:
+    """Stands in for a session with a given setting and master."""
+
+    def __init__(self, named, master):
+        self.conf = self
+        self.sparkContext = self
+        self.named, self.master = named, master
+
+    def get(self, key, default=None):
+        return self.named if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_folder_is_the_named_one(spark):
+    assert runtime.checkpoint_dir(_Session("hdfs://shared/scratch", "yarn")) == "hdfs://shared/scratch"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(_Session(None, "yarn"))
+    df = runtime.cut(spark.range(5))
+    assert df.count() == 5 and all(runtime.checkpoint_dir(spark).split(":")[-1] in f for f in df.inputFiles())
