@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from precinct.runtime import cut, send_to_workers
+from precinct.runtime import cut
 
 MAX_ROUNDS = 60
 
-send_to_workers(__name__)
-
 
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for every node of the (u, v) edges; a component is its smallest node.
 
-    Range partitions are contracted on their own first: a partition's edges are replaced
-    by links to the smallest node of each of its parts, which keeps what is connected.
-    Then each round is two grouped minima with map-side partials, so a node with very
-    many edges is no bottleneck. Rounds grow with the logarithm of the component size.
+    A round is two stars; each is a grouped minimum with map-side partials, written out, and a
+    join of the arcs with it. As both inputs of the join are plain reads, adaptive execution
+    may split the arcs of a hub over many tasks. Rounds grow with the logarithm of the
+    component size. Null ends and loops link nothing; a run that does not settle is an error.
     """
-    arcs = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v")
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = arcs.repartitionByRange(parts, "u", "v")
-    arcs, mark = _kept(near.mapInPandas(_contract, "u string, v string").distinct())
+    arcs, mark = _kept(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     for _ in range(max_rounds):
+        if not mark[0]:
+            break
         arcs, after = _kept(_small_star(_large_star(arcs)))
         if after == mark:
             break
@@ -52,36 +45,16 @@ def _kept(arcs: DataFrame) -> tuple[DataFrame, tuple]:
     return kept, (seen.get["n"], seen.get["total"], seen.get["mixed"])
 
 
-def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links from each node of one partition's edges to the smallest node of its part."""
-    frames = list(batches)
-    if not frames:
-        return
-    edges = pd.concat(frames, ignore_index=True)
-    codes, names = pd.factorize(pd.concat([edges["u"], edges["v"]]), sort=True)
-    u, v = np.split(codes, 2)
-    low = np.arange(len(names))
-    while True:
-        # hook the larger root under the smaller one, then shorten all paths
-        a, b = low[u], low[v]
-        if np.array_equal(a, b):
-            break
-        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(low, low[low]):
-            low = low[low]
-    linked = np.flatnonzero(low != np.arange(len(names)))
-    yield pd.DataFrame({"u": names[linked], "v": names[low[linked]]})
-
-
 def _large_star(arcs: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = arcs.select("u", "v").unionByName(arcs.selectExpr("v AS u", "u AS v"))
-    lowest = both.groupBy("u").agg(F.min("v").alias("low")).selectExpr("u", "least(u, low) AS low")
-    return both.where("v > u").join(lowest, "u").selectExpr("v AS u", "low AS v").distinct()
+    lowest = cut(arcs.groupBy("u").agg(F.min("v").alias("low")))
+    above = arcs.selectExpr("v AS u", "u AS far").join(lowest, "u", "left")
+    return above.selectExpr("far AS u", "coalesce(low, u) AS v").distinct()
 
 
 def _small_star(arcs: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of those neighbours."""
-    lowest = arcs.groupBy("u").agg(F.min("v").alias("low"))
+    arcs = cut(arcs)
+    lowest = cut(arcs.groupBy("u").agg(F.min("v").alias("low")))
     moved = arcs.join(lowest, "u").where("v <> low").selectExpr("v AS u", "low AS v")
     return moved.unionByName(lowest.selectExpr("u", "low AS v")).distinct()
