@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm import bpe, quality, warc
+from precinct.llm import bpe, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,3 +70,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query()
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of each document."""
+    rows = simhash.near_classes(table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return rows.select("doc_id", shown.alias("fingerprint"), "component_id")
