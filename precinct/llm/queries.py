@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm import bpe, quality, simhash, warc
+from precinct.llm import bpe, phrases, quality, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_classes(table(spark, sf_dir, "documents"))
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the passages that earlier documents have."""
+    return phrases.without_repeats(table(spark, sf_dir, "documents"))
