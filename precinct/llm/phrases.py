@@ -30,8 +30,11 @@ from precinct.runtime import cut, send_to_workers, small
 WINDOW = 13
 GRAM = 5
 
-# Pieces that one automaton is compiled from.
-SHARD_PIECES = 20_000
+# Pieces that one automaton is compiled from: small, as a node's children are searched one by one.
+SHARD_PIECES = 1000
+
+# Distinct pieces from which on an anchor is dealt out window by window.
+HOT_PIECES = 10_000
 
 send_to_workers(__name__)
 
@@ -70,7 +73,10 @@ def _anchors(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tup
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, h, start, n): the anchors of each text and the windows that chose them."""
+    """(doc_id, th, h, starts, counts): each anchor of a text and the windows that chose it.
+
+    The places of an anchor that a text repeats are packed into one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -78,12 +84,17 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             sizes = np.array([len(w) for w in words], np.int64)
             doc = np.repeat(np.arange(len(words)), sizes)
             row, h, start, n = _anchors(word_hashes(list(chain.from_iterable(words))), doc, window, gram)
-            rows = pa.array(row)
-            start = start - (sizes.cumsum() - sizes)[row]
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), h, start.astype(np.int32), n.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "th", "h", "start", "n"])
+            order = np.lexsort((h, row))
+            row, h, start, n = row[order], h[order], start[order], n[order]
+            start = (start - (sizes.cumsum() - sizes)[row]).astype(np.int32)
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, int)
+            ends = pa.array(np.r_[new, len(row)].astype(np.int32))
+            rows = pa.array(row[new])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (start, n)]
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[new]), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h", "starts", "counts"])
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, start int, n int")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, starts array<int>, counts array<int>")
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -96,19 +107,19 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     found = anchors(docs, window, gram)
     same = Window.partitionBy("h")
     found = found.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
-    spots = found.where("low < high").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start", "n")).alias("spots"))
+    spots = found.where("low < high").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "starts", "counts")).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out: dict[str, list] = {"doc_id": [], "th": [], "h": [], "start": [], "piece": []}
             for doc_id, th, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = [w.decode() for w in words_of(text)]
-                for s in spots:
+                for h, start, n in {(s["h"], *at) for s in spots for at in zip(s["starts"], s["counts"], strict=True)}:
                     out["doc_id"].append(doc_id)
                     out["th"].append(th)
-                    out["h"].append(s["h"])
-                    out["start"].append(s["start"])
-                    out["piece"].append(" ".join(words[s["start"] : s["start"] + s["n"] + window - 1]))
+                    out["h"].append(h)
+                    out["start"].append(start)
+                    out["piece"].append(" ".join(words[start : start + n + window - 1]))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("piece", pa.string())])
@@ -120,7 +131,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 def _spread(rows: DataFrame, window: int) -> DataFrame:
     """Anchors with too many distinct pieces for one automaton are dealt out window by window."""
     counts = rows.groupBy("h").agg(F.approx_count_distinct(F.xxhash64("piece")).alias("n"))
-    hot = cut(counts.where(F.col("n") > SHARD_PIECES // 2).select("h"))
+    hot = cut(counts.where(F.col("n") > HOT_PIECES).select("h"))
     n = hot.count()
     if not n:
         return rows

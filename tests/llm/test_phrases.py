@@ -40,9 +40,10 @@ def _rows():
     return [(*r, "x", 1) for r in rows]
 
 
-@pytest.mark.parametrize("shard", [20_000, 3])
-def test_removed(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard,hot", [(1000, 10_000), (3, 2)])
+def test_removed(spark, monkeypatch, shard, hot):
     monkeypatch.setattr(phrases, "SHARD_PIECES", shard)
+    monkeypatch.setattr(phrases, "HOT_PIECES", hot)
     rows = _rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string, h int").repartition(3)
     got = [tuple(r) for r in phrases.without_repeats(docs).collect()]
