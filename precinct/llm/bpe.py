@@ -257,7 +257,7 @@ def rank_lines(spark, path: str) -> list[str]:
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of the ids and of the bytes they decode to.
 
-    With `with_ids` also the ids themselves and the decoded bytes. A null text counts as empty,
+    With `with_ids` also the ids themselves. A null text counts as empty,
     repeated rows stay repeated, all other columns are ignored. Every text is encoded whole.
     """
     lines = docs.sparkSession.sparkContext.broadcast(rank_lines(docs.sparkSession, path))
@@ -275,8 +275,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             }
             if with_ids:
                 out["ids"] = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32()))
-                out["decoded"] = pa.array(plain, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = f"doc_id bigint, {SCHEMA}" + (", ids array<int>, decoded binary" if with_ids else "")
+    schema = f"doc_id bigint, {SCHEMA}" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -91,6 +91,29 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTAN
     return attach(rows, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
+def one_per_class(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of `docs`, all columns, of the smallest doc_id of each class.
+
+    Rows that repeat a doc_id and its text count once. Rows without a doc_id go if their class
+    has one; of the others one per fingerprint stays.
+    """
+    classes = near_classes(docs, shingle, distance)
+    first = cut(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct())
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(first, F.col("doc_id").cast("bigint") == F.col("_first"), "left_semi")
+    kept = kept.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+    @F.pandas_udf("bigint")
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+
+    nameless = cut(classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct())
+    alone = docs.where("doc_id IS NULL").withColumn("_fp", fp(F.col("text").cast("string")))
+    alone = alone.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    return kept.unionByName(alone)
+
+
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(u, v) links that connect exactly the distinct fingerprints `fp` within `distance` bits.
 
