@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.llm import bpe, decontaminate, html, lines, phrases, quality, simhash, toxicity, warc
+from precinct.llm import bpe, decontaminate, html, lines, lm, phrases, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,3 +108,9 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that repeat an earlier line, up to a few edits."""
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of each document, learnt outside the held-out fold."""
+    return lm.scored(table(spark, sf_dir, "documents"))
