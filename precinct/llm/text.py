@@ -47,11 +47,11 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
 
 
 def in_worker(key: tuple, make: Callable[[], object]) -> object:
-    """A value made once in each Python worker and kept for its later tasks (bounded by its maker)."""
+    """A value kept in each Python worker for its later tasks; of the keys with one first part the last stays."""
     kept = sys.modules.setdefault("_precinct_kept", types.ModuleType("_precinct_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = (key, make())
+    return kept[key[0]][1]
 
 
 def crc_of(doc_id: int | None) -> int:
