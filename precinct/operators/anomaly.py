@@ -97,6 +97,8 @@ def fit_forest(
 def score(df: DataFrame, names: list[str], nodes: DataFrame) -> DataFrame:
     """Rows plus `score` in [−1, 0): the lower, the easier a row is to set apart."""
     table = nodes.orderBy("tree", "node").toPandas()
+    if table.empty:  # a forest of no rows
+        return df.withColumn("score", F.lit(None).cast("double"))
     width = int(table["node"].max()) + 1
     trees = int(table["tree"].max()) + 1
     scale = average_length(int(table["sample_size"].iloc[0])) or 1.0

@@ -39,7 +39,7 @@ def dbscan(
     near = cut(T.within(tree.tiles, tree, eps))
     counts = radius_counts(tree, near, eps)
     marked = tree.points.join(counts, "pid").withColumn("core", F.col("n_neighbours") >= min_samples)
-    point = F.struct("pid", *dims)
+    point = F.struct("pid", "first", *dims)
     # per tile its core points and the others, both bounded by the tile capacity
     split = cut(
         marked.groupBy("tile").agg(
@@ -93,9 +93,9 @@ def _tile_labels(split: DataFrame, near: DataFrame, dims: list[str], eps: float)
         "tile", F.coalesce("component", "tile").alias("component")
     )
     grouped = cut(grouped)
-    first = grouped.join(cores, "tile").selectExpr("component", "array_min(cores.pid) AS pid")
-    clusters = first.groupBy("component").agg(F.min("pid").alias("pid"))
-    return grouped.join(ranked(clusters, ["pid"], "label"), "component").select("tile", "label")
+    first = grouped.join(cores, "tile").selectExpr("component", "array_min(cores.first) AS first")
+    clusters = first.groupBy("component").agg(F.min("first").alias("first"))
+    return grouped.join(ranked(clusters, ["first", "component"], "label"), "component").select("tile", "label")
 
 
 def _ancestors(tiles: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def assembled(df: DataFrame, row_id: str, names: list[str]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, row_id: str, names: list[str], k: int, seed: int = 42) -> tuple[DataFrame, KMeansModel]:
-    """(row_id, kmeans_label) and the fitted model."""
-    vectors = assembled(df, row_id, names)
+    """(row_id, kmeans_label) and the fitted model; a missing feature counts as its mean, 0 when scaled."""
+    vectors = assembled(df.fillna(0.0, names), row_id, names)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="kmeans_label").fit(vectors)
     return model.transform(vectors).select(row_id, "kmeans_label"), model
 
@@ -189,7 +189,7 @@ def silhouette_squared(df: DataFrame, row_id: str, dims: list[str], label: str)
     )
     space = [*dims, "deviation"]
     centres = clusters.select(
-        F.col(label).cast("string").alias("pid"), F.lit(1).cast("bigint").alias("w"),
+        F.col(label).cast("string").alias("first"), F.lit(1).cast("bigint").alias("w"),
         *[F.col(f"c_{d}").alias(d) for d in dims], F.sqrt("spread").alias("deviation"),
     )
     places = T.locations(df.withColumn("deviation", F.lit(0.0)), row_id, space)
@@ -201,7 +201,7 @@ def silhouette_squared(df: DataFrame, row_id: str, dims: list[str], label: str)
     own = rows.join(small(clusters, clusters.count()), label)
     to_centre = " + ".join(f"({d} - c_{d}) * ({d} - c_{d})" for d in dims)
     inner = f"(({to_centre}) + spread) * members / (members - 1)"
-    outer = f"filter(best, c -> c.pid <> CAST({label} AS STRING))[0].d2"
+    outer = f"filter(best, c -> c.first <> CAST({label} AS STRING))[0].d2"
     return own.selectExpr(row_id, f"CASE WHEN members > 1 THEN {inner} END AS a", f"{outer} AS b").selectExpr(
         row_id, "CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0D ELSE (b - a) / greatest(a, b) END AS silhouette"
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from precinct.functions.labels import date_column, temporal_parts
 from precinct.operators.quantiles import median
-from precinct.runtime import ranked, small
+from precinct.runtime import cut, ranked, small
 
 UNKNOWN = "Unknown"
 
@@ -101,6 +101,18 @@ def temporal_features(df: DataFrame, row_id: str, xy: tuple[str, str], dates: li
     )
 
 
+def filled_parts(df: DataFrame, date: str) -> dict[str, Column]:
+    """The parts of a date column as doubles; a missing date takes the median of each part.
+
+    Unreadable dates are null after cleaning, and training keeps their rows.
+    """
+    parts = {n: c.cast("double") for n, c in temporal_parts(date).items()}
+    if not df.where(F.col(date).isNull()).isEmpty():
+        known = cut(df.select(*[c.alias(n) for n, c in parts.items()]))
+        parts = {n: F.coalesce(c, median(known, n).scalar(), F.lit(0.0)) for n, c in parts.items()}
+    return parts
+
+
 def _features(
     df: DataFrame,
     row_id: str,
@@ -115,7 +127,7 @@ def _features(
     date = date_column(df.columns, dates) if dates else date_column(df.columns)
     columns: dict[str, Column] = {"x": F.col(xy[0]), "y": F.col(xy[1])}
     if date:
-        columns |= {n: c.cast("double") for n, c in temporal_parts(date).items()}
+        columns |= filled_parts(df, date)
     numbers = [n for n in numbers if n[1] in df.columns]
     categories = [c for c in categories if c[1] in df.columns]
 

@@ -13,6 +13,7 @@ from precinct.functions.labels import proximity
 from precinct.operators.features import Scaler
 from precinct.operators.neighbours import nearest_distance
 from precinct.operators.stats import bounds
+from precinct.runtime import small
 
 # Bounds (minx, miny, maxx, maxy) of the default area.
 DEFAULT_BOUNDS = (-74.3, 40.6, -74.1, 40.8)
@@ -84,8 +85,7 @@ def theft_risk_grid(
         filled = filled.withColumns({"x": scaler.scaled("x"), "y": scaler.scaled("y")})
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
     placed = model.transform(vectors).select("cell", "_x", "_y", "kmeans_label")
-    # the model has one share per cluster, at most k rows
-    shares = F.broadcast(cluster_shares(labels))
+    shares = small(cluster_shares(labels), len(model.clusterCenters()))
     return placed.join(shares, "kmeans_label", "left").select(
         "cell", F.col("_x").alias("x"), F.col("_y").alias("y"), F.coalesce("share", F.lit(0.0)).alias("risk_score")
     )

@@ -48,7 +48,7 @@ def train_clusters(
     min_samples: int = 5,
     with_kmeans: bool = True,
     seed: int = 42,
-    metric: str = "euclidean",
+    metric: str = "squared",
 ) -> DataFrame:
     """Density clusters, and k-means with as many centres as hotspots (3 at least).
 
@@ -73,7 +73,8 @@ def train_clusters(
 def train_anomalies(trained: Trained, name: str, features: Features, seed: int = 42) -> DataFrame:
     """(row_id, score, is_anomaly) of the rows the forest was fitted on."""
     scaled, scaler = features.standardised()
-    frame = cut(scaled.frame)
+    # no row is lost: what is still missing, such as a place, counts as the mean
+    frame = cut(scaled.frame.fillna(0.0, features.names))
     nodes = anomaly.fit_forest(frame, features.row_id, features.names, seed=seed)
     trained.forests[name] = nodes
     trained.scalers[f"{name}_anomaly"] = scaler

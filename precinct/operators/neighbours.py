@@ -40,8 +40,8 @@ def knn_distance(
 def nearest_sets(
     left: DataFrame, right: DataFrame, dims: list[str], k: int
 ) -> tuple[DataFrame | None, int]:
-    """(pid, w, dims…, best) of left locations: `best` lists (d2, w, pid) of their nearest right
-    locations, closest first, holding at least k rows. Both sides have pid, w, dims.
+    """(pid, w, dims…, best) of left locations: `best` lists (d2, w, first) of their nearest right
+    locations, closest first, holding at least k rows. Both sides have first, w, dims.
 
     Also gives the k used, at most the number of right rows; None when a side is empty.
     """
@@ -73,7 +73,7 @@ def nearest_sets(
     else:
         met = spread(chosen, "tile").join(spread(arrays, "tile"), "tile")
 
-    gaps = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w, q.pid AS pid))"
+    gaps = f"transform(pts, q -> struct({T.distance2(dims, 'here', 'q')} AS d2, q.w AS w, q.first AS first))"
     found = f"filter({gaps}, c -> c.d2 <= bound)"
     best = (
         met.withColumn("here", F.struct(*dims))
@@ -139,4 +139,4 @@ def eps_neighbours(rows: DataFrame, row_id: str, dims: list[str], eps: float) ->
         return lost
     near = cut(T.within(tree.tiles, tree, eps))
     counts = radius_counts(tree, near, eps)
-    return attach(rows, cut(tree.locs.join(counts, "pid").drop("pid")), dims, "w").unionByName(lost)
+    return attach(rows, cut(tree.locs.join(counts, "pid").select(*dims, "w", "n_neighbours")), dims, "w").unionByName(lost)

@@ -12,9 +12,9 @@ from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegre
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.functions.labels import proximity, temporal_parts
+from precinct.functions.labels import proximity
 from precinct.operators.cluster import assembled
-from precinct.operators.features import Encoders, Scaler
+from precinct.operators.features import Encoders, Scaler, filled_parts
 from precinct.operators.filters import criminal_recoveries
 from precinct.operators.neighbours import knn_distance
 from precinct.operators.quantiles import quantile
@@ -60,8 +60,8 @@ def training_rows(
     labelled = risk_labels(recoveries, row_id, xy).where("risk IS NOT NULL")
     columns = {"x": F.col(xy[0]), "y": F.col(xy[1])}
     if "recovery_date" in recoveries.columns:
-        parts = temporal_parts("recovery_date")
-        columns |= {n: parts[n].cast("double") for n in ("hour", "dow", "month")}
+        parts = filled_parts(recoveries, "recovery_date")
+        columns |= {n: parts[n] for n in ("hour", "dow", "month")}
     encoders = Encoders()
     if "vehicle_condition" in recoveries.columns:
         encoders = encoders.fit(recoveries, ["vehicle_condition"])
@@ -119,7 +119,10 @@ def train_risk(
 def location_risk(
     trained: RiskModel, locations: DataFrame, xy: tuple[str, str], as_of: dt.datetime | None = None
 ) -> DataFrame:
-    """Locations plus `risk_score`, for the time `as_of` and the first vehicle condition."""
+    """Locations plus `risk_score`, for the time `as_of` and the first vehicle condition.
+
+    Every location is kept; one without coordinates has a null score.
+    """
     if trained.model is None:
         raise ValueError("no risk model trained")
     now = as_of or dt.datetime.now()
@@ -132,7 +135,8 @@ def location_risk(
         for n, m, s in zip(trained.names, trained.scaler.means, trained.scaler.deviations)
     }
     vectors = VectorAssembler(
-        inputCols=[f"_f_{n}" for n in trained.names], outputCol="features", handleInvalid="skip"
+        inputCols=[f"_f_{n}" for n in trained.names], outputCol="features", handleInvalid="keep"
     ).transform(prepared.withColumns(scaled))
-    scored = trained.model.transform(vectors).withColumnRenamed("prediction", "risk_score")
-    return scored.drop("features", *features)
+    placed = F.col(xy[0]).isNotNull() & F.col(xy[1]).isNotNull()
+    scored = trained.model.transform(vectors).withColumn("risk_score", F.when(placed, F.col("prediction")))
+    return scored.drop("features", "prediction", *features)

@@ -26,7 +26,7 @@ _MAX_TURNS = _BITS // 2
 @dataclass(frozen=True)
 class Tiles:
     dims: list[str]
-    locs: DataFrame  # pid, w, dims…: one row per distinct location, written out
+    locs: DataFrame  # pid, first, w, dims…: one row per distinct location, written out
     tiles: DataFrame  # tile, w, lo_…, hi_…, pts: one row per tile
     levels: list[DataFrame]  # per depth: path, parent, n, w, leaf, lo_…, hi_…
     sizes: list[int]
@@ -36,19 +36,20 @@ class Tiles:
     def points(self) -> DataFrame:
         """tile, pid, w, dims…: one row per distinct location."""
         return self.tiles.select("tile", F.explode("pts").alias("p")).select(
-            "tile", "p.pid", "p.w", *[f"p.{d}" for d in self.dims]
+            "tile", "p.pid", "p.first", "p.w", *[f"p.{d}" for d in self.dims]
         )
 
 
 def locations(rows: DataFrame, row_id: str, dims: list[str]) -> DataFrame:
-    """Distinct locations with their row count `w` and smallest row id `pid`.
+    """Distinct locations with their row count `w` and smallest row id `first`.
 
-    Copies collapse here, before any neighbour work, with map-side partial counts.
+    Copies collapse here, before any neighbour work, with map-side partial counts. Row ids may be
+    null or repeat: they only order results, `build` gives each location a key of its own.
     """
     present = rows
     for d in dims:
         present = present.where(F.col(d).isNotNull())
-    return present.groupBy(*dims).agg(F.count("*").alias("w"), F.min(row_id).alias("pid"))
+    return present.groupBy(*dims).agg(F.count("*").alias("w"), F.min(row_id).alias("first"))
 
 
 def build(
@@ -58,7 +59,8 @@ def build(
     seen = Observation()
     edges = [f"{f}({d}) AS {name}_{d}" for d in dims for f, name in (("min", "lo"), ("max", "hi"))]
     figures = ["count(*) AS n", "sum(w) AS w", *edges]
-    locs = cut(locs.select("pid", "w", *dims).observe(seen, *map(F.expr, figures)))
+    keyed = locs.select(F.monotonically_increasing_id().alias("pid"), "first", "w", *dims)
+    locs = cut(keyed.observe(seen, *map(F.expr, figures)))
     root = seen.get
     if not root["n"]:
         return None
@@ -75,14 +77,15 @@ def build(
     active = locs
     while True:
         full = Observation()
-        # below the last level only locations closer than 2^-48 of the range share a tile
-        leaf = F.expr(fits) if depth < limit else F.lit(True)
         path = _path(dims, root, depth)
-        deep = active.groupBy(path.alias("path")).agg(*map(F.expr, figures)).withColumn("fits", leaf)
+        deep = active.groupBy(path.alias("path")).agg(*map(F.expr, figures)).withColumn("fits", F.expr(fits))
         deep = cut(deep.observe(full, F.count_if(~F.col("fits")).alias("n")))
         stages.append((depth, deep))
         if not full.get["n"]:
             break
+        if depth == limit:
+            # a tile of the last level spans 2^-48 of the range in each dimension
+            raise ValueError(f"more than {capacity} locations, or a wider tile than asked for, remain in one smallest tile")
         crowded = deep.where("NOT fits").select("path")
         active = locs.withColumn("path", path).join(small(crowded, full.get["n"]), "path", "left_semi")
         depth = min(limit, depth + 3)
@@ -120,7 +123,7 @@ def build(
         here = locs.withColumn("tile", _path(dims, root, at))
         here = here.join(small(end, sizes[at][1]), "tile", "left_semi")
         placed = here if placed is None else placed.unionByName(here)
-    row = F.struct("pid", "w", *dims)
+    row = F.struct("pid", "first", "w", *dims)
     tiles = placed.groupBy("tile").agg(
         F.sum("w").alias("w"), F.collect_list(row).alias("pts"), *map(F.expr, edges)
     )

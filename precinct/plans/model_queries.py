@@ -264,8 +264,9 @@ def dbscan_suspects(spark: SparkSession, sf: str) -> DataFrame:
       SELECT (SELECT CAST(count(DISTINCT label) AS BIGINT) FROM labels WHERE label <> -1) AS n_clusters,
         (SELECT round(avg(CASE WHEN label = -1 THEN 1e0 ELSE 0e0 END), 9) FROM labels) AS noise_ratio,
         (SELECT CAST(count(*) AS BIGINT) FROM labels) AS n_records,
-        (SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END), 6)
-         FROM sides) AS silhouette""",
+        CASE WHEN (SELECT count(DISTINCT label) FROM labels WHERE label <> -1) > 1 THEN
+          (SELECT round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0e0 ELSE (b - a) / greatest(a, b) END), 6)
+           FROM sides) ELSE 0e0 END AS silhouette""",
     ("theft",),
 )
 def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,7 +316,7 @@ def location_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _anomalies(made: features.Features) -> DataFrame:
-    scaled = cut(made.standardised()[0].frame.dropna())
+    scaled = cut(made.standardised()[0].frame.fillna(0.0, made.names))
     nodes = anomaly.fit_forest(scaled, made.row_id, made.names)
     return anomaly.anomalies(scaled, made.row_id, made.names, nodes)
 

@@ -134,15 +134,10 @@ def numbered(df: DataFrame, order_by: list[str] | None = None, name: str = "seq"
     kept = kept.withColumn("_part", F.shiftright("_mono", 33)).withColumn(
         "_pos", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
     )
+    # One row per partition, so one task may sum up the rows before each of them.
     sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    earlier = sizes.select(F.col("_part").alias("_before"), F.col("_n").alias("_m"))
-    # One row per partition: a bounded table whatever the data size.
-    offsets = (
-        F.broadcast(sizes)
-        .join(F.broadcast(earlier), F.col("_before") < F.col("_part"), "left")
-        .groupBy("_part")
-        .agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_offset"))
-    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
         kept.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + F.col("_pos"))

@@ -11,7 +11,11 @@ from precinct.schemas import Entity
 
 
 def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
-    """All cells as text. `multiline` allows line breaks in quoted cells but unsplit files."""
+    """All cells as text. `multiline` allows line breaks in quoted cells but unsplit files.
+
+    The files of a folder must agree in their headers; another order of columns is an error of
+    the job, as cells are taken by position.
+    """
     if not exists(spark, path):
         raise FileNotFoundError(f"CSV file not found: {path}")
     return (
@@ -19,6 +23,7 @@ def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8", multiline:
         .option("encoding", encoding)
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("enforceSchema", False)
         .csv(path)
     )
 

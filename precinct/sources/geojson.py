@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from precinct.functions.geo import WEB_MERCATOR, WGS84, reproject
 from precinct.runtime import exists
 
+# The names of the two systems that coordinates may be in.
+_CRS_NAMES = {
+    "EPSG:4326": WGS84, "urn:ogc:def:crs:EPSG::4326": WGS84, "urn:ogc:def:crs:OGC:1.3:CRS84": WGS84, "OGC:CRS84": WGS84,
+    "EPSG:3857": WEB_MERCATOR, "urn:ogc:def:crs:EPSG::3857": WEB_MERCATOR,
+}
+
 _PROPERTIES = "map<string,string>"
 _FEATURE = "struct<type:string,properties:string,geometry:string>"
 
@@ -35,8 +41,10 @@ def read_layer(spark: SparkSession, path: str, crs: str = WGS84, lines: bool = F
             raise ValueError(f"Error reading layer {path}: not a FeatureCollection")
         if named["name"] is None:
             warnings.warn(f"No CRS found in layer, assuming {WGS84}")
-        elif "3857" in named["name"]:
-            source = WEB_MERCATOR
+        elif named["name"] not in _CRS_NAMES:
+            raise ValueError(f"Error reading layer {path}: CRS {named['name']} is not supported")
+        else:
+            source = _CRS_NAMES[named["name"]]
         features = whole.select(F.inline("features"))
 
     kind = F.get_json_object("geometry", "$.type")

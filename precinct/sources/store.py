@@ -115,10 +115,19 @@ def save(
 
 
 def _reads_from(rows: DataFrame, path: str) -> bool:
+    """Whether a folder that the plan of `rows` reads is `path` or lies in it."""
     place = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
-    folder = system.makeQualified(place).toUri().getPath().rstrip("/") + "/"
-    return any(folder in f for f in rows.inputFiles())
+    folder = system.makeQualified(place).toString().rstrip("/")
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            roots = leaf.relation().location().rootPaths()
+            for i in range(roots.size()):
+                read = system.makeQualified(roots.apply(i)).toString().rstrip("/")
+                if read == folder or read.startswith(folder + "/"):
+                    return True
+    return False
 
 
 def geometry_column(columns: list[str]) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from precinct.operators import anomaly, cluster, features, grid, models, risk
+from precinct.operators.quantiles import quantile
 
 
 def _thefts(spark, n=60):
@@ -161,3 +162,39 @@ def test_forest_is_seeded_and_sees_outliers(spark):
     np.testing.assert_array_equal(scores.sort_index(), same.sort_index())
     sample = anomaly.samples(df, "id", ["a", "b"], 601, 50, 42).groupBy("tree").count().toPandas()
     assert (sample["count"] == 256).all()
+
+
+def test_no_row_is_lost_to_missing_values(spark):
+    thefts = _thefts(spark).withColumn("n", F.substring("incident_id", 4, 3).cast("int"))
+    thefts = thefts.withColumn("incident_date", F.when(F.col("n") % 6 != 0, F.col("incident_date")))
+    thefts = thefts.withColumn("incident_lon", F.when(F.col("n") % 11 != 0, F.col("incident_lon"))).drop("n")
+    made = features.theft_features(thefts)
+    assert made.frame.where("hour IS NULL").isEmpty()
+    trained = models.Trained()
+    assert models.train_anomalies(trained, "theft", made).count() == 60
+    models.train_clusters(trained, "theft", made)
+    assert trained.labels["theft"].count() == 60
+    recoveries = _recoveries(spark)
+    first = recoveries.agg(F.min("recovery_id")).first()[0]
+    recoveries = recoveries.withColumn("recovery_date", F.when(F.col("recovery_id") != first, F.col("recovery_date")))
+    model = risk.train_risk(recoveries, trees=5)
+    scored = risk.location_risk(model, thefts, ("incident_lon", "incident_lat"), dt.datetime(2024, 5, 1))
+    assert scored.count() == 60
+    assert scored.where("(incident_lon IS NULL) <> (risk_score IS NULL)").isEmpty()
+
+
+def test_forest_of_no_rows(spark):
+    made = features.theft_features(_thefts(spark).where("false"))
+    frame = made.frame.fillna(0.0, made.names)
+    nodes = anomaly.fit_forest(frame, made.row_id, made.names)
+    assert anomaly.anomalies(frame, made.row_id, made.names, nodes).count() == 0
+
+
+@pytest.mark.parametrize("few_values", [100_000, 50])
+def test_quantiles_narrow_their_bracket(spark, few_values):
+    values = np.random.default_rng(8).lognormal(0, 3, 60_000)
+    values[:9000] = 1.0
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for q in (0.0, 0.1, 0.31, 0.5, 0.999, 1.0):
+        got = df.limit(1).select(quantile(df, "v", q, accuracy=100, few_values=few_values).scalar().alias("q")).first().q
+        assert got == pytest.approx(np.quantile(values, q), rel=1e-12)

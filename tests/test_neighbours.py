@@ -109,6 +109,36 @@ def test_dbscan_border_points_and_corner_cases(spark):
     assert cluster.dbscan(df.where("false"), "id", names, 0.1, 2).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["some null", "twice"])
+def test_row_ids_may_be_null_or_repeat(spark, size_limits, ids):
+    """Locations have keys of their own, so row ids only order labels."""
+    points = _skewed(11, 420)
+    df, names = _frame(spark, points)
+    n = F.substring("id", 2, 5).cast("int")
+    df = df.withColumn("n", n).withColumn("id", F.when(n % 4 != 0, F.col("id")) if ids == "some null" else (n / 2).cast("int").cast("string"))
+    gaps2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    counted = neighbours.eps_neighbours(df, "id", names, 0.05).toPandas().sort_values("n")
+    np.testing.assert_array_equal(counted["n_neighbours"].to_numpy(), (gaps2 <= 0.05 * 0.05).sum(axis=1))
+    near = neighbours.knn_distance(df, df, 5, "id", "id", tuple(names), tuple(names)).toPandas().sort_values("n")
+    want = np.sqrt(np.sort(gaps2, axis=1)[:, :5]).mean(axis=1)
+    np.testing.assert_allclose(near["mean_distance"].to_numpy(), want, rtol=1e-9, atol=1e-12)
+    got = cluster.dbscan(df, "id", names, 0.05, 5).toPandas().sort_values("n")["dbscan_label"].to_numpy()
+    want = _dbscan(points, 0.05, 5)
+    # the labels' order depends on the ids, the groups do not
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    np.testing.assert_array_equal(got == -1, want == -1)
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    star = spark.range(1, 100_001).selectExpr("0L AS u", "id AS v")
+    chain = spark.range(200_000, 200_300).selectExpr("id AS u", "id + 1 AS v")
+    odd = spark.createDataFrame([(7, 7), (None, 5), (900_000, None)], "u bigint, v bigint")
+    found = connected_components(star.unionByName(chain).unionByName(odd))
+    sizes = {r.component: r.n for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 100_001, 200_000: 301}
+    assert connected_components(odd).count() == 0
+
+
 def test_tiles_stay_small_and_complete(spark):
     points = _skewed(4)
     df, names = _frame(spark, points)

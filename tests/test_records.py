@@ -200,3 +200,26 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(address_lat" in plan and "LessThanOrEqual(address_lon" in plan
     assert "suspect_name" not in plan
+
+
+def test_files_with_another_header_order_fail(spark, tmp_path):
+    from precinct.sources.csv import read_raw
+
+    (tmp_path / "a.csv").write_text("make,model\nHonda,Civic\n")
+    (tmp_path / "b.csv").write_text("model,make\nFocus,Ford\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("name,x", [("EPSG:4326", 1.0), ("urn:ogc:def:crs:OGC:1.3:CRS84", 1.0), ("EPSG:2263", None), ("EPSG:13857", None)])
+def test_only_known_reference_systems(spark, tmp_path, name, x):
+    from precinct.sources.geojson import read_layer
+
+    feature = '{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1.0,2.0]}}'
+    file = tmp_path / "layer.json"
+    file.write_text('{"type":"FeatureCollection","crs":{"properties":{"name":"%s"}},"features":[%s]}' % (name, feature))
+    if x is None:
+        with pytest.raises(ValueError, match="not supported"):
+            read_layer(spark, str(file))
+    else:
+        assert read_layer(spark, str(file)).first().x == x
