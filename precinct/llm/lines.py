@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precinct.runtime import cut, small
+from precinct.runtime import cut, small, spread
 
 EDITS = 2
 
@@ -71,16 +71,21 @@ def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether two texts are within `edits` insertions, deletions and replacements.
+    """Whether two texts are within `edits` insertions, deletions and replacements of code points."""
+    near = near_chars(F.split(a, ""), F.split(b, ""), F.char_length(a), F.char_length(b), edits)
+    return F.when(F.char_length(b) == 0, F.char_length(a) <= edits).otherwise(near)
+
+
+def near_chars(left: Column, right: Column, n_left: Column, n_right: Column, edits: int = EDITS) -> Column:
+    """The same for arrays of characters, the second not empty; give stored arrays, as each step reads them.
 
     Row d of the automaton is a bit mask over the diagonals -edits..edits that d edits reach.
-    Reading one character of `b` moves all diagonals of a row at once: along matches, by a
+    Reading one character of `right` moves all diagonals of a row at once: along matches, by a
     replacement or an inserted character from the row above, and by a deleted one from the new
-    row above. Code points are compared.
+    row above.
     """
     width = 2 * edits + 1
     every = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
 
     def down(above: Column) -> Column:
         return F.shiftleft(above, 1)
@@ -97,20 +102,24 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         for k in range(width):
             same = F.coalesce(F.get(left, at + (k - edits)) == char, F.lit(False))
             match = match.bitwiseOR(F.when(same, F.lit(1 << k)).otherwise(F.lit(0)))
-        new: list[Column] = []
-        for d, name in enumerate(names):
-            state = row[name].bitwiseAND(match)
-            if d:
-                above = row[names[d - 1]]
-                state = state.bitwiseOR(above).bitwiseOR(F.shiftright(above, 1)).bitwiseOR(down(new[-1]))
-            new.append(state.bitwiseAND(F.lit(every)))
-        return F.struct(*(x.cast("int").alias(n) for x, n in zip(new, names, strict=True)))
-
-    final = F.char_length(a) - F.char_length(b) + edits
-    last = F.aggregate(F.sequence(F.lit(0), F.char_length(b) - 1), start, read)[names[-1]]
-    return (F.abs(F.char_length(a) - F.char_length(b)) <= edits) & F.when(
-        F.char_length(b) == 0, F.char_length(a) <= edits
-    ).otherwise(F.call_function("shiftright", last, final.cast("int")).bitwiseAND(F.lit(1)) == 1)
+        # the match mask is worked out once and handed to the rows as a one-element array
+        return F.transform(F.array(match), lambda m: _stepped(row, m, names, every))[0]
+
+    final = n_left - n_right + edits
+    last = F.aggregate(F.sequence(F.lit(0), n_right - 1), start, read)[names[-1]]
+    reached = F.call_function("shiftright", last, final.cast("int")).bitwiseAND(F.lit(1)) == 1
+    return (F.abs(n_left - n_right) <= edits) & reached
+
+
+def _stepped(row: Column, match: Column, names: list[str], every: int) -> Column:
+    new: list[Column] = []
+    for d, name in enumerate(names):
+        state = row[name].bitwiseAND(match)
+        if d:
+            above = row[names[d - 1]]
+            state = state.bitwiseOR(above).bitwiseOR(F.shiftright(above, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+        new.append(state.bitwiseAND(F.lit(every)))
+    return F.struct(*(x.cast("int").alias(n) for x, n in zip(new, names, strict=True)))
 
 
 def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -119,10 +128,11 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = cut(ids)
     # only lines that take part are read again; their number decides between broadcast and shuffle
-    texts = cut(lines.join(small(ids, ids.count()), "id", "left_semi").select("id", "line"))
-    pairs = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "left"}), "a")
-    pairs = pairs.join(texts.withColumnsRenamed({"id": "b", "line": "right"}), "b")
-    return cut(pairs.where(within(F.col("left"), F.col("right"), edits)).select("a", "b"))
+    texts = cut(lines.join(small(ids, ids.count()), "id", "left_semi").select("id", F.split("line", "").alias("text")))
+    pairs = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a")
+    pairs = spread(pairs.join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b"), "a", "b")
+    near = near_chars(F.col("left"), F.col("right"), F.size("left"), F.size("right"), edits)
+    return cut(pairs.where(near).select("a", "b"))
 
 
 def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
