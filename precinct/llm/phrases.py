@@ -73,9 +73,10 @@ def _anchors(hashes: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tup
 
 
 def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, th, h, starts, counts): each anchor of a text and the windows that chose it.
+    """(doc_id, th, h, places): each anchor of a text and the windows that chose it.
 
-    The places of an anchor that a text repeats are packed into one row.
+    The places of an anchor that a text repeats are packed into one row. A place is the first
+    window times `window`, plus how many windows follow it; fewer than `window` share an anchor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,15 +87,15 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             row, h, start, n = _anchors(word_hashes(list(chain.from_iterable(words))), doc, window, gram)
             order = np.lexsort((h, row))
             row, h, start, n = row[order], h[order], start[order], n[order]
-            start = (start - (sizes.cumsum() - sizes)[row]).astype(np.int32)
+            start = start - (sizes.cumsum() - sizes)[row]
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]) if len(row) else np.zeros(0, int)
             ends = pa.array(np.r_[new, len(row)].astype(np.int32))
             rows = pa.array(row[new])
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (start, n)]
-            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[new]), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h", "starts", "counts"])
+            places = pa.ListArray.from_arrays(ends, pa.array(start * window + n - 1))
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h[new]), places]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h", "places"])
 
-    return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, starts array<int>, counts array<int>")
+    return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, places array<bigint>")
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -107,19 +108,20 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     found = anchors(docs, window, gram)
     same = Window.partitionBy("h")
     found = found.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
-    spots = found.where("low < high").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "starts", "counts")).alias("spots"))
+    spots = found.where("low < high").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out: dict[str, list] = {"doc_id": [], "th": [], "h": [], "start": [], "piece": []}
             for doc_id, th, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = [w.decode() for w in words_of(text)]
-                for h, start, n in {(s["h"], *at) for s in spots for at in zip(s["starts"], s["counts"], strict=True)}:
+                for h, place in {(s["h"], at) for s in spots for at in s["places"]}:
+                    start, more = divmod(place, window)
                     out["doc_id"].append(doc_id)
                     out["th"].append(th)
                     out["h"].append(h)
                     out["start"].append(start)
-                    out["piece"].append(" ".join(words[start : start + n + window - 1]))
+                    out["piece"].append(" ".join(words[start : start + more + window]))
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("piece", pa.string())])
