@@ -1,0 +1,220 @@
+"""Toxicity, decontamination, main text, language model and pipeline on small fixtures."""
+
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from precinct.llm import decontaminate, html, lm, toxicity
+
+
+def _words(rng, n, v=300):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(3 + x % 5)) if rng.random() < 0.3 else f"word{x}" for x in (rng.randrange(v) for _ in range(n)))
+
+
+# ---- toxicity ----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = _words(rng, rng.randrange(30, 120)).split()
+        if bad:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(["grumblefoot", "Snortwhelp", "vilecreature"]) + rng.choice(["", ",", "ish"]))
+        rows.append((i, " ".join(words), "x", 1.0))
+        if i % 2 == 0 or i % 5 == 0:
+            labels.append((i, int(bad), 1))
+    rows += [(1000, None, "x", 0.0), (1001, "", "x", 0.0), (None, "plain words", "x", 0.0), (1002, "z" * 100_000, "x", 0.0), (0, rows[0][1], "x", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, predicted string, score double")
+    return docs, spark.createDataFrame([*labels, (5, None, None)], "doc_id bigint, toxic int, quality int")
+
+
+def test_toxicity(labelled):
+    docs, labels = labelled
+    got = toxicity.scored(docs, labels).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        crc = zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode())
+        assert r.held_out == (crc % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    known = [r for r in got if r.doc_id is not None and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in known]) > 0.95
+    assert all(r.predicted == 0 for r in got if r.doc_id is None or r.doc_id >= 1000)
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(r.predicted == 0 for r in got)
+
+
+def test_toxicity_without_labels(labelled):
+    docs, labels = labelled
+    assert {r.predicted for r in toxicity.scored(docs, labels.where("false")).collect()} == {0}
+    assert toxicity.scored(docs.where("false"), labels).count() == 0
+
+
+# ---- decontamination ---------------------------------------------------------------
+
+
+def test_benchmark_passages(spark):
+    rng = random.Random(2)
+    fresh = iter(range(10**6))
+    words = lambda n: [f"t{next(fresh)}" for _ in range(n)]
+    items = [(i, words(n)) for i, n in enumerate((40, 25, 14, 9, 6, 4))]
+    changed = [w if k % 9 != 4 else "other" for k, w in enumerate(items[0][1])]
+    texts = {
+        1: (words(50) + items[0][1] + words(9), [0]),
+        2: (words(5) + changed, [0]),
+        3: (items[1][1][:20], [1]),
+        4: (items[1][1][:9] + words(30), []),
+        5: (items[2][1] + words(3) + items[3][1] + words(2) + items[4][1] + items[5][1], [2, 3, 4]),
+        6: (words(500), []),
+        7: ([w.upper() + "," for w in items[0][1]], [0]),
+        8: ([w if k % 3 else "other" for k, w in enumerate(items[0][1])], []),
+        9: (items[0][1] * 300, [0]),
+    }
+    rows = [(i, " ".join(w), "x", "y") for i, (w, _) in texts.items()]
+    rows += [(20, None, "x", "y"), (21, "", "x", "y"), (1, rows[0][1], "x", "y"), (None, rows[0][1], "x", "y"), (6, rows[0][1], "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string, row string")
+    bench = spark.createDataFrame([(i, " ".join(w), 0) for i, w in items] + [(90, None, 0), (91, "", 0)], "item_id bigint, text string, doc_id int")
+    got = sorted(((r.doc_id, r["items"], r.contaminated) for r in decontaminate.report(docs, bench).collect()), key=str)
+    want = [(i, found, bool(found)) for i, (_, found) in texts.items()]
+    want += [(20, [], False), (21, [], False), (1, [0], True), (None, [0], True), (6, [0], True)]
+    assert got == sorted(want, key=str)
+    kept = decontaminate.without_benchmark(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _, hit in want if not hit), key=str)
+    assert decontaminate.report(docs, bench.where("false")).where("contaminated").isEmpty()
+    assert decontaminate.report(docs.where("false"), bench).count() == 0
+
+
+# ---- main text ---------------------------------------------------------------------
+
+
+def _page(body, host="a.example", path="p"):
+    return f"http://{host}/{path}", f'<!DOCTYPE html><html><head><title>T</title><style>p{{x}}</style></head><body>{body}</body></html>'
+
+
+def test_main_text(spark):
+    shell = (
+        '<header><h1>Site</h1></header><nav><ul><li><a href="/">Home {n}</a></li></ul></nav><div class="cookie-notice">We use</div>'
+        '<div id="content"><div class="post"><h2>Title {n}</h2><p class="share-line">Written by the staff of this site</p>{body}</div>'
+        '<section class="comments"><p>I agree {n}</p></section></div><aside>See also {n}</aside><form><p>Search</p></form>'
+        '<div class="ad">Buy {n}</div><footer>&copy; 2020</footer><script>var t="</p>{n}";</script>'
+    )
+    rows, want = [], {}
+    for n in range(8):
+        body = "".join(f"<p>Body {n} text &amp; more\n  of it {k} <b>bold</b><br>line<!-- no --></p>" for k in range(n + 1)) + f"<ul><li>one {n}<li>two {n}</ul>"
+        rows.append((n, *_page(shell.replace("{n}", str(n)).replace("{body}", body)), "x"))
+        blocks = [f"Title {n}", *(f"Body {n} text & more of it {k} bold line" for k in range(n + 1)), f"one {n}", f"two {n}"]
+        want[n] = "\n".join(blocks)
+    article = "<nav>menu</nav><article><h1>Only one</h1><p><b>Lead<br><p>rest &eacute; a < b</article><footer>f</footer>"
+    rows += [(20, *_page(article, "b.example"), "x"), (21, "http://c.example/", None, "x"), (22, None, "", "x"), (23, None, "plain", "x"), (24, "http://d.example/", "<p>" + "long " * 50_000, "x")]
+    want |= {20: "Only one\nLead\nrest é a < b", 21: "", 22: "", 23: "plain", 24: ("long " * 50_000).strip()}
+    rows += [(30 + k, *_page(article, "e.example", str(k)), "x") for k in range(5)]
+    want |= {30 + k: want[20] for k in range(5)}
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string").repartition(3)
+    for r in html.main_text(pages).collect():
+        assert r.text == want[r.page_id], r.page_id
+        assert r.n_chars == len(r.text)
+    assert html.main_text(pages.where("false")).count() == 0
+
+
+# ---- language model ----------------------------------------------------------------
+
+
+def _plain_ctw(train, text):
+    """log10 probability by plain recursion over context trees with the counts of `train`."""
+    counts = {}
+    for t in train:
+        data = b"\n" * lm.DEPTH + t
+        for i in range(lm.DEPTH, len(data)):
+            for k in range(8):
+                node = (1 << k) | (data[i] >> (8 - k))
+                for d in range(lm.DEPTH + 1):
+                    key = (data[i - d : i], node)
+                    counts.setdefault(key, [0, 0])[(data[i] >> (7 - k)) & 1] += 1
+    children = {}
+    for context, node in counts:
+        if context:
+            children.setdefault((context[1:], node), []).append((context, node))
+    memory = {}
+
+    def kt(n0, n1):
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+
+    def weighted(key):
+        if key not in memory:
+            own = kt(*counts[key])
+            below = sum(weighted(c) for c in children.get(key, ()))
+            memory[key] = own if len(key[0]) == lm.DEPTH else np.logaddexp(own, below) - math.log(2)
+        return memory[key]
+
+    def one(data, i, node, d=0):
+        key = (data[i - d : i], node)
+        if key not in counts:
+            return 0.5
+        n0, n1 = counts[key]
+        p = (n1 + 0.5) / (n0 + n1 + 1)
+        if d == lm.DEPTH:
+            return p
+        stop = math.exp(kt(n0, n1) - math.log(2) - weighted(key))
+        return stop * p + (1 - stop) * one(data, i, node, d + 1)
+
+    data, total = b"\n" * lm.DEPTH + text, 0.0
+    for i in range(lm.DEPTH, len(data)):
+        for k in range(8):
+            p = one(data, i, (1 << k) | (data[i] >> (8 - k)))
+            total += math.log10(p if (data[i] >> (7 - k)) & 1 else 1 - p)
+    return total
+
+
+def test_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    rng = random.Random(4)
+    texts = [None, "", " \t", "One", "Ünï cödé  words\nhere"] + [_words(rng, rng.randrange(1, 60), 20) for _ in range(35)]
+    rows = [(i, t, "x", 0.0) for i, t in enumerate(texts)] + [(3, "one", "x", 0.0), (None, "no id", "x", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, token string, score double").repartition(2)
+    held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2 for i, *_ in rows}
+    coded = [(i, *lm.coded(t)) for i, t, *_ in rows]
+    train = [t for i, _, t in coded if not held[i]]
+    counts = {}
+    for i, words, _ in coded:
+        if not held[i]:
+            for w in [*words, b""]:
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, words, text in coded:
+        c = [counts.get(w, 0) for w in [*words, b""]]
+        base = sum(math.log10((x + 1) / (n + 1 * (v + 1))) for x in c)
+        want.append((i, held[i], len(c), sum(x > 0 for x in c), n, round(base, 6), round(_plain_ctw(train, text), 6)))
+    got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.scored(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert lm.scored(docs.where("false")).count() == 0
+
+
+# ---- pipeline ----------------------------------------------------------------------
+
+
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(6)
+    items = [(0, " ".join(f"bench{k}" for k in range(30)))]
+    clean = {i: "\n".join(_words(rng, 60, 5000) for _ in range(4)) for i in range(40)}
+    rows = [(i, t, "en", "s", len(t)) for i, t in clean.items()]
+    rows += [(100, clean[3], "en", "s", 1), (101, clean[4] + " tail", "en", "s", 1), (102, _words(rng, 50, 5000) + " " + items[0][1], "en", "s", 1)]
+    insults = "grumblefoot snortwhelp vilecreature grumblefoot"
+    rows += [(200 + k, f"{_words(rng, 40, 5000)} {insults}", "en", "s", 1) for k in range(30)]
+    labels = [(i, 0, 1) for i in range(40)] + [(200 + k, 1, 1) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # the near copy keeps its changed line only, which is a text of its own
+    assert set(got) - {101} == set(range(40))
+    assert all(got[i].decoded_sha256 == hashlib.sha256(clean[i].encode()).hexdigest() for i in range(40))
