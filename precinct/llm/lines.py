@@ -3,12 +3,15 @@
 A line is cut into one segment more than the edits allowed, so of two lines within that distance
 one has a whole segment of the other, at nearly the same place. Segments are indexed by line
 length, number and content; a line probes the index of each length it may match with the few
-substrings that can be that segment. Candidates are verified by a bit-parallel automaton that
+substrings that can be that segment. Where many lines share a segment, masks of their characters
+rule out most pairs in the join itself. Candidates are verified by a bit-parallel automaton that
 follows only the band of diagonals within the distance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,41 +41,140 @@ def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return cut(found.withColumns({"id": F.monotonically_increasing_id(), "chars": F.char_length("line")}))
 
 
-def _segment(chars: Column, number: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of a segment (from 0); the last ones take the odd characters."""
+def _segment(chars: Column, number: Column, edits: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of a segment (from 0); the last ones take the odd characters."""
     base, odd = F.floor(chars / (edits + 1)).cast("int"), (chars % (edits + 1)).cast("int")
     plain = edits + 1 - odd  # segments of the base length come first
-    start = base * number + F.greatest(F.lit(number) - plain, F.lit(0)) + 1
-    return start, base + (F.lit(number) >= plain).cast("int")
+    return base * number + F.greatest(number - plain, F.lit(0)), base + (number >= plain).cast("int")
 
 
-def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b) ids of distinct lines that share a segment; every pair within `edits` is among them."""
-    segments = []
-    for number in range(edits + 1):
-        start, length = _segment(F.col("chars"), number, edits)
-        segments.append(F.xxhash64("chars", F.lit(number), F.substring(F.col("line"), start, length)))
-    index = lines.select(F.col("id").alias("b"), F.explode(F.array(*segments)).alias("key"))
-    probes = []
+def _keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, id, probe) of each segment (probe false) and of each further substring that may be one (true)."""
+    own, others = [], []
     for shorter in range(edits + 1):
-        chars = F.col("chars") - shorter
         for number in range(edits + 1):
-            start, length = _segment(chars, number, edits)
             # a first common segment has at most `number` edits before it and the others behind it
             left = max(-number, shorter - (edits - number))
             right = min(number, shorter + (edits - number))
             for shift in range(left, right + 1):
-                probe = F.xxhash64(chars, F.lit(number), F.substring(F.col("line"), start + shift, length))
-                fits = (chars >= min_chars) & (start + shift >= 1) & (start + shift + length - 1 <= F.col("chars"))
-                probes.append(F.when(fits, probe))
-    probe = lines.select(F.col("id").alias("a"), "chars", F.explode(F.array(*probes)).alias("key")).where("key IS NOT NULL")
-    pairs = probe.select("a", "key").join(index, "key").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                place = F.struct(F.lit(number).alias("number"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift"))
+                (others if shorter or shift else own).append(place)
+
+    def hashed(code: Column, places: list[Column]) -> Column:
+        def key(at: Column) -> Column:
+            chars = F.col("chars") - at["shorter"]
+            start, length = _segment(chars, at["number"], edits)
+            start = start + at["shift"]
+            fits = (chars >= min_chars) & (start >= 0) & (start + length <= F.col("chars"))
+            return F.when(fits, F.xxhash64(chars, at["number"], F.substring(code, start * 4 + 1, length * 4)))
+
+        return F.transform(F.array(*places), key)
+
+    def both(code: Column) -> Column:
+        pair = F.struct(hashed(code, own).alias("own"), hashed(code, others).alias("others"))
+        return _bound(pair, lambda x: F.concat(
+            F.transform(x["own"], lambda k: F.struct(k.alias("key"), F.lit(False).alias("probe"))),
+            F.transform(F.array_compact(F.array_except(x["others"], x["own"])), lambda k: F.struct(k.alias("key"), F.lit(True).alias("probe"))),
+        ))
+
+    # four bytes a character, so that a substring is cut out without counting characters
+    keys = _bound(F.encode("line", "UTF-32"), both)
+    return lines.select("id", F.explode(keys).alias("k")).select("k.key", "id", "k.probe")
+
+
+def _traits(line: Column) -> Column:
+    """Two bit masks of a line: the parities of its characters and of its pairs of neighbours, by hash."""
+
+    def mask(buckets: Column) -> Column:
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(buckets, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", one, k.cast("int"))))
+
+    def both(chars: Column) -> Column:
+        pairs = F.transform(chars, lambda c, i: F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)))
+        return F.struct(mask(F.transform(chars, lambda c: F.pmod(F.xxhash64(c), F.lit(64)))).alias("chars"), mask(pairs).alias("pairs"))
+
+    return _bound(F.split(line, ""), both)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _alike(edits: int) -> Column:
+    """Whether the masks of lines `a` and `b` allow `edits`.
+
+    An edit changes the parity of at most two characters (one, if it changes the length) and of
+    at most four pairs of neighbours.
+    """
+    apart = F.abs(F.col("a.chars") - F.col("b.chars"))
+    chars = F.bit_count(F.col("a.traits.chars").bitwiseXOR(F.col("b.traits.chars")))
+    pairs = F.bit_count(F.col("a.traits.pairs").bitwiseXOR(F.col("b.traits.pairs")))
+    return (apart <= edits) & (chars <= 2 * edits - apart) & (pairs <= 4 * edits)
+
+
+def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(a, b) ids, a < b, of distinct lines that share a segment; every pair within `edits` is among them.
+
+    Keys are first counted, with partial counts before the shuffle. A key of two lines is their
+    pair. Lines under a key of more are joined within it, on condition that their masks allow the
+    edits, so variants of one long line that only share a segment make no pairs.
+    """
+    keys = _keys(lines, edits, min_chars)
+    found = keys.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bool_and("probe").alias("probes")
+    )
+    shared = cut(found.where("n > 1 AND NOT probes"))
+    two = shared.where("n = 2").select("a", "b")
+    more = shared.where("n > 2").select("key")
+    rows = cut(keys.join(small(more, more.count()), "key"))
+    ids = cut(rows.select("id").distinct())
+    traits = cut(lines.join(small(ids, ids.count()), "id", "left_semi").select("id", "chars", _traits(F.col("line")).alias("traits")))
+    rows = cut(rows.join(traits, "id"))
+    a, b = rows.alias("a"), rows.where("NOT probe").alias("b")
+    other = (F.col("a.id") < F.col("b.id")) | (F.col("a.probe") & (F.col("a.id") != F.col("b.id")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & other & _alike(edits))
+    pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+    return two.unionByName(pairs).distinct()
+
+
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """The length of the common start of two texts, up to `most`, by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+
+    def further(done: Column, step: Column) -> Column:
+        same = (step <= most - done) & (F.substring(a, done + 1, step) == F.substring(b, done + 1, step))
+        return F.when(same, done + step).otherwise(done)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """Whether two texts are within `edits` insertions, deletions and replacements of code points."""
-    near = near_chars(F.split(a, ""), F.split(b, ""), F.char_length(a), F.char_length(b), edits)
+    """Whether two texts are within `edits` insertions, deletions and replacements of code points.
+
+    Their common start and end change nothing and are left out before the automaton runs.
+    """
+
+    def middle(x: Column) -> Column:
+        most = F.least(F.char_length(x["a"]), F.char_length(x["b"]))
+        return _bound(
+            F.struct(x["a"], x["b"], _common(x["a"], x["b"], most).alias("start")),
+            lambda y: _bound(
+                F.struct(y["a"], y["b"], y["start"], _common(F.reverse(y["a"]), F.reverse(y["b"]), most - y["start"]).alias("end")),
+                lambda z: _bound(
+                    F.struct(*(F.substring(z[c], z["start"] + 1, F.char_length(z[c]) - z["start"] - z["end"]).alias(c) for c in ("a", "b"))),
+                    lambda m: _near(m["a"], m["b"], edits),
+                ),
+            ),
+        )
+
+    near = _bound(F.struct(a.alias("a"), b.alias("b")), middle)
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) <= edits, near).otherwise(F.lit(False))
+
+
+def _near(a: Column, b: Column, edits: int) -> Column:
+    chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.char_length(a).alias("n"), F.char_length(b).alias("m"))
+    near = _bound(chars, lambda x: near_chars(x["a"], x["b"], x["n"], x["m"], edits))
     return F.when(F.char_length(b) == 0, F.char_length(a) <= edits).otherwise(near)
 
 
@@ -125,14 +227,12 @@ def _stepped(row: Column, match: Column, names: list[str], every: int) -> Column
 def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b) ids, a < b, of exactly the pairs of distinct lines within `edits`."""
     pairs = cut(candidates(lines, edits, min_chars))
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = cut(ids)
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     # only lines that take part are read again; their number decides between broadcast and shuffle
-    texts = cut(lines.join(small(ids, ids.count()), "id", "left_semi").select("id", F.split("line", "").alias("text")))
-    pairs = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a")
-    pairs = spread(pairs.join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b"), "a", "b")
-    near = near_chars(F.col("left"), F.col("right"), F.size("left"), F.size("right"), edits)
-    return cut(pairs.where(near).select("a", "b"))
+    texts = cut(lines.join(small(ids, ids.count()), "id", "left_semi").select("id", "line"))
+    pairs = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "left"}), "a")
+    pairs = spread(pairs.join(texts.withColumnsRenamed({"id": "b", "line": "right"}), "b"), "a", "b")
+    return cut(pairs.where(within(F.col("left"), F.col("right"), edits)).select("a", "b"))
 
 
 def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

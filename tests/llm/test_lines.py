@@ -84,3 +84,34 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(_rows(), "doc_id bigint, text string, line string, id int")
     plan = lines.candidates(lines.distinct_lines(docs))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_variants_of_one_line(spark):
+    """Variants that share segments make few candidates, and no link between them is lost."""
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choice("abcdefgé") for _ in range(6)) for _ in range(30))
+    far = {base}
+    for _ in range(200):
+        at = rng.randrange(len(base))
+        far.add(base[:at] + "".join(rng.choice("hijklmnopqrs") for _ in range(5)) + base[at:])
+    pool = sorted(far) + sorted({_edited(rng, x, rng.randrange(1, 3)) for x in rng.sample(sorted(far), 40)} - far)
+    found = lines.distinct_lines(spark.createDataFrame(enumerate(pool), "doc_id bigint, text string").repartition(3))
+    text = {r.id: r.line for r in found.collect()}
+    # lines of very different content cannot be near: only the others are worth the slow check
+    want = {frozenset((a, b)) for i, a in enumerate(pool) for b in pool[:i] if abs(len(a) - len(b)) <= 2 and _close(a, b)}
+    got = [frozenset((text[r.a], text[r.b])) for r in lines.links(found).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 30
+    assert lines.candidates(found).count() < 0.3 * len(pool) ** 2 / 2
+
+
+def _close(a, b):
+    """Distance at most 2 by trying the edits at the first difference."""
+
+    def at_most(i, j, left):
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        if i == len(a) or j == len(b):
+            return len(a) - i + len(b) - j <= left
+        return left > 0 and (at_most(i + 1, j + 1, left - 1) or at_most(i + 1, j, left - 1) or at_most(i, j + 1, left - 1))
+
+    return at_most(0, 0, 2)
