@@ -3,7 +3,8 @@
 A seed hashes the tokens of a short window at the places that a fixed mask keeps and ignores the
 others, so a passage is still hit when words at ignored places were replaced. Hits of test and
 training seeds give a document, an item and a shift between them; along that shift the tokens
-are compared one by one, and the stretch that agrees best is an overlap.
+are compared one by one, and the stretch with most equal tokens among those that agree well
+enough is an overlap.
 """
 
 from __future__ import annotations
@@ -99,18 +100,27 @@ class Items:
             equal = self.hashes[self.start[item] + a : self.start[item] + b] == hashes[at + a : at + b]
             start, end, same = _best(equal)
             needed = min(MIN_TOKENS, int(np.ceil(IDENTITY * self.sizes[item])))
-            if same >= needed and same >= IDENTITY * (end - start):
+            if same >= needed:
                 out.append((doc, item, int(shift + a + start), int(shift + a + end), int(same)))
         return out
 
 
 def _best(equal: np.ndarray) -> tuple[int, int, int]:
-    """The stretch that gains most when an equal token counts 1 and another one as much as IDENTITY allows."""
-    gain = np.where(equal, 1.0, -IDENTITY / (1 - IDENTITY)).cumsum()
-    before = np.minimum.accumulate(np.r_[0.0, gain])[:-1]
-    end = int((gain - before).argmax())
-    start = int(np.r_[0.0, gain][: end + 1].argmin())
-    return start, end + 1, int(equal[start : end + 1].sum())
+    """(start, end, equal) of the stretch with most equal tokens of those that have IDENTITY, the shortest of these.
+
+    A stretch has that share when the gain over it is not negative; the earliest start with no
+    higher gain before it than at the end is the one that holds most equal tokens.
+    """
+    gain = np.r_[0, np.where(equal, round(1000 * (1 - IDENTITY)), -round(1000 * IDENTITY)).cumsum()]
+    same = np.r_[0, equal.cumsum()]
+    start = np.searchsorted(-np.minimum.accumulate(gain), -gain, "left")
+    held = same - same[start]
+    most = int(held.max())
+    at = np.flatnonzero(held == most)
+    # an unequal token at an end adds nothing
+    end = int(at[(at - start[at]).argmin()])
+    inside = np.flatnonzero(equal[start[end] : end]) + start[end]
+    return (int(inside[0]), int(inside[-1]) + 1, most) if most else (0, 0, 0)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -93,6 +93,20 @@ def test_benchmark_passages(spark):
     assert decontaminate.report(docs.where("false"), bench).count() == 0
 
 
+def test_best_stretch():
+    """Against all stretches: the most equal tokens at the stated share, also when replacements split them into runs."""
+    rng = random.Random(3)
+    lost = np.ones(16, bool)
+    lost[[6, 12]] = False
+    cases = [lost, np.zeros(5, bool), np.ones(7, bool)]
+    cases += [np.array([rng.random() < share for _ in range(n)]) for n in range(1, 41) for share in (0.6, 0.75, 0.8, 0.9) for _ in range(4)]
+    for equal in cases:
+        spans = [(a, b) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if 5 * equal[a:b].sum() >= 4 * (b - a)]
+        start, end, same = decontaminate._best(equal)
+        assert same == max((equal[a:b].sum() for a, b in spans), default=0)
+        assert equal[start:end].sum() == same and 5 * same >= 4 * (end - start)
+
+
 # ---- main text ---------------------------------------------------------------------
 
 
