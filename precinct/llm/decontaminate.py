@@ -9,6 +9,7 @@ enough is an overlap.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,8 +22,11 @@ from precinct.llm.phrases import mixed, word_hashes
 from precinct.llm.text import steps
 from precinct.runtime import cut, send_to_workers
 
-# 1: the token counts, 0: any token will do.
-MASKS = ("1110110111", "1101101011", "1011011101", "1111111100")
+# 1: the token counts, 0: any token will do. Wherever the replaced tokens lie, four equal ones in a
+# row or two pairs around a replaced one are left in every overlap of an item of 6 tokens or more;
+# items of 5 tokens have masks of their own (tested for all sets of replaced places).
+MASKS = ("1111", "11011")
+SHORT_MASKS = ("10111", "11101")
 
 # An overlap counts when it has this share of equal tokens (IDENTITY) and at least MIN_TOKENS of
 # them, or, in a shorter item, all but a fifth of the item. Items of fewer tokens than
@@ -31,17 +35,27 @@ IDENTITY = 0.8
 MIN_TOKENS = 13
 SHORTEST = 5
 
+# Hits compared at a time.
+STEP_HITS = 1 << 20
+
 # Items searched for in one pass over the documents; more items take more passes.
 SLICE_ITEMS = 20_000
 
+# Scripts written without spaces; each of their characters is a token.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+
 _KEEP = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in bytes(range(256)).lower())
 
 send_to_workers(__name__)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of ASCII letters and digits and of all other characters."""
-    return text.encode().translate(_KEEP).split() if text else []
+    """Lower-cased runs of ASCII letters and digits and of all other characters, scripts without spaces cut into characters."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.encode().translate(_KEEP).split()
 
 
 def _seeds(hashes: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +72,9 @@ def _seeds(hashes: np.ndarray, owner: np.ndarray, mask: str) -> tuple[np.ndarray
 
 
 class Items:
-    """The seeds of one slice of benchmark items, sorted by hash for each mask."""
+    """The seeds of one slice of benchmark items, sorted by hash for each mask, with the low bits of their hashes."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         tokens = [tokens_of(t) for _, t in items]
         sizes = np.array([len(t) for t in tokens], np.int64)
@@ -69,41 +83,83 @@ class Items:
         self.start = sizes.cumsum() - sizes
         self.sizes = sizes
         self.tables = []
-        span = len(masks[0])
-        # an item shorter than the masks is one window, compared as a whole
-        for mask in (*masks, *("1" * int(n) for n in sorted({n for n in sizes.tolist() if SHORTEST <= n < span}))):
+        for mask in (*MASKS, *(SHORT_MASKS if (sizes == SHORTEST).any() else ())):
             h, place = _seeds(self.hashes, self.owner, mask)
-            if len(mask) < span:
-                own = sizes[self.owner[place]] == len(mask)
-                h, place = h[own], place[own]
+            own = sizes[self.owner[place]] == SHORTEST if mask in SHORT_MASKS else sizes[self.owner[place]] >= SHORTEST
+            h, place = h[own], place[own]
             order = np.argsort(h, kind="stable")
-            self.tables.append((mask, h[order], place[order]))
+            # most seeds of a document are in no item: a table of the hashes' low bits tells at once
+            low = np.zeros(1 << max(16, int(len(h)).bit_length() + 4), bool)
+            low[h & np.uint64(len(low) - 1)] = True
+            self.tables.append((mask, h[order], place[order], low))
 
     def overlaps(self, hashes: np.ndarray, owner: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[tuple]:
         """(document, item, start, end, equal) of the best overlap of each document, item and shift."""
         found = []
-        for mask, table, place in self.tables:
+        for mask, table, place, low in self.tables:
             h, at = _seeds(hashes, owner, mask)
-            low, high = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
-            hit = np.flatnonzero(high > low)
-            counts = high[hit] - low[hit]
-            at = np.repeat(at[hit], counts)
-            of = np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)
-            item = self.owner[place[of]]
-            shift = (at - first[owner[at]]) - (place[of] - self.start[item])
-            found.append(np.stack([owner[at], item, shift]))
-        spots = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
+            likely = np.flatnonzero(low[h & np.uint64(len(low) - 1)])
+            h, at = h[likely], at[likely]
+            left, right = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+            hit = np.flatnonzero(right > left)
+            for part in _parts(right[hit] - left[hit], STEP_HITS):
+                counts = right[hit[part]] - left[hit[part]]
+                begin = np.repeat(at[hit[part]], counts)
+                of = place[_ranges(left[hit[part]], counts)]
+                item = self.owner[of]
+                shift = (begin - first[owner[begin]]) - (of - self.start[item])
+                found.append(self._likely(_unique(owner[begin], item, shift), hashes, first, sizes))
+        spots = _unique(*np.concatenate(found, axis=1)) if found else np.zeros((3, 0), np.int64)
         out = []
         for doc, item, shift in spots.T.tolist():
             a, b = max(0, -shift), min(self.sizes[item], sizes[doc] - shift)
             at = first[doc] + shift
             equal = self.hashes[self.start[item] + a : self.start[item] + b] == hashes[at + a : at + b]
             start, end, same = _best(equal)
-            needed = min(MIN_TOKENS, int(np.ceil(IDENTITY * self.sizes[item])))
-            if same >= needed:
+            if same >= _needed(self.sizes[item]):
                 out.append((doc, item, int(shift + a + start), int(shift + a + end), int(same)))
         return out
 
+    def _likely(self, spots: np.ndarray, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Those (document, item, shift) along which enough tokens are equal at all."""
+        doc, item, shift = spots
+        begin = np.maximum(0, -shift)
+        counts = np.minimum(self.sizes[item], sizes[doc] - shift) - begin
+        kept = [np.zeros((3, 0), np.int64)]
+        for part in _parts(counts, STEP_HITS):
+            equal = self.hashes[_ranges(self.start[item[part]] + begin[part], counts[part])]
+            equal = equal == hashes[_ranges(first[doc[part]] + shift[part] + begin[part], counts[part])]
+            same = np.add.reduceat(equal, counts[part].cumsum() - counts[part], dtype=np.int64)
+            kept.append(spots[:, part][:, same >= _needed(self.sizes[item[part]])])
+        return np.concatenate(kept, axis=1)
+
+
+def _needed(tokens: np.ndarray) -> np.ndarray:
+    """Equal tokens that an overlap needs, by the number of tokens of the item."""
+    return np.minimum(MIN_TOKENS, -(-round(1000 * IDENTITY) * tokens // 1000))
+
+
+def _ranges(start: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, end to end."""
+    return np.repeat(start - (counts.cumsum() - counts), counts) + np.arange(counts.sum())
+
+
+def _parts(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of rows with `most` in all, or of one row."""
+    total, a = counts.cumsum(), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield slice(a, b)
+        a = b
+
+
+def _unique(*columns: np.ndarray) -> np.ndarray:
+    """The distinct rows of integer columns, as columns in order."""
+    rows = np.stack(columns)[:, np.lexsort(columns[::-1])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+    return rows[:, new]
+
 
 def _best(equal: np.ndarray) -> tuple[int, int, int]:
     """(start, end, equal) of the stretch with most equal tokens of those that have IDENTITY, the shortest of these.

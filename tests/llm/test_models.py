@@ -1,6 +1,7 @@
 """Toxicity, decontamination, main text, language model and pipeline on small fixtures."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -107,6 +108,32 @@ def test_best_stretch():
         assert equal[start:end].sum() == same and 5 * same >= 4 * (end - start)
 
 
+def _found(items, words):
+    tokens = decontaminate.tokens_of(" ".join(words))
+    hashes, size = decontaminate.word_hashes(tokens), np.array([len(tokens)])
+    return items.overlaps(hashes, np.zeros(len(tokens), np.int64), np.zeros(1, np.int64), size)
+
+
+def test_every_overlap_has_a_seed():
+    """All sets of replaced places that the rule allows, for items of 5 to 20 tokens."""
+    for n in range(5, 21):
+        words = [f"w{k}" for k in range(n)]
+        items = decontaminate.Items([(0, " ".join(words))])
+        needed = min(13, -(-4 * n // 5))
+        for places in itertools.combinations(range(n), min(n - needed, n // 5)):
+            got = _found(items, ["a", *("other" if k in places else w for k, w in enumerate(words)), "b"])
+            assert len(got) == 1 and got[0][4] >= needed, (n, places)
+        assert not _found(items, words[: needed - 1]) and not _found(items, ["b", *words[1:needed], "a"])
+
+
+def test_items_without_spaces():
+    item = "\u5b57\u6bcd\u8868\u793a\u58f0\u97f3\u548c\u610f\u601d"
+    items = decontaminate.Items([(0, item)])
+    assert len(_found(items, ["x" + item[:4] + "\u4e0d" + item[5:] + "\u4e86", "y"])) == 1
+    assert not _found(items, [item[:6] + "\u4e0d" * 9])
+    assert decontaminate.tokens_of("ab\u5b57\u6bcdc \u00e9t\u00e9") == [x.encode() for x in ("ab", "\u5b57", "\u6bcd", "c", "\u00e9t\u00e9")]
+
+
 # ---- main text ---------------------------------------------------------------------
 
 
