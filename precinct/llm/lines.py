@@ -15,28 +15,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from precinct.llm.text import WORD
 from precinct.runtime import cut, small, spread
 
 EDITS = 2
 
-# Shorter lines always stay: a few edits would turn many of them into each other.
+# Shorter lines are not compared by edits: a few would turn many of them into each other. With
+# `short_copies` they still go as exact copies, if they have a word.
 MIN_CHARS = 20
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line) of every line long enough to be compared; lines end at \\n."""
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
+    """(doc_id, line_no, line) of every line long enough to be compared, or with `short_copies` of every one with a word; lines end at \\n."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return rows.where(F.char_length("line") >= min_chars)
+    long = F.char_length("line") >= min_chars
+    return rows.where(long | F.col("line").rlike(WORD) if short_copies else long)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """One row per distinct line: id, line, chars, n, and its first place as `rank`.
 
     Ranks order places by doc_id (null last) and line number; a line of many copies collapses
     before the shuffle. The table is written, which fixes the ids.
     """
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(18,0)") + F.col("line_no")
-    rows = occurrences(docs, min_chars).select("line", place.cast("decimal(38,0)").alias("rank"))
+    rows = occurrences(docs, min_chars, short_copies).select("line", place.cast("decimal(38,0)").alias("rank"))
     found = rows.groupBy("line").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
     return cut(found.withColumns({"id": F.monotonically_increasing_id(), "chars": F.char_length("line")}))
 
@@ -235,10 +238,10 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     return cut(pairs.where(within(F.col("left"), F.col("right"), edits)).select("a", "b"))
 
 
-def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """The distinct lines with `n_links`, the lines within `edits`, and `first`: none of them comes earlier."""
-    lines = distinct_lines(docs, min_chars)
-    pairs = links(lines, edits, min_chars)
+    lines = distinct_lines(docs, min_chars, short_copies)
+    pairs = links(lines.where(F.col("chars") >= min_chars), edits, min_chars)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ranks = lines.select(F.col("id").alias("b"), F.col("rank").alias("other"))
     linked = both.join(ranks, "b").groupBy("a").agg(F.count("*").alias("n_links"), F.min("other").alias("lowest"))
@@ -250,15 +253,15 @@ def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     )
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """(doc_id, removed, n_linked): for documents with such lines, the sorted numbers of those that go.
 
     A line goes when the same line stands at an earlier place, or when a line within `edits` of
     it stands first at an earlier place. n_linked counts the document's lines that have links.
     """
-    lines = judged(docs, edits, min_chars).where("n > 1 OR n_links > 0")
+    lines = judged(docs, edits, min_chars, short_copies).where("n > 1 OR n_links > 0")
     lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", "rank", "n_links", "first"))
-    rows = occurrences(docs, min_chars).withColumn("h", F.xxhash64("line"))
+    rows = occurrences(docs, min_chars, short_copies).withColumn("h", F.xxhash64("line"))
     # equal hashes are not enough: the texts are compared as well
     rows = rows.join(small(lines, lines.count()).withColumnRenamed("line", "known"), "h").where("line = known")
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(18,0)") + F.col("line_no")
@@ -269,7 +272,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     )
 
 
-def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_linked, removed (line numbers from 0).
 
     Null and empty texts have no lines to remove. Rows that share a doc_id share the line numbers
@@ -278,22 +281,22 @@ def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("bigint"))
-    found = cut(removed_lines(docs, edits, min_chars)).withColumnRenamed("doc_id", "of")
+    found = cut(removed_lines(docs, edits, min_chars, short_copies)).withColumnRenamed("doc_id", "of")
     whole = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left")
     removed = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda x: x < F.col("n_lines"))
     return whole.select("doc_id", "n_lines", F.size(removed).cast("bigint").alias("n_removed"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), removed.alias("removed"))
 
 
-def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """The documents, all columns, without the lines that go.
 
     A document of which all lines with a word went goes too; others, empty ones included, stay.
     """
-    found = cut(removed_lines(docs, edits, min_chars).where("size(removed) > 0").select(F.col("doc_id").alias("_of"), "removed"))
+    found = cut(removed_lines(docs, edits, min_chars, short_copies).where("size(removed) > 0").select(F.col("doc_id").alias("_of"), "removed"))
     found = found.withColumnRenamed("removed", "_removed")
     whole = docs.join(small(found, found.count()), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_of")), "left")
     kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    emptied = F.col("_removed").isNotNull() & ~F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    emptied = F.col("_removed").isNotNull() & ~F.coalesce(F.col("_text").rlike(WORD), F.lit(False))
     whole = whole.withColumn("_text", text).where(~emptied)
     return whole.select(*(F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -107,7 +107,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of each document that repeat an earlier line, up to a few edits."""
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), short_copies=True)
 
 
 @query()

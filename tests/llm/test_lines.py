@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from precinct.llm import lines
+import corpus_pipeline
+from precinct.llm import lines, queries
 
 
 def distance(a, b):
@@ -68,6 +69,17 @@ def test_report(spark):
     assert kept.columns == docs.columns and kept.count() >= 2
 
 
+def test_copies_of_short_lines(spark, tmp_path):
+    """Short lines with a word go as exact copies only, and a copy of a whole document goes."""
+    whole = "Les.\n\nA line that is long enough to compare\nLes.\nYes."
+    rows = [(1, whole), (2, whole), (3, "Les\n \nYes.\nA line that is long enough to compere"), (4, "\n "), (5, "\n "), (6, None), (None, "Les\nnew")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.removed, r.n_linked) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: ([3], 1), 2: ([0, 2, 3, 4], 1), 3: ([2, 3], 1), 4: ([], 0), 5: ([], 0), 6: ([], 0), None: ([0], 0)}
+    kept = corpus_pipeline.drop_repeated_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id: r.text for r in kept.collect()} == {1: whole.replace("Les.\nYes", "Yes"), 3: "Les\n ", 4: "\n ", 5: "\n ", 6: None, None: "new"}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_automaton(spark, edits):
     rng = random.Random(edits)
