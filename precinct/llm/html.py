@@ -4,8 +4,8 @@ The pages of a host are aligned with one reference page of that host by simple t
 Over all its pages this tells, for every node of the reference, how much text its slot carries
 and how often that text is the same: nodes that stay constant are the host's template, and the
 container that holds the varying text is its content. Each page is then aligned once more and
-gives the text under its content container, without template nodes and without what its tags and
-names say is no article text.
+gives the text under its content container, without the constant text of template nodes and without
+what its tags and names say is no article text.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ class Tree:
         return " ".join("".join(parts).split())
 
     def text(self, root: int, template: set[int]) -> str:
-        """The blocks under `root`, one per line, without template and left-out nodes."""
+        """The blocks under `root`, one per line, without left-out nodes and the template nodes' own text."""
         blocks: list[str] = []
         parts: list[str] = []
 
@@ -164,23 +164,26 @@ class Tree:
             if block:
                 blocks.append(block)
 
-        todo: list = [root]
+        # what is to come, and whether it is a template node's own text
+        todo: list = [(root, False)]
         while todo:
-            x = todo.pop()
+            x, constant = todo.pop()
             if isinstance(x, str):
-                parts.append(x)
+                if not constant:
+                    parts.append(x)
             elif x is None:
                 flush()
-            elif (x != root and self.out[x]) or x in template:
+            elif x != root and self.out[x]:
                 if self.tag[x] in BLOCK:
                     flush()
             else:
                 if self.tag[x] in BLOCK:
                     flush()
-                    todo.append(None)
+                    todo.append((None, False))
+                    constant = x in template
                 elif self.tag[x] in ("br", "wbr"):
                     parts.append(" " if self.tag[x] == "br" else "")
-                todo += self.items[x][::-1]
+                todo += [(y, constant) for y in self.items[x][::-1]]
         flush()
         return "\n".join(blocks)
 
@@ -270,7 +273,7 @@ def wrapper(reference: Tree, counts: dict) -> tuple[int, set[int]]:
         if equal >= TEMPLATE_PAGES and equal > CONSTANT * pages
     }
     whole = max(mass.values(), default=0)
-    fits = [n for n, m in mass.items() if whole and m >= CONTENT * whole and n not in template]
+    fits = [n for n, m in mass.items() if whole and m >= CONTENT * whole]
 
     def depth(node: int) -> int:
         return 0 if node <= 0 else 1 + depth(reference.parent[node])
@@ -288,7 +291,8 @@ def extract(page: str | None, reference: Tree | None, root: int, template: set[i
         own = next((n for n, t in enumerate(tree.tag) if t in ("article", "main")), None)
     if own is None:
         own = next((n for n, t in enumerate(tree.tag) if t == "body"), 0)
-    return tree.text(own, {node for node, twin in pairs.items() if twin in template})
+    # of a template slot only the constant text goes, where this page has it
+    return tree.text(own, {node for node, twin in pairs.items() if twin in template and tree.own_text(node) == reference.own_text(twin)})
 
 
 def host_of(url: str):

@@ -166,6 +166,19 @@ def test_main_text(spark):
     assert html.main_text(pages.where("false")).count() == 0
 
 
+def _texts(spark, bodies):
+    rows = [(n, *_page(body, path=str(n))) for n, body in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    return [r.text for r in sorted(html.main_text(pages).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_slots_keep_other_text(spark):
+    """A slot that most pages fill alike loses that text only, and a container's constant words only themselves."""
+    bodies = [f"<article>By <b>staff</b><h1>Head {n}</h1><p>{'Same words' if n < 5 else f'Other words {n}'}</p><p>Body {n} is long enough</p>end</article>" for n in range(8)]
+    want = [f"Head {n}\n" + (f"Other words {n}\n" if n >= 5 else "") + f"Body {n} is long enough" for n in range(8)]
+    assert _texts(spark, bodies) == want
+
+
 # ---- language model ----------------------------------------------------------------
 
 
