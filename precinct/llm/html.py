@@ -26,8 +26,11 @@ from precinct.runtime import cut, send_to_workers, small
 CONSTANT = 0.5
 TEMPLATE_PAGES = 3
 
-# The content container is the deepest one with this share of the host's varying text.
+# An article or main is the content if it has this share of the host's varying text; of other
+# containers it is the deepest one with all of it. A node whose names say that it is no article
+# text is content all the same if it holds more than MOST of that text and the host has no article.
 CONTENT = 0.8
+MOST = 0.5
 
 # Reference trees that a Python worker keeps.
 KEPT_TREES = 500
@@ -71,6 +74,7 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.sign, self.out, self.items, self.parent = ["html"], ["html"], [False], [[]], [-1]
+        self.named = [False]  # out by its names alone
         stack, at = [0], 0
         for m in _TOKEN.finditer(page):
             if m.start() > at:
@@ -111,11 +115,13 @@ class Tree:
                 else:
                     hidden |= name == "hidden" or (value == "true" if name == "aria-hidden" else "display:none" in value.replace(" ", ""))
         inside = any(self.tag[n] in ("article", "main") for n in stack)
-        edge = not inside and (tag in EDGE_TAGS or not EDGE_NAMES.isdisjoint(words))
-        out = tag in OUT_TAGS or edge or hidden or role in OUT_ROLES or (tag not in ("body", "html", "article", "main") and not OUT_NAMES.isdisjoint(words))
+        out = tag in OUT_TAGS or (not inside and tag in EDGE_TAGS) or hidden or role in OUT_ROLES
+        named = not inside and not EDGE_NAMES.isdisjoint(words)
+        named = not out and (named or (tag not in ("body", "html", "article", "main") and not OUT_NAMES.isdisjoint(words)))
         self.tag.append(tag)
         self.sign.append(tag + sign)
-        self.out.append(out)
+        self.out.append(out or named)
+        self.named.append(named)
         self.items.append([])
         self.parent.append(stack[-1])
         self.items[stack[-1]].append(node)
@@ -235,7 +241,7 @@ def align(tree: Tree, reference: Tree) -> dict[int, int]:
 
 
 def _observed(tree: Tree, reference: Tree, counts: dict) -> None:
-    """Add one page to the counts of (pages, equal, text, container) of its host's nodes."""
+    """Add one page to its host's counts: (pages, equal) of each node's text, and (other, equal) characters as its mass."""
     pairs = align(tree, reference)
     blocks = [(twin, tree.own_text(node), reference.own_text(twin)) for node, twin in pairs.items() if tree.tag[node] in BLOCK and not tree.out[node]]
     blocks = [(twin, own, other) for twin, own, other in blocks if own]
@@ -245,48 +251,80 @@ def _observed(tree: Tree, reference: Tree, counts: dict) -> None:
             row = counts.setdefault(twin, [0, 0])
             row[0] += 1
             row[1] += own == other
-    masses: Counter = Counter()
+    kept = _wrapping(tree)
+    skipped: list[bool] = []
     for node in range(len(tree.tag)):
-        if tree.tag[node] in BLOCK and not _left_out(tree, node):
-            mass = len(tree.own_text(node))
-            while node >= 0 and mass:
-                if tree.tag[node] in CONTAINER and node in pairs:
-                    masses[pairs[node]] += mass
-                node = tree.parent[node]
-    for twin, mass in masses.items():
-        counts.setdefault((twin, "mass"), [0, 0])[0] += mass
-
-
-def _left_out(tree: Tree, node: int) -> bool:
-    while node >= 0:
-        if tree.out[node]:
-            return True
-        node = tree.parent[node]
-    return False
-
-
-def wrapper(reference: Tree, counts: dict) -> tuple[int, set[int]]:
-    """(content container, template nodes) of a host, as nodes of its reference page."""
-    mass = {k[0]: v[0] for k, v in counts.items() if isinstance(k, tuple)}
+        up = tree.parent[node]
+        # what names leave out is decided for the host, but for nodes that only this page has
+        own_names = tree.named[node] and node not in pairs and node not in kept
+        skipped.append((node > 0 and skipped[up]) or own_names or (tree.out[node] and not tree.named[node]))
+        if tree.tag[node] in BLOCK and not skipped[node] and (own := tree.own_text(node)):
+            twin = node
+            while twin not in pairs:
+                twin = tree.parent[twin]
+            same = node in pairs and own == reference.own_text(pairs[node])
+            counts.setdefault((pairs[twin], "mass"), [0, 0])[same] += len(own)
+
+
+def _summed(tree: Tree, own: dict[int, int]) -> Counter:
+    """Text under each node from that of each node; parents come before their children."""
+    mass = Counter(own)
+    for node in range(len(tree.tag) - 1, 0, -1):
+        mass[tree.parent[node]] += mass[node]
+    return mass
+
+
+def _article(tree: Tree) -> bool:
+    return any(tag in ("article", "main") for tag in tree.tag)
+
+
+def _wrapping(tree: Tree) -> set[int]:
+    """Nodes out by name that hold most of the text of a page without article."""
+    if not any(tree.named) or _article(tree):
+        return set()
+    firm = [False]
+    for node in range(1, len(tree.tag)):
+        firm.append(firm[tree.parent[node]] or (tree.out[node] and not tree.named[node]))
+    mass = _summed(tree, {n: len(tree.own_text(n)) for n, tag in enumerate(tree.tag) if tag in BLOCK and not firm[n]})
+    return {n for n, named in enumerate(tree.named) if named and mass[n] > MOST * mass[0]}
+
+
+def wrapper(reference: Tree, counts: dict) -> tuple[int, set[int], set[int]]:
+    """(content container, template nodes, nodes out by name that are content) of a host, as nodes of its reference page."""
     template = {
         k for k, (pages, equal) in ((k, v) for k, v in counts.items() if not isinstance(k, tuple))
         if equal >= TEMPLATE_PAGES and equal > CONSTANT * pages
     }
-    whole = max(mass.values(), default=0)
-    fits = [n for n, m in mass.items() if whole and m >= CONTENT * whole]
+    varying = {k[0]: other + (0 if k[0] in template else same) for k, (other, same) in counts.items() if isinstance(k, tuple)}
+    kept: set[int] = set()
+    if any(reference.named) and not _article(reference):
+        mass = _summed(reference, varying)
+        kept = {n for n, named in enumerate(reference.named) if named and mass[n] > MOST * mass[0]}
+    left = [False]
+    for node in range(1, len(reference.tag)):
+        left.append(left[reference.parent[node]] or (reference.named[node] and node not in kept))
+    mass = _summed(reference, {n: m for n, m in varying.items() if not left[n]})
+    whole = mass[0]
+    containers = [n for n, tag in enumerate(reference.tag) if whole and tag in CONTAINER]
+    articles = [n for n in containers if reference.tag[n] in ("article", "main") and mass[n] >= CONTENT * whole]
 
     def depth(node: int) -> int:
         return 0 if node <= 0 else 1 + depth(reference.parent[node])
 
-    named = [n for n in fits if reference.tag[n] in ("article", "main")]
-    return max(named or fits, key=lambda n: (depth(n), -n), default=-1), template
+    return max(articles or [n for n in containers if mass[n] == whole], key=lambda n: (depth(n), -n), default=-1), template, kept
 
 
-def extract(page: str | None, reference: Tree | None, root: int, template: set[int]) -> str:
+def extract(page: str | None, reference: Tree | None, root: int, template: set[int], kept: set[int]) -> str:
     """The main text of a page under its host's wrapper."""
     tree = Tree(page or "")
     pairs = align(tree, reference) if reference else {}
     own = next((node for node, twin in pairs.items() if twin == root), None)
+    for node in _wrapping(tree):
+        if own is None or node not in pairs:
+            tree.out[node] = False
+    for node, twin in pairs.items():
+        if twin in kept and tree.named[node]:
+            tree.out[node] = False
     if own is None:  # the page has no such container: its own article, or all of it
         own = next((n for n, t in enumerate(tree.tag) if t in ("article", "main")), None)
     if own is None:
@@ -353,10 +391,10 @@ def main_text(pages: DataFrame) -> DataFrame:
                 wrappers.clear()
             for page, first, digest, counts in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 if first is None:
-                    texts.append(extract(page, None, -1, set()))
+                    texts.append(extract(page, None, -1, set(), set()))
                     continue
                 tree = _reference(digest, first)
-                key = (digest, len(counts or ()), sum(c["pages"] for c in counts or ()))
+                key = (digest, len(counts or ()), sum(c["pages"] for c in counts or ()), sum(c["equal"] for c in counts or ()))
                 if key not in wrappers:
                     wrappers[key] = wrapper(tree, {(c["node"], "mass") if c["mass"] else c["node"]: (c["pages"], c["equal"]) for c in counts or ()})
                 texts.append(extract(page, tree, *wrappers[key]))

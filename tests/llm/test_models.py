@@ -179,6 +179,22 @@ def test_template_slots_keep_other_text(spark):
     assert _texts(spark, bodies) == want
 
 
+def test_all_varying_text_is_content(spark):
+    """Leads and headlines beside the longest part stay, and names of what wraps most of the text leave nothing out."""
+    long = " ".join(["word"] * 60)
+    main = '<div id="top"><p>Our site</p></div><div id="main"><h1>Head {n}</h1><div class="lead">Lead {n}</div><div class="body"><p>Body {n} {long}</p></div></div>'
+    wrapped = '<div class="page with-sidebar menu-open"><div class="sidebar">Links {n}</div>{main}</div>'
+    fill = lambda body, n: body.replace("{main}", main).replace("{n}", str(n)).replace("{long}", long)
+    want = [f"Head {n}\nLead {n}\nBody {n} {long}" for n in range(6)]
+    assert _texts(spark, [fill("{main}", n) for n in range(6)]) == want
+    assert _texts(spark, [fill(wrapped, n) for n in range(6)]) == want
+    assert _texts(spark, [fill(wrapped, 0)]) == ["Our site\n" + want[0]]
+    # only some pages have the wrapper
+    assert _texts(spark, [fill(wrapped if n % 2 else "{main}", n) for n in range(6)])[1::2] == [f"Our site\n{x}" for x in want[1::2]]
+    # a comment section beside a longer article stays out
+    assert _texts(spark, [fill('{main}<div class="comments"><p>I agree {n}</p></div>', n) for n in range(6)]) == want
+
+
 # ---- language model ----------------------------------------------------------------
 
 
