@@ -6,9 +6,10 @@ estimates by Krichevsky-Trofimov from its training counts, and the tree mixes th
 all depths, each with the weight that the training counts give to stopping there.
 
 Nothing of the model is sent whole to a task. Counts are grams (DEPTH context bytes and the byte)
-summed over the cluster; the trees are worked out per group of grams with the same two last
-context bytes, which the four levels above bound to 2^24 grams; and each block of documents gets
-the probabilities of just the grams it holds.
+summed over the cluster. The trees are worked out two depths at a time: below depth 4 in buckets
+of grams, where those with the same four last context bytes, 2^24 at most, stay together; from
+depth 4 to 2 per two last context bytes; the rest at once. Chances then go back the same way, and
+each block of documents gets those of just the grams it holds.
 """
 
 from __future__ import annotations
@@ -21,17 +22,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from precinct.llm.text import crc_of, lowered, steps
 from precinct.runtime import cut, send_to_workers
 
-DEPTH = 4
+# Context bytes, 5 or 6: a gram and its node are one 64-bit number, and those that share four bytes are bounded.
+DEPTH = 6
+MIDDLE = 4
 END = b"\n"
 
 FOLDS, HELD_OUT = 7, 2
 
+# Grams of one bucket, on average.
+BUCKET = 1 << 19
+
 # Text bytes of one block of documents, and of one step of counting.
 BLOCK_BYTES = 16 << 20
 PART_BYTES = 4 << 20
@@ -44,7 +50,7 @@ send_to_workers(__name__)
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """The log of the gamma function for x > 0: Stirling's series after a shift by eight."""
     y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     shift = np.ones_like(x)
     for k in range(8):
         shift = shift * (x + k)
@@ -113,23 +119,42 @@ class Level:
         return one, np.where(there, np.exp(self.own[at] - LN2 - self.weighted[at]), 0.5)
 
 
-def _levels(grams: np.ndarray, n: np.ndarray) -> tuple[Level, Level, Level]:
-    """The nodes of depth 4, 3 and 2 over grams that share their two last context bytes."""
-    grams, n = grams[n > 0], n[n > 0].astype(float)
-    keys, bits = _expanded(grams, (grams >> 24) & 0xFFFF)
-    four = Level(keys, n * (1 - bits), n * bits, None)
-    three = Level(four.keys & 0xFFFF, four.n0, four.n1, four.weighted)
-    return four, three, Level(three.keys & 0xFF, three.n0, three.n1, three.weighted)
+def _deep(grams: np.ndarray, n: np.ndarray) -> list[Level]:
+    """The nodes of depth DEPTH to MIDDLE over grams; keys are (context, decision), the last byte lowest."""
+    keys, bits = _expanded(grams, grams >> 8)
+    levels = [Level(keys, n * (1.0 - bits), n * (1.0 * bits), None)]
+    for depth in range(DEPTH - 1, MIDDLE - 1, -1):
+        levels.append(_shorter(levels[-1], depth))
+    return levels
+
+
+def _shorter(level: Level, depth: int) -> Level:
+    """The nodes of a depth from those one deeper."""
+    return Level(level.keys & _mask(depth), level.n0, level.n1, level.weighted)
+
+
+def _mask(depth: int) -> int:
+    """The bits of a context of some bytes and a decision."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
+def _upper(rows: pd.DataFrame) -> tuple[Level, Level]:
+    """The nodes of depth 3 and 2 over nodes of depth 4 that share their two last context bytes."""
+    three = Level(rows["key"].to_numpy() & _mask(3), *(rows[c].to_numpy() for c in ("n0", "n1", "weighted")))
+    return three, _shorter(three, 2)
 
 
-def _chances(grams: np.ndarray, n: np.ndarray, above: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """log10 of the probability of each gram's byte after its context."""
-    four, three, two = _levels(grams, n)
-    keys, bits = _expanded(grams, (grams >> 24) & 0xFFFF)
-    (p4, _), (p3, q3), (p2, q2) = four.look(keys), three.look(keys & 0xFFFF), two.look(keys & 0xFF)
-    last = (grams >> 8) & 255
-    done, left = above[0][last, keys & 255], above[1][last, keys & 255]
-    one = done + left * (q2 * p2 + (1 - q2) * (q3 * p3 + (1 - q3) * p4))
+def _chances(grams: np.ndarray, n: np.ndarray, above: pd.DataFrame) -> np.ndarray:
+    """log10 of the probability of each gram's byte after its context; `above` has what the depths under MIDDLE give, by key."""
+    levels = _deep(grams, n)
+    keys, bits = _expanded(grams, grams >> 8)
+    order = np.argsort(above["key"].to_numpy())
+    at = order[np.searchsorted(above["key"].to_numpy()[order], keys & _mask(MIDDLE))]
+    one, _ = levels[0].look(keys)
+    for depth, level in zip(range(DEPTH - 1, MIDDLE - 1, -1), levels[1:], strict=True):
+        p, stop = level.look(keys & _mask(depth))
+        one = stop * p + (1 - stop) * one
+    one = above["done"].to_numpy()[at] + above["rest"].to_numpy()[at] * one
     return np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=0)
 
 
@@ -148,19 +173,43 @@ def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def chances(grams: DataFrame) -> DataFrame:
     """(gram, p): log10 probability of each distinct gram of (gram, n), n its training count."""
-    grams = cut(grams.select("gram", "n", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")))
+    grams = cut(grams.select("gram", "n"))
+    buckets = max(1, -(-grams.count() // BUCKET))
+
+    def bucket(last: Column) -> Column:
+        return F.pmod(F.xxhash64(last.bitwiseAND(F.lit((1 << 8 * MIDDLE) - 1))), F.lit(buckets)).alias("bucket")
+
+    grams = grams.select("gram", "n", bucket(F.shiftright("gram", 8)))
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        level = _deep(pdf["gram"].to_numpy(), pdf["n"].to_numpy())[-1]
+        return pd.DataFrame({"key": level.keys, "n0": level.n0, "n1": level.n1, "weighted": level.weighted})
+
+    # grams without training counts have nodes too, which change nothing and weigh a half
+    nodes = cut(grams.groupBy("bucket").applyInPandas(up, "key bigint, n0 double, n1 double, weighted double"))
+    nodes = nodes.withColumn("two", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        two = _upper(pdf)[1]
+        return pd.DataFrame({"last": two.keys >> 8 & 255, "node": two.keys & 255, "n0": two.n0, "n1": two.n1, "weighted": two.weighted})
+
+    by_last = nodes.groupBy("two").applyInPandas(sums, "last int, node int, n0 double, n1 double, weighted double")
+    top = _top(by_last.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).toPandas())
 
-    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        *_, two = _levels(pdf["gram"].to_numpy(), pdf["n"].to_numpy())
-        return pd.DataFrame({"last": int(key[0]) & 255, "node": two.keys, "n0": two.n0, "n1": two.n1, "weighted": two.weighted})
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, (three, two) = pdf["key"].to_numpy(), _upper(pdf)
+        (p3, q3), (p2, q2) = three.look(keys & _mask(3)), two.look(keys & _mask(2))
+        last = (keys >> 8) & 255
+        done, rest = top[0][last, keys & 255], top[1][last, keys & 255]
+        return pd.DataFrame({"key": keys, "done": done + rest * (q2 * p2 + (1 - q2) * q3 * p3), "rest": rest * (1 - q2) * (1 - q3)})
 
-    by_last = grams.groupBy("two").applyInPandas(sums, "last int, node int, n0 double, n1 double, weighted double")
-    above = _top(by_last.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).toPandas())
+    above = nodes.groupBy("two").applyInPandas(down, "key bigint, done double, rest double")
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"gram": pdf["gram"], "p": _chances(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), above)})
 
-    return grams.groupBy("two").applyInPandas(each, "gram bigint, p double")
+    above = above.withColumn("bucket", bucket(F.shiftright("key", 8)))
+    return grams.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInPandas(each, "gram bigint, p double")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -244,11 +293,12 @@ def scored(docs: DataFrame) -> DataFrame:
     n, v = int(total.n), int(total.v)
     none = F.lit(None)
     needed = grams.join(chance, "gram").select("block", "gram", none.cast("binary").alias("token"), F.col("p").alias("value"))
-    known = tokens.join(counts, "token").select("block", none.cast("bigint").alias("gram"), "token", F.col("c").cast("double").alias("value"))
+    # a gram has more bits than a double, which pandas makes of numbers with nulls
+    known = tokens.join(counts, "token").select("block", F.lit(-1).cast("bigint").alias("gram"), "token", F.col("c").cast("double").alias("value"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         is_gram = right["token"].isna().to_numpy()
-        keys, values = right["gram"].to_numpy(dtype=float, na_value=0.0)[is_gram].astype(np.int64), right["value"].to_numpy()[is_gram]
+        keys, values = right["gram"].to_numpy()[is_gram], right["value"].to_numpy()[is_gram]
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         count_of = dict(zip(map(bytes, right["token"][~is_gram]), right["value"][~is_gram], strict=True))

@@ -269,6 +269,22 @@ def test_scores(spark, monkeypatch):
     assert lm.scored(docs.where("false")).count() == 0
 
 
+def test_contexts_beyond_four_bytes(spark):
+    """A byte that only the fifth and sixth byte before it tell is learnt, over several buckets as over one."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice(["axbbbbx", "aybbbby", "xcddddx", "ycddddy"]) for _ in range(60))
+    docs = spark.createDataFrame([(i, text()) for i in range(60)], "doc_id bigint, text string").repartition(2)
+    whole = {r.doc_id: r.bits_per_byte for r in lm.scored(docs).collect()}
+    # two bits a word of eight bytes are all there is to tell
+    assert max(whole.values()) < 0.3
+    size, lm.BUCKET = lm.BUCKET, 20
+    try:
+        parts = {r.doc_id: r.bits_per_byte for r in lm.scored(docs).collect()}
+    finally:
+        lm.BUCKET = size
+    assert parts == pytest.approx(whole)
+
+
 # ---- pipeline ----------------------------------------------------------------------
 
 
