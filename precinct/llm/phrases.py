@@ -22,10 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from precinct.llm.text import steps, words_of
-from precinct.runtime import cut, send_to_workers, small
+from precinct.runtime import BROADCAST_ROWS, attach, cut, send_to_workers, small
 
 WINDOW = 13
 GRAM = 5
@@ -98,17 +97,22 @@ def anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return docs.mapInArrow(run, "doc_id bigint, th bigint, h bigint, places array<bigint>")
 
 
+def shared(found: DataFrame) -> DataFrame:
+    """(h, n): the anchors found under several doc_ids and their numbers of rows."""
+    ids = found.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return ids.where("low < high").select("h", "n")
+
+
 def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, th, h, start, piece): the words around each anchor found under several doc_ids.
 
-    A row here is one anchor of one text. An anchor that a third of all documents share still
-    has no more rows than documents, and every document has an anchor for each few of its
-    words, so no anchor holds a large part of the rows; the window over it spills to disk.
+    A row here is one anchor of one text. Anchors are counted with partial sums before the
+    shuffle, and the rows of a hot one meet it by broadcast, so they are never in one task.
     """
-    found = anchors(docs, window, gram)
-    same = Window.partitionBy("h")
-    found = found.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high"))
-    spots = found.where("low < high").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
+    found = cut(anchors(docs, window, gram))
+    known = cut(shared(found))
+    found = attach(found, known, ["h"], "n") if (n := known.count()) > BROADCAST_ROWS else found.join(small(known, n), "h")
+    spots = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):

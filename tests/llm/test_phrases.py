@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from precinct.llm import phrases
+from precinct.runtime import attach
 
 
 def brute(rows, window=13):
@@ -55,3 +56,15 @@ def test_text_and_empty_table(spark):
     for r in phrases.without_repeats(docs, with_text=True).collect():
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
     assert phrases.without_repeats(docs.where("false")).count() == 0
+
+
+def test_no_anchor_in_one_task(spark, monkeypatch):
+    """Anchors are counted by partial sums, never gathered by key, and found alike when their keys are too many to send."""
+    rows = _rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string, h int").repartition(3)
+    found = phrases.anchors(phrases._keyed(docs).where("doc_id IS NOT NULL"))
+    plan = phrases.shared(found)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "Window" not in plan
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(phrases, "attach", lambda *a: attach(*a, hot_rows=20))
+    assert sorted((tuple(r) for r in phrases.without_repeats(docs).collect()), key=str) == brute(rows)
