@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,18 +55,90 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+# What the open `scratch` blocks delete when they end: (path, catalog name or nothing).
+_scopes: list[list[tuple[str, str | None]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written by `cut` and `bucketed` inside the block are deleted when it ends.
+
+    What outlives the block is written with `keep=True`; an outer block, if any, then deletes it.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path, name in _scopes.pop():
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this module has written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _new_path(spark: SparkSession, keep: bool, name: str | None = None) -> str:
+    path = f"{checkpoint_dir(spark)}/precinct-tables/{uuid.uuid4().hex}"
+    scope = _scopes[:-1] if keep else _scopes
+    if scope:
+        scope[-1].append((path, name))
+    return path
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+# What a query run for a written table shuffled is read by nothing else and deleted at its end.
+_BRIEF_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+# Tables bucketed by the first join key meet without a shuffle, and without a sort if a bucket is one file.
+CO_LOCATED = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     One pass, survives lost executors, and the reader knows the table's size, so
     Catalyst picks broadcast or shuffle joins from real numbers.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/precinct-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = _new_path(spark, keep)
+    with settings(spark, _BRIEF_SHUFFLES):
+        df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def bucketed(df: DataFrame, buckets: int, by: str, sort: list[str]) -> DataFrame:
+    """Write `df` as a table of `buckets` sorted buckets by a column, for joins on it without a shuffle.
+
+    Call it inside a `scratch` block, which drops the table and its files. Rows should already lie
+    in `buckets` partitions by that column, so that each task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"precinct_{uuid.uuid4().hex}"
+    path = _new_path(spark, False, name)
+    with settings(spark, _BRIEF_SHUFFLES):
+        df.write.bucketBy(buckets, by).sortBy(*sort).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
