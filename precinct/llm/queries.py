@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precinct.llm import bpe, decontaminate, html, lines, lm, phrases, quality, simhash, toxicity, warc
+from precinct.llm import bpe, decontaminate, html, lines, lm, phrases, quality, simhash, topk, toxicity, warc
+from precinct.llm import centroids as centroids_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +116,38 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and context-tree scores of each document, learnt outside the held-out fold."""
     return lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector after ten rounds, with its distance, inertias and a digest of its centroid."""
+    members, centroids = centroids_.lloyd(table(spark, sf_dir, "embeddings"))
+    digests = [(c, hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(centroids)]
+    digests = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
+    # a row for each centroid
+    sums = members.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    sums = sums.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy()))
+    return members.join(F.broadcast(sums.join(digests, "cluster")), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+    ), r AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """
+)
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best others of every 50th vector by integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
