@@ -103,7 +103,7 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 # What a query run for a written table shuffled is read by nothing else and deleted at its end.
-_BRIEF_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+BRIEF_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 # Tables bucketed by the first join key meet without a shuffle, and without a sort if a bucket is one file.
 CO_LOCATED = {
@@ -120,22 +120,23 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = _new_path(spark, keep)
-    with settings(spark, _BRIEF_SHUFFLES):
+    with settings(spark, BRIEF_SHUFFLES):
         df.write.parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, by: str, sort: list[str]) -> DataFrame:
+def bucketed(df: DataFrame, buckets: int, by: str, sort: list[str], folders: list[str] | None = None) -> DataFrame:
     """Write `df` as a table of `buckets` sorted buckets by a column, for joins on it without a shuffle.
 
     Call it inside a `scratch` block, which drops the table and its files. Rows should already lie
-    in `buckets` partitions by that column, so that each task writes one file.
+    in `buckets` partitions by that column, so that each task writes one file per value of `folders`.
     """
     spark = df.sparkSession
     name = f"precinct_{uuid.uuid4().hex}"
     path = _new_path(spark, False, name)
-    with settings(spark, _BRIEF_SHUFFLES):
-        df.write.bucketBy(buckets, by).sortBy(*sort).option("path", path).saveAsTable(name)
+    with settings(spark, BRIEF_SHUFFLES):
+        writer = df.write.partitionBy(*folders) if folders else df.write
+        writer.bucketBy(buckets, by).sortBy(*sort).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
