@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from precinct.llm import bpe, decontaminate, html, lines, lm, phrases, quality, simhash, topk, toxicity, warc
+from precinct.llm import bpe, collocations, decontaminate, html, lines, lm, phrases, quality, simhash, topk, toxicity, warc
 from precinct.llm import centroids as centroids_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,9 +135,9 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
         WHERE embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
     ), s AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
         FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
@@ -151,3 +151,46 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best others of every 50th vector by integer inner product."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+            unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), words AS (
+        SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM words, range(1, 6) t(k) WHERE len(w) >= k
+    ), f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL),
+    total AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    often AS MATERIALIZED (SELECT * FROM f WHERE c >= 100),
+    covered AS (
+        SELECT DISTINCT s.lang, s.phrase FROM often s JOIN (
+            SELECT lang, c, k, unnest(list_transform(range(2, k), lambda j: list_transform(range(1, k - j + 2),
+                lambda i: array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' ')))) AS parts FROM often WHERE k > 2
+        ) l ON l.lang = s.lang AND list_contains(l.parts, s.phrase) AND l.k > s.k AND 100 * l.c >= 100 * s.c
+    ), cuts AS (
+        SELECT lang, phrase, c AS a, k, unnest(range(1, k)) AS cut FROM often WHERE k > 1
+            AND (lang, phrase) NOT IN (SELECT (lang, phrase) FROM covered)
+    ), scored AS (
+        SELECT cuts.lang, cuts.phrase, a, cut, x.c AS l, y.c AS r, n,
+            CAST((1000 * CAST(a AS HUGEINT) * CAST(n AS HUGEINT)) // (CAST(x.c AS HUGEINT) * CAST(y.c AS HUGEINT)) AS BIGINT) AS score
+        FROM cuts JOIN total USING (lang)
+        JOIN often x ON x.lang = cuts.lang AND x.phrase = array_to_string(string_split(cuts.phrase, ' ')[1:cut], ' ')
+        JOIN often y ON y.lang = cuts.lang AND y.phrase = array_to_string(string_split(cuts.phrase, ' ')[cut + 1:cuts.k], ' ')
+    ), best AS (
+        SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM scored
+    ), listed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE o = 1
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score FROM listed WHERE rank <= 2000
+    """
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    found = collocations.top(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
