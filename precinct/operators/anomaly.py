@@ -32,21 +32,22 @@ def average_length(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def samples(df: DataFrame, row_id: str, names: list[str], n: int, trees: int, seed: int) -> DataFrame:
+def samples(df: DataFrame, key: str, names: list[str], n: int, trees: int, seed: int) -> DataFrame:
     """(tree, names…): for each tree min(256, n) rows drawn without replacement.
 
-    Each row decides by seeded hashes which trees it is a candidate for, in one narrow
-    pass; about 400 candidates per tree remain and the lowest 256 hashes are taken.
+    Each row decides by seeded hashes of `key`, which no two rows share, which trees it is a candidate
+    for, in one narrow pass; about 400 candidates per tree remain and the lowest 256 hashes are
+    taken. With keys from `identified` the draw does not depend on how the table is split.
     """
     size = min(SAMPLE, n)
     share = min(1.0, 400.0 / max(n, 1))
     limit = int(share * (1 << 53))
-    draw = f"shiftrightunsigned(xxhash64({row_id}, {seed}, t), 11)"
+    draw = f"shiftrightunsigned(xxhash64({key}, {seed}, t), 11)"
     drawn = df.selectExpr(
-        *names, row_id, f"explode(filter(sequence(0, {trees - 1}), t -> {draw} < {limit})) AS tree"
+        *names, key, f"explode(filter(sequence(0, {trees - 1}), t -> {draw} < {limit})) AS tree"
     ).withColumn("draw", F.expr(draw.replace(", t)", ", tree)")))
-    order = Window.partitionBy("tree").orderBy("draw", row_id)
-    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).select("tree", row_id, *names)
+    order = Window.partitionBy("tree").orderBy("draw", key)
+    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= size).select("tree", key, *names)
 
 
 def _grow(tree: int, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
@@ -81,11 +82,11 @@ def _grow(tree: int, rows: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def fit_forest(
-    df: DataFrame, row_id: str, names: list[str], trees: int = TREES, seed: int = 42
+    df: DataFrame, key: str, names: list[str], trees: int = TREES, seed: int = 42
 ) -> DataFrame:
     """Node table of the forest: at most trees × 511 rows, whatever the data."""
     n = df.count()
-    drawn = samples(df, row_id, names, n, trees, seed).withColumnRenamed(row_id, "_id")
+    drawn = samples(df, key, names, n, trees, seed).withColumnRenamed(key, "_id")
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _grow(int(key[0]), rows, seed)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,18 +129,11 @@ def _border_labels(
     return certain.unionByName(touching)
 
 
-def assembled(df: DataFrame, row_id: str, names: list[str]) -> DataFrame:
-    """Vectors in a fixed layout and order, so that seeded fits repeat."""
+def assembled(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Vectors in a fixed layout and order of a key that no two rows share, so that seeded fits repeat."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(df)
-    return vectors.repartition(parts, row_id).sortWithinPartitions(row_id)
-
-
-def kmeans(df: DataFrame, row_id: str, names: list[str], k: int, seed: int = 42) -> tuple[DataFrame, KMeansModel]:
-    """(row_id, kmeans_label) and the fitted model; a missing feature counts as its mean, 0 when scaled."""
-    vectors = assembled(df.fillna(0.0, names), row_id, names)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="kmeans_label").fit(vectors)
-    return model.transform(vectors).select(row_id, "kmeans_label"), model
+    return vectors.repartition(parts, key).sortWithinPartitions(key)
 
 
 def cluster_counts(df: DataFrame, label: str = "dbscan_label") -> DataFrame:

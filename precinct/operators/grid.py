@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.functions.labels import proximity
+from precinct.operators.centres import Centres
 from precinct.operators.features import Scaler
 from precinct.operators.neighbours import nearest_distance
 from precinct.operators.stats import bounds
@@ -67,25 +66,29 @@ def cluster_shares(labels: DataFrame, label: str = "kmeans_label") -> DataFrame:
 
 def theft_risk_grid(
     labels: DataFrame,
-    model: KMeansModel,
+    model: Centres,
     scaler: Scaler,
-    area: Bounds,
+    area: Bounds | None = None,
     step: float = 0.01,
     compat: bool = False,
+    thefts: DataFrame | None = None,
+    xy: tuple[str, str] = ("incident_lon", "incident_lat"),
 ) -> DataFrame:
     """(cell, x, y, risk_score): the share of thefts in the cluster a point falls into.
 
     Coordinates are scaled as in training and all other features left at their mean;
-    `compat` feeds raw degrees instead.
+    `compat` feeds raw degrees instead. Without an `area` the grid covers `thefts` and a step around
+    them, or the default area if there are none.
     """
+    if area is None:
+        area = padded_bounds(thefts, *xy, step) if thefts is not None else DEFAULT_BOUNDS
     names = scaler.names
     cells = grid(labels.sparkSession, area, step).withColumns({"_x": F.col("x"), "_y": F.col("y")})
     filled = cells.withColumns({n: F.lit(0.0) for n in names if n not in ("x", "y")})
     if not compat:
         filled = filled.withColumns({"x": scaler.scaled("x"), "y": scaler.scaled("y")})
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(filled)
-    placed = model.transform(vectors).select("cell", "_x", "_y", "kmeans_label")
-    shares = small(cluster_shares(labels), len(model.clusterCenters()))
+    placed = model.nearest(filled).select("cell", "_x", "_y", "kmeans_label")
+    shares = small(cluster_shares(labels), len(model.values))
     return placed.join(shares, "kmeans_label", "left").select(
         "cell", F.col("_x").alias("x"), F.col("_y").alias("y"), F.coalesce("share", F.lit(0.0)).alias("risk_score")
     )

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.operators import anomaly
-from precinct.operators.cluster import NOISE, cluster_metrics, dbscan, kmeans
+from precinct.operators.centres import Centres, kmeans
+from precinct.operators.cluster import NOISE, cluster_metrics, dbscan
 from precinct.operators.features import Encoders, Features, Scaler
 from precinct.operators.risk import RiskModel, train_risk
-from precinct.runtime import cut, exists
+from precinct.operators.rows import ROW, identified
+from precinct.runtime import cut, drop, found
 
 MIN_KMEANS = 3
 
@@ -24,7 +27,7 @@ class Trained:
     """Everything learnt so far, by name. Row data stays in frames, never here."""
 
     labels: dict[str, DataFrame] = field(default_factory=dict)
-    kmeans: dict[str, KMeansModel] = field(default_factory=dict)
+    kmeans: dict[str, Centres] = field(default_factory=dict)
     scalers: dict[str, Scaler] = field(default_factory=dict)
     encoders: dict[str, Encoders] = field(default_factory=dict)
     forests: dict[str, DataFrame] = field(default_factory=dict)
@@ -52,30 +55,29 @@ def train_clusters(
 ) -> DataFrame:
     """Density clusters, and k-means with as many centres as hotspots (3 at least).
 
-    Keeps the labels, scaler and model under `name`; returns the one-row metrics.
+    Keeps the labels, scaler and centres under `name`; returns the one-row metrics. The labels
+    have each input row once, under a key of its own: ids may be null or repeat.
     """
     scaled, scaler = features.standardised()
-    frame = cut(scaled.frame)
-    labelled = dbscan(frame, features.row_id, features.names, eps, min_samples)
+    frame = identified(scaled.frame)
+    labelled = dbscan(frame, ROW, features.names, eps, min_samples)
     if with_kmeans:
         labelled = cut(labelled)
         hotspots = labelled.where(F.col("dbscan_label") != NOISE).select("dbscan_label").distinct().count()
-        found, model = kmeans(frame, features.row_id, features.names, max(MIN_KMEANS, hotspots), seed)
-        labelled = labelled.join(found, features.row_id)
-        trained.kmeans[name] = model
+        labelled, trained.kmeans[name] = kmeans(labelled, features.names, max(MIN_KMEANS, hotspots), seed)
     labelled = cut(labelled)
     trained.labels[name] = labelled
     trained.scalers[name] = scaler
     trained.encoders[name] = features.encoders
-    return cluster_metrics(labelled, features.row_id, features.names, metric=metric)
+    return cluster_metrics(labelled, ROW, features.names, metric=metric)
 
 
 def train_anomalies(trained: Trained, name: str, features: Features, seed: int = 42) -> DataFrame:
-    """(row_id, score, is_anomaly) of the rows the forest was fitted on."""
+    """(row_id, score, is_anomaly) of the rows the forest was fitted on, each once."""
     scaled, scaler = features.standardised()
     # no row is lost: what is still missing, such as a place, counts as the mean
-    frame = cut(scaled.frame.fillna(0.0, features.names))
-    nodes = anomaly.fit_forest(frame, features.row_id, features.names, seed=seed)
+    frame = identified(scaled.frame.fillna(0.0, features.names))
+    nodes = anomaly.fit_forest(frame, ROW, features.names, seed=seed)
     trained.forests[name] = nodes
     trained.scalers[f"{name}_anomaly"] = scaler
     trained.encoders.setdefault(name, features.encoders)
@@ -93,7 +95,7 @@ def train_activity_risk(trained: Trained, recoveries: DataFrame, seed: int = 42)
 def model_summary(spark: SparkSession, trained: Trained) -> DataFrame:
     """(kind, name, metric, value) rows of all that is trained."""
     rows = [("data", n, "rows", float(v)) for n, v in trained.loaded.items()]
-    rows += [("kmeans", n, "k", float(m.summary.k if m.hasSummary else len(m.clusterCenters()))) for n, m in trained.kmeans.items()]
+    rows += [("kmeans", n, "k", float(len(m.values))) for n, m in trained.kmeans.items()]
     rows += [("scaler", n, "features", float(len(s.names))) for n, s in trained.scalers.items()]
     rows += [("encoder", n, c, 1.0) for n, e in trained.encoders.items() for c in sorted(e.columns)]
     rows += [("forest", n, "trees", float(anomaly.TREES)) for n in trained.forests]
@@ -105,9 +107,9 @@ def model_summary(spark: SparkSession, trained: Trained) -> DataFrame:
     for name, labels in trained.labels.items():
         for column in ("dbscan_label", "kmeans_label"):
             if column in labels.columns:
-                found = labels.where(F.col(column) != NOISE).agg(F.count_distinct(column).cast("double").alias("value"))
+                counted = labels.where(F.col(column) != NOISE).agg(F.count_distinct(column).cast("double").alias("value"))
                 summary = summary.unionByName(
-                    found.select(
+                    counted.select(
                         F.lit("clusters").alias("kind"), F.lit(name).alias("name"),
                         F.lit(f"n_{column.removesuffix('_label')}").alias("metric"), "value",
                     )
@@ -115,55 +117,92 @@ def model_summary(spark: SparkSession, trained: Trained) -> DataFrame:
     return summary
 
 
+def train_anomaly_detectors(
+    spark: SparkSession, trained: Trained, theft: Features | None = None, suspect: Features | None = None, seed: int = 42
+) -> DataFrame:
+    """(name, rows, anomalies) of the forests trained on the given features; a missing input has no row."""
+    counts = []
+    for name, features in (("theft", theft), ("suspect", suspect)):
+        if features is not None:
+            flags = train_anomalies(trained, name, features, seed)
+            counted = flags.agg(F.count("*").alias("rows"), F.count_if("is_anomaly").alias("anomalies"))
+            counts.append(counted.select(F.lit(name).alias("name"), "rows", "anomalies"))
+    empty = spark.createDataFrame([], "name string, rows bigint, anomalies bigint")
+    return reduce(DataFrame.unionByName, counts, empty)
+
+
 def save_models(spark: SparkSession, trained: Trained, directory: str) -> None:
-    """One folder per model part under `directory`; an earlier save there is replaced."""
+    """Write all parts to a new folder under `directory`, and then a manifest that names it.
+
+    Readers follow the last complete manifest: a save that breaks off leaves the bundle saved
+    before it. That one is kept for readers under way, older ones are deleted.
+    """
+    older = _manifests(spark, directory)
+    number = max(older, default=0) + 1
+    parts = f"{directory}/parts/{number:09d}-{uuid.uuid4().hex}"
     facts = {
+        "parts": parts,
         "scalers": {n: [s.names, s.means, s.deviations] for n, s in trained.scalers.items()},
         "encoders": {n: [sorted(e.columns), e.rows] for n, e in trained.encoders.items()},
         "labels": sorted(trained.labels),
-        "kmeans": sorted(trained.kmeans),
+        "kmeans": {n: c.names for n, c in trained.kmeans.items()},
         "forests": sorted(trained.forests),
         "loaded": trained.loaded,
     }
     for name, labels in trained.labels.items():
-        labels.write.mode("overwrite").parquet(f"{directory}/labels/{name}")
-    for name, model in trained.kmeans.items():
-        model.write().overwrite().save(f"{directory}/kmeans/{name}")
+        labels.write.parquet(f"{parts}/labels/{name}")
+    for name, centres in trained.kmeans.items():
+        centres.table(spark).write.parquet(f"{parts}/kmeans/{name}")
     for name, nodes in trained.forests.items():
-        nodes.write.mode("overwrite").parquet(f"{directory}/forests/{name}")
+        nodes.write.parquet(f"{parts}/forests/{name}")
     for name, encoders in trained.encoders.items():
         if encoders.table is not None:
-            encoders.table.write.mode("overwrite").parquet(f"{directory}/encoders/{name}")
+            encoders.table.write.parquet(f"{parts}/encoders/{name}")
     if trained.risk is not None:
         facts["risk"] = [trained.risk.status, trained.risk.names, trained.risk.metrics]
         if trained.risk.model is not None:
-            trained.risk.model.write().overwrite().save(f"{directory}/risk")
-    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{directory}/facts"
-    )
+            trained.risk.model.save(f"{parts}/risk")
+    manifest = spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1)
+    manifest.write.text(f"{directory}/manifests/{number:09d}")
+    for past in sorted(older)[:-1]:
+        drop(spark, _facts(spark, directory, past)["parts"])
+        drop(spark, f"{directory}/manifests/{past:09d}")
+
+
+def _manifests(spark: SparkSession, directory: str) -> list[int]:
+    """Numbers of the manifests that were written to their end."""
+    return [int(path.split("/")[-2]) for path in found(spark, f"{directory}/manifests/*/_SUCCESS")]
+
+
+def _facts(spark: SparkSession, directory: str, number: int) -> dict:
+    return json.loads(spark.read.text(f"{directory}/manifests/{number:09d}").first()["value"])
 
 
 def load_models(spark: SparkSession, directory: str) -> Trained:
-    if not exists(spark, f"{directory}/facts"):
+    """The bundle of the last complete manifest in `directory`."""
+    numbers = _manifests(spark, directory)
+    if not numbers:
         raise FileNotFoundError(f"no saved models in {directory}")
-    facts = json.loads(spark.read.text(f"{directory}/facts").first()["value"])
+    facts = _facts(spark, directory, max(numbers))
+    parts = facts["parts"]
     trained = Trained(loaded=facts["loaded"])
     for name, (names, means, deviations) in facts["scalers"].items():
         trained.scalers[name] = Scaler(names, means, deviations)
     for name, (columns, rows) in facts["encoders"].items():
-        table = spark.read.parquet(f"{directory}/encoders/{name}") if columns else None
+        table = spark.read.parquet(f"{parts}/encoders/{name}") if columns else None
         trained.encoders[name] = Encoders(table, set(columns), rows)
     for name in facts["labels"]:
-        trained.labels[name] = spark.read.parquet(f"{directory}/labels/{name}")
-    for name in facts["kmeans"]:
-        trained.kmeans[name] = KMeansModel.load(f"{directory}/kmeans/{name}")
+        trained.labels[name] = spark.read.parquet(f"{parts}/labels/{name}")
+    for name, names in facts["kmeans"].items():
+        rows = spark.read.parquet(f"{parts}/kmeans/{name}").orderBy("centre").collect()
+        trained.kmeans[name] = Centres(names, [[r[n] for n in names] for r in rows])
     for name in facts["forests"]:
-        trained.forests[name] = spark.read.parquet(f"{directory}/forests/{name}")
+        trained.forests[name] = spark.read.parquet(f"{parts}/forests/{name}")
     if "risk" in facts:
         status, names, metrics = facts["risk"]
         trained.risk = RiskModel(status, names, metrics=metrics)
         if names:
-            trained.risk.model = RandomForestRegressionModel.load(f"{directory}/risk")
+            trained.risk.model = RandomForestRegressionModel.load(f"{parts}/risk")
             trained.risk.scaler = trained.scalers["criminal_activity"]
             trained.risk.encoders = trained.encoders["criminal_activity"]
     return trained

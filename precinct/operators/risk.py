@@ -18,6 +18,7 @@ from precinct.operators.features import Encoders, Scaler, filled_parts
 from precinct.operators.filters import criminal_recoveries
 from precinct.operators.neighbours import knn_distance
 from precinct.operators.quantiles import quantile
+from precinct.operators.rows import ROW, identified
 from precinct.runtime import cut
 
 # The training set-up.
@@ -71,9 +72,9 @@ def training_rows(
     return labelled.select(row_id, *[c.alias(n) for n, c in columns.items()], "risk"), names, encoders
 
 
-def split_flags(df: DataFrame, row_id: str, n_test: int, n: int, seed: int) -> DataFrame:
-    """Add `is_test` for exactly `n_test` rows: the ones with the lowest seeded hash."""
-    draw = F.shiftrightunsigned(F.xxhash64(row_id, F.lit(seed)), 11).cast("double")
+def split_flags(df: DataFrame, key: str, n_test: int, n: int, seed: int) -> DataFrame:
+    """Add `is_test` for exactly `n_test` rows: the ones with the lowest seeded hash of a key no two rows share."""
+    draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double")
     drawn = df.withColumn("_draw", draw)
     # halfway between the last test row and the first training row
     edge = quantile(drawn, "_draw", min(1.0, (n_test - 0.5) / max(1, n - 1))).scalar()
@@ -93,13 +94,13 @@ def train_risk(
         return RiskModel("insufficient_data")
 
     rows, names, encoders = training_rows(recoveries, row_id, xy)
-    rows = cut(rows)
+    rows = identified(rows)
     n = rows.count()
     n_test = math.ceil(n * TEST_SHARE)
-    rows = cut(split_flags(rows, row_id, n_test, n, seed))
+    rows = cut(split_flags(rows, ROW, n_test, n, seed))
 
     scaler = Scaler.fit(rows.where("NOT is_test"), names)
-    vectors = assembled(scaler.apply(rows), row_id, names)
+    vectors = assembled(scaler.apply(rows), ROW, names)
     forest = RandomForestRegressor(
         featuresCol="features", labelCol="risk", numTrees=trees, maxDepth=DEPTH,
         featureSubsetStrategy="all", seed=seed,

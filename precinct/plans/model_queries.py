@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from precinct.operators import anomaly, cluster, features, filters, grid, models, neighbours, risk, stats
+from precinct.operators import anomaly, centres, cluster, features, filters, grid, models, neighbours, risk, stats
 from precinct.plans.catalog import query
+from precinct.operators.rows import ROW, identified
 from precinct.plans.views import load
 from precinct.runtime import cut
 
@@ -280,13 +283,70 @@ def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _theft_kmeans(spark: SparkSession, sf: str):
     made, scaler = features.theft_features(load(spark, sf, "theft")).standardised()
-    found, model = cluster.kmeans(cut(made.frame), "incident_id", made.names, models.MIN_KMEANS)
+    found, model = centres.kmeans(cut(made.frame), made.names, models.MIN_KMEANS)
     return found, model, scaler
 
 
 @query()
 def kmeans_thefts(spark: SparkSession, sf: str) -> DataFrame:
-    return _theft_kmeans(spark, sf)[0]
+    return _theft_kmeans(spark, sf)[0].select("incident_id", "kmeans_label")
+
+
+HOTSPOTS = 40
+
+
+@query(
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({HOTSPOTS} AS BIGINT) AS n_centres,
+          CAST(0 AS BIGINT) AS n_misplaced, true AS centres_are_means FROM theft""",
+    ("theft",),
+)
+def kmeans_hotspots_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of as many centres as there may be hotspots: no row has a nearer centre than its own."""
+    places = _theft_places(spark, sf)
+    labelled, found = centres.kmeans(places, ["x", "y"], HOTSPOTS, tolerance=0.0, rounds=200)
+    table = F.broadcast(found.table(spark).withColumnsRenamed({"x": "cx", "y": "cy"}))
+    gap = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
+    every = F.array(*[(F.col("x") - a) ** 2 + (F.col("y") - b) ** 2 for a, b in found.values])
+    rows = labelled.join(table, F.col("kmeans_label") == F.col("centre")).withColumn(
+        "misplaced", F.sqrt(gap) > F.sqrt(F.array_min(every)) + 1e-9
+    )
+    means = rows.groupBy("centre", "cx", "cy").agg(
+        F.count("*").alias("n"), F.count_if("misplaced").alias("misplaced"), F.avg("x").alias("mx"), F.avg("y").alias("my")
+    )
+    near = (F.abs(F.col("mx") - F.col("cx")) < 1e-6) & (F.abs(F.col("my") - F.col("cy")) < 1e-6)
+    return means.agg(
+        F.sum("n").alias("n_rows"), F.count("*").alias("n_centres"), F.sum("misplaced").alias("n_misplaced"),
+        F.bool_and(near).alias("centres_are_means"),
+    )
+
+
+@query(
+    """SELECT stage, n_in, n_out FROM (SELECT 2 * CAST(count(*) AS BIGINT) AS n FROM theft), (VALUES
+         ('kmeans', 1e0), ('forest', 1e0), ('test', 0.2e0), ('training', 0.8e0)) s(stage, share),
+       LATERAL (SELECT n AS n_in, CAST(CASE stage WHEN 'test' THEN ceil(n * 0.2e0)
+         WHEN 'training' THEN n - ceil(n * 0.2e0) ELSE n END AS BIGINT) AS n_out)""",
+    ("theft",),
+)
+def model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows into and out of the models when every row stands twice and a quarter of the ids are missing."""
+    made = features.theft_features(load(spark, sf, "theft"), names=["x", "y", "value"])
+    scaled = made.standardised()[0].frame
+    blank = F.pmod(F.xxhash64("incident_id"), F.lit(4)) == 0
+    twice = scaled.unionByName(scaled).withColumn("incident_id", F.when(~blank, F.col("incident_id")))
+    rows = identified(twice)
+    n = rows.count()
+    labelled, _ = centres.kmeans(rows, made.names, models.MIN_KMEANS)
+    nodes = anomaly.fit_forest(rows, ROW, made.names)
+    flags = anomaly.anomalies(rows, ROW, made.names, nodes)
+    split = cut(risk.split_flags(rows, ROW, math.ceil(n * risk.TEST_SHARE), n, 42))
+    parts = {
+        "kmeans": labelled, "forest": flags, "test": split.where("is_test"), "training": split.where("NOT is_test"),
+    }
+    counted = [
+        df.agg(F.count_distinct(ROW).alias("n_out")).select(F.lit(name).alias("stage"), F.lit(n).cast("bigint").alias("n_in"), "n_out")
+        for name, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query()
@@ -295,6 +355,40 @@ def theft_risk_grid(spark: SparkSession, sf: str) -> DataFrame:
     return grid.theft_risk_grid(cut(found), model, scaler, AREA, STEP)
 
 
+@query(
+    """WITH edges AS (SELECT min(incident_lon) - 0.005e0 AS minx, min(incident_lat) - 0.005e0 AS miny,
+         max(incident_lon) + 0.005e0 AS maxx, max(incident_lat) + 0.005e0 AS maxy FROM theft)
+       SELECT CAST(ceil((maxx - minx) / 0.005e0) * ceil((maxy - miny) / 0.005e0) AS BIGINT) AS n_cells,
+         round(minx, 9) AS minx, round(miny, 9) AS miny, true AS within_shares FROM edges""",
+    ("theft",),
+)
+def theft_risk_default_area(spark: SparkSession, sf: str) -> DataFrame:
+    """The risk grid over the thefts' own bounds: its cells and corner, and scores that are shares of clusters."""
+    thefts = cut(load(spark, sf, "theft"))
+    made, scaler = features.theft_features(thefts, names=["x", "y"]).standardised()
+    found, model = centres.kmeans(cut(made.frame), made.names, models.MIN_KMEANS)
+    cells = grid.theft_risk_grid(cut(found), model, scaler, None, STEP, thefts=thefts)
+    return cells.agg(
+        F.count("*").alias("n_cells"), F.round(F.min("x"), 9).alias("minx"), F.round(F.min("y"), 9).alias("miny"),
+        F.bool_and(F.col("risk_score").between(0, 1)).alias("within_shares"),
+    )
+
+
+@query(
+    """SELECT 'theft' AS name, CAST(count(*) AS BIGINT) AS n_rows, true AS at_most_a_tenth FROM theft UNION ALL
+       SELECT 'suspect', CAST(count(*) AS BIGINT), true FROM suspect""",
+    ("theft", "suspect"),
+)
+def anomaly_detectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of both inputs of the forests, and whether at most a tenth of them are flagged, but some."""
+    counts = models.train_anomaly_detectors(
+        spark, models.Trained(), features.theft_features(load(spark, sf, "theft"), names=["x", "y", "value"]),
+        features.suspect_features(load(spark, sf, "suspect"), columns=SUSPECT_SOURCES),
+    )
+    tenth = (F.col("anomalies") > 0) & (F.col("anomalies") <= F.ceil(F.col("rows") * anomaly.CONTAMINATION))
+    return counts.select("name", F.col("rows").alias("n_rows"), tenth.alias("at_most_a_tenth"))
+
+
 @query(
     f"""WITH {_KNN} SELECT r.recovery_id, recovery_lon AS x, recovery_lat AS y, CAST(hour(recovery_date) AS DOUBLE) AS hour,
           CAST(isodow(recovery_date) - 1 AS DOUBLE) AS dow, CAST(month(recovery_date) AS DOUBLE) AS month,
@@ -316,8 +410,8 @@ def location_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _anomalies(made: features.Features) -> DataFrame:
-    scaled = cut(made.standardised()[0].frame.fillna(0.0, made.names))
-    nodes = anomaly.fit_forest(scaled, made.row_id, made.names)
+    scaled = identified(made.standardised()[0].frame.fillna(0.0, made.names))
+    nodes = anomaly.fit_forest(scaled, ROW, made.names)
     return anomaly.anomalies(scaled, made.row_id, made.names, nodes)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,11 +26,16 @@ FEW_KEYS = 1_000_000
 HOT_ROWS = 1_000_000
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder (globs allowed) is there, on any Hadoop file system."""
+def found(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders that a path (globs allowed) names, on any Hadoop file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
-    return found is not None and len(found) > 0
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return [status.getPath().toString() for status in there or []]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder (globs allowed) is there."""
+    return bool(found(spark, path))
 
 
 def send_to_workers(module: str) -> None:
@@ -89,17 +95,29 @@ def _new_path(spark: SparkSession, keep: bool, name: str | None = None) -> str:
     return path
 
 
+# Settings that blocks hold: how many blocks, and the value before the first.
+_held_settings: dict[str, list] = {}
+_settings_lock = threading.Lock()
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold inside the block."""
-    before = {key: spark.conf.get(key, None) for key in values}
-    for key, value in values.items():
-        spark.conf.set(key, value)
+    """Session settings that hold inside the block, also if threads open such blocks side by side."""
+    with _settings_lock:
+        for key, value in values.items():
+            holders = _held_settings.setdefault(key, [0, spark.conf.get(key, None)])
+            holders[0] += 1
+            spark.conf.set(key, value)
     try:
         yield
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        with _settings_lock:
+            for key in values:
+                holders = _held_settings[key]
+                holders[0] -= 1
+                if not holders[0]:
+                    before = _held_settings.pop(key)[1]
+                    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 # What a query run for a written table shuffled is read by nothing else and deleted at its end.
