@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precinct.functions import geo, labels
 from precinct.operators import clean, conform, filters, layers, stats
@@ -608,3 +609,54 @@ def geojson_export(spark: SparkSession, sf: str) -> DataFrame:
     parsed = lines.select(F.from_json("value", schema).alias("f"))
     at = F.col("f.geometry.coordinates")
     return parsed.select("f.properties.*", F.round(at[0], 9).alias("x"), F.round(at[1], 9).alias("y"))
+
+
+def _new_table(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/precinct-tables/{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT incident_id, incident_lat, incident_lon, vehicle_value, round(incident_lon, 9) AS x, round(incident_lat, 9) AS y
+        FROM theft WHERE {_box('incident_lat', 'incident_lon', CENTRE_A, 5)}""",
+    ("theft",),
+)
+def near_theft_stored(spark: SparkSession, sf: str) -> DataFrame:
+    table = _new_table(spark)
+    store.save(load(spark, sf, "theft"), THEFT, table)
+    kept = store.query_by_distance(spark, table, CENTRE_A, 5, "incident_lat", "incident_lon", "geometry_wkt")
+    place = [F.round(f"geometry.{c}", 9).alias(c) for c in ("x", "y")]
+    return kept.select("incident_id", "incident_lat", "incident_lon", "vehicle_value", *place)
+
+
+@query(
+    f"""SELECT suspect_id, address_lat, address_lon, risk_level FROM suspect
+        WHERE {_box('address_lat', 'address_lon', CENTRE_B, 5)}""",
+    ("suspect",),
+)
+def near_suspect_stored(spark: SparkSession, sf: str) -> DataFrame:
+    table = _new_table(spark)
+    store.save(load(spark, sf, "suspect"), SUSPECT, table)
+    kept = store.query_by_distance(spark, table, CENTRE_B, 5, "address_lat", "address_lon", "address_geometry_wkt")
+    return kept.select("suspect_id", "address_lat", "address_lon", "risk_level")
+
+
+@query(
+    """SELECT incident_id AS place_id, CAST(round(vehicle_value) AS BIGINT) AS worth, incident_lat AS lat,
+         CASE WHEN vehicle_year % 2 = 1 THEN vehicle_make END AS kind, CASE WHEN vehicle_year % 2 = 1 THEN 'seen' END AS note
+       FROM theft""",
+    ("theft",),
+)
+def insert_into_any_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two inserts into a table of a schema of its own: columns in another order, missing and surplus ones."""
+    table = _new_table(spark)
+    store.create_table(
+        spark, table, T.StructType.fromDDL("place_id string, kind string, worth bigint, lat double, lon double, note string")
+    )
+    thefts = load(spark, sf, "theft").select(
+        F.col("incident_lon").alias("lon"), F.col("vehicle_make").alias("kind"), F.col("vehicle_year").alias("surplus"),
+        F.round("vehicle_value").alias("worth"), F.col("incident_lat").alias("lat"), F.col("incident_id").alias("place_id"),
+    )
+    odd = thefts.where("surplus % 2 = 1").withColumn("note", F.lit("seen"))
+    store.insert(odd, table, key="place_id", place=("lat", "lon"))
+    store.insert(thefts.where("surplus % 2 = 0").drop("kind"), table, key="place_id", clear_existing=False)
+    return store.read(spark, table).select("place_id", "worth", "lat", "kind", "note")

@@ -83,8 +83,35 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder that this module has written."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def replace_folder(spark: SparkSession, folder: str, fresh: str) -> None:
+    """Make `fresh` the content of `folder`; what was there stays if that fails."""
+    system, old = _system(spark, folder), f"{folder}-before-{uuid.uuid4().hex}"
+    place, before = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, old))
+    had = system.exists(place)
+    if had and not system.rename(place, before):
+        raise OSError(f"cannot move {folder}")
+    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), place):
+        if had:
+            system.rename(before, place)
+        raise OSError(f"cannot move {fresh} to {folder}")
+    if had:
+        system.delete(before, True)
+
+
+def move_files(spark: SparkSession, source: str, folder: str) -> None:
+    """Move the data files of a written table into another folder, under names of their own."""
+    system, mark = _system(spark, folder), uuid.uuid4().hex[:8]
+    for path in found(spark, f"{source}/part-*"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not system.rename(place, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{mark}-{place.getName()}")):
+            raise OSError(f"cannot move {path}")
+
+
+def _system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def _new_path(spark: SparkSession, keep: bool, name: str | None = None) -> str:

@@ -6,6 +6,7 @@ A table is a catalog name, or a path when it contains a slash.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,12 @@ from pyspark.sql import types as T
 from precinct.functions.geo import from_wkt, to_wkt
 from precinct.operators.conform import NULLS, conform
 from precinct.operators.filters import near
-from precinct.runtime import exists
+from precinct.runtime import cut, drop, exists, move_files, replace_folder, scratch
 from precinct.schemas import CREATED_AT, Entity
 
-# Side of the storage cells, as cells per degree.
-_CELLS_PER_DEGREE = 20
+# Bits of each coordinate in the sort key of stored places, and the steps that set one bit apart from the next.
+_Z_BITS = 20
+_Z_MASKS = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
 
 
 def _is_path(table: str) -> bool:
@@ -72,14 +74,100 @@ def _cast(field: T.StructField, df: DataFrame) -> Column:
     return value.cast(field.dataType)
 
 
-def require_unique(rows: DataFrame, key: str) -> None:
-    """Storage does not enforce keys, so a job looks for one that occurs twice."""
-    present = rows.where(F.col(key).isNotNull())
+def require_unique(rows: DataFrame, key: str, stored: DataFrame | None = None) -> None:
+    """Storage does not enforce keys, so a job looks for one that occurs twice, or in `stored` already."""
+    present = rows.where(F.col(key).isNotNull()).select(key)
     twice = present.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice is None and stored is not None:
+        known = stored.select(F.col(key).cast(present.schema[key].dataType).alias(key))
+        twice = present.join(known, key, "left_semi").first()
     if twice is not None:
         raise ValueError(f"duplicate key {key} = {twice[0]!r}")
 
 
+def z_order(lat: str, lon: str) -> Column:
+    """The bits of both coordinates in turn, 20 of each: places with near keys are near in both directions."""
+
+    def spread_out(column: str, low: float, width: float) -> Column:
+        steps = F.floor((F.col(column) - low) / width * (1 << _Z_BITS))
+        bits = F.greatest(F.lit(0), F.least(F.lit((1 << _Z_BITS) - 1), steps)).cast("bigint")
+        for shift, mask in _Z_MASKS:
+            bits = bits.bitwiseOR(F.shiftleft(bits, shift)).bitwiseAND(F.lit(mask))
+        return bits
+
+    return spread_out(lat, -90.0, 180.0).bitwiseOR(F.shiftleft(spread_out(lon, -180.0, 360.0), 1))
+
+
+def insert(
+    rows: DataFrame,
+    table: str,
+    key: str | None = None,
+    clear_existing: bool = True,
+    place: tuple[str, str] | None = None,
+    geometry: str = "geometry",
+    second: tuple[str, str] | None = None,
+    required: dict[str, str] | None = None,
+    policy: str = NULLS,
+    as_of: dt.datetime | None = None,
+) -> None:
+    """Put rows into an existing table of any schema, by column name.
+
+    Columns that the table lacks are dropped, columns that the rows lack are null, and values are
+    cast to the table's types; a creation time column is filled. `place` and `second` are (lat, lon)
+    columns whose points are written as text to `<geometry>_wkt` and `<lat>_<lon>_geometry`;
+    `required` columns are filled as in `conform`. A `key` found twice, in the rows or, when
+    appending, in the table too, is refused, and then or on any other failure before the last step
+    the table keeps what it had.
+
+    The source is run once, into a staged folder, sorted along a space-filling curve over `place`, so
+    that box queries skip row groups by both coordinates. Files are then renamed into the table.
+    """
+    spark = rows.sparkSession
+    if _is_path(table) and _reads_from(rows, table):
+        raise ValueError(f"cannot write {table} while reading from it")
+    there = read(spark, table)
+    if required:
+        rows = conform(rows, required, policy, as_of)
+    if place and set(place) <= set(rows.columns):
+        rows = rows.withColumn(f"{geometry}_wkt", to_wkt(place[1], place[0]))
+    if second and set(second) <= set(rows.columns):
+        rows = rows.withColumn(f"{second[0]}_{second[1]}_geometry", to_wkt(second[1], second[0]))
+    if CREATED_AT in there.columns and CREATED_AT not in rows.columns:
+        rows = rows.withColumn(CREATED_AT, F.lit(as_of) if as_of else F.current_timestamp())
+    shaped = rows.select(
+        [
+            _cast(f, rows).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in there.schema
+        ]
+    )
+    _put(shaped, table, key, None if clear_existing else there, place)
+
+
+def _put(rows: DataFrame, table: str, key: str | None, appended_to: DataFrame | None, place: tuple[str, str] | None) -> None:
+    """Stage rows, check their keys, and only then make them the table or part of it."""
+    spark = rows.sparkSession
+    with scratch(spark):
+        staged = cut(rows)
+        if key:
+            require_unique(staged, key, appended_to)
+        if place and set(place) <= set(staged.columns):
+            order = [z_order(*place), *([F.col(key)] if key else [])]
+            staged = staged.repartitionByRange(*order).sortWithinPartitions(*order)
+        if not _is_path(table):
+            staged.write.mode("overwrite" if appended_to is None else "append").insertInto(table)
+            return
+        folder = table.rstrip("/")
+        fresh = f"{folder}-staged-{uuid.uuid4().hex}"
+        try:
+            staged.write.parquet(fresh)
+            if appended_to is None:
+                replace_folder(spark, folder, fresh)
+            else:
+                move_files(spark, fresh, folder)
+        finally:
+            drop(spark, fresh)
+
+
 def save(
     rows: DataFrame,
     entity: Entity,
@@ -88,30 +176,13 @@ def save(
     policy: str = NULLS,
     as_of: dt.datetime | None = None,
 ) -> None:
-    """Write rows in the entity's stored form; refuses duplicate keys.
-
-    Rows are range-partitioned by location cells, so box queries skip files and row
-    groups by their statistics; the key splits a crowded cell over several files.
-    """
+    """Write rows in the entity's stored form, creating its table if need be; refuses duplicate keys."""
     spark, table = rows.sparkSession, table or entity.table
-    if _is_path(table):
-        there = exists(spark, table)
-        if there and _reads_from(rows, table):
-            raise ValueError(f"cannot write {table} while reading from it")
-    else:
-        there = spark.catalog.tableExists(table)
+    if _is_path(table) and exists(spark, table) and _reads_from(rows, table):
+        raise ValueError(f"cannot write {table} while reading from it")
+    create_table(spark, table, entity.stored_schema)
     stored = stored_form(rows, entity, policy, as_of)
-    keys = stored.select(entity.key)
-    if there and not clear_existing:
-        keys = keys.unionByName(read(spark, table).select(entity.key))
-    require_unique(keys, entity.key)
-    cell = [F.floor(F.col(c) * _CELLS_PER_DEGREE) for c in entity.points[0]]
-    placed = stored.repartitionByRange(*cell, F.col(entity.key)).sortWithinPartitions(*cell, entity.key)
-    writer = placed.write.mode("overwrite" if clear_existing else "append")
-    if _is_path(table):
-        writer.parquet(table)
-    else:
-        writer.saveAsTable(table)
+    _put(stored, table, entity.key, None if clear_existing else read(spark, table), entity.points[0])
 
 
 def _reads_from(rows: DataFrame, path: str) -> bool:
