@@ -19,6 +19,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 # A table with at most this many narrow rows may be broadcast (a few MB).
 BROADCAST_ROWS = 200_000
 
+# A table whose values were counted to weigh this much may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
 # Distinct keys that one task may sort.
 FEW_KEYS = 1_000_000
 
@@ -194,6 +197,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def light(df: DataFrame, weight: int) -> DataFrame:
+    """Mark `df` for broadcast when the counted bytes of its rows allow it, for rows of any width."""
+    return F.broadcast(df) if weight <= BROADCAST_BYTES else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out rows that are few but costly to work on.
 

@@ -30,7 +30,7 @@ def _ids(spark, table):
 def test_insert_by_name(spark, tmp_path, kind):
     table = str(tmp_path / "t") if kind == "path" else f"inserted_{tmp_path.name.replace('-', '_')}"
     if kind == "catalog":
-        spark.sql(f"CREATE TABLE {table} (id STRING, n INT, lat DOUBLE, lon DOUBLE, geometry_wkt STRING, other STRING, created_at TIMESTAMP_NTZ) USING parquet")
+        spark.sql(f"CREATE TABLE {table} (id STRING, n INT, lat DOUBLE, lon DOUBLE, geometry_wkt STRING, other STRING, created_at TIMESTAMP_NTZ) USING parquet LOCATION '{tmp_path}/c'")
     store.create_table(spark, table, SCHEMA)
     store.insert(_rows(spark, "a", "b"), table, key="id", place=("lat", "lon"))
     store.insert(_rows(spark, "c").drop("lat"), table, key="id", clear_existing=False, place=("lat", "lon"))
