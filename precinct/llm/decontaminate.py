@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.llm.phrases import mixed, word_hashes
-from precinct.llm.text import steps
+from precinct.llm.text import free_names, steps
 from precinct.runtime import cut, send_to_workers
 
 # 1: the token counts, 0: any token will do. Wherever the replaced tokens lie, four equal ones in a
@@ -242,7 +242,12 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no benchmark passage."""
-    marked = cut(flags(docs, benchmark)).select(F.col("row").alias("_row"), F.col("doc_id").alias("_doc_id"))
+    """The rows of `docs`, all columns, whose text holds no benchmark passage.
+
+    Null and empty texts stay, rows that repeat a text share its verdict, rows without a doc_id are
+    judged like others, empty tables are fine, and other columns may have any names.
+    """
+    row, of = free_names(docs.columns, "row", "of")
+    marked = cut(flags(docs, benchmark)).select(F.col("row").alias(row), F.col("doc_id").alias(of))
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(marked, (text == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_anti")
+    return docs.join(marked, (text == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(of)), "left_anti")

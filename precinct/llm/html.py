@@ -32,6 +32,9 @@ TEMPLATE_PAGES = 3
 CONTENT = 0.8
 MOST = 0.5
 
+# In an article such a node stays from this share of the article's text outside links on.
+SHARE = 0.2
+
 # Reference trees that a Python worker keeps.
 KEPT_TREES = 500
 
@@ -50,7 +53,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td",
 LISTS = {"ul", "ol", "dl", "table", "menu"}
 
 # What is no article text: by tag, by role, and by a part of a class or id.
-OUT_TAGS = set("nav aside form dialog menu fieldset".split())
+OUT_TAGS = set("nav aside dialog menu fieldset".split())
 EDGE_TAGS = {"header", "footer"}
 OUT_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 OUT_NAMES = set(
@@ -60,6 +63,8 @@ OUT_NAMES = set(
     " respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
 EDGE_NAMES = {"header", "footer"}
+# What readers write stays out of an article, however long.
+READER_NAMES = set("comment comments commentlist disqus replies reply respond".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -74,7 +79,8 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.sign, self.out, self.items, self.parent = ["html"], ["html"], [False], [[]], [-1]
-        self.named = [False]  # out by its names alone
+        self.named = [False]  # out by its names alone, or a form, which may wrap a whole page
+        self.readers = [False]  # named after what readers write
         stack, at = [0], 0
         for m in _TOKEN.finditer(page):
             if m.start() > at:
@@ -117,7 +123,9 @@ class Tree:
         inside = any(self.tag[n] in ("article", "main") for n in stack)
         out = tag in OUT_TAGS or (not inside and tag in EDGE_TAGS) or hidden or role in OUT_ROLES
         named = not inside and not EDGE_NAMES.isdisjoint(words)
-        named = not out and (named or (tag not in ("body", "html", "article", "main") and not OUT_NAMES.isdisjoint(words)))
+        named |= tag == "form" or (tag not in ("body", "html", "article", "main") and not OUT_NAMES.isdisjoint(words))
+        named = not out and named
+        self.readers.append(named and not READER_NAMES.isdisjoint(words))
         self.tag.append(tag)
         self.sign.append(tag + sign)
         self.out.append(out or named)
@@ -159,6 +167,17 @@ class Tree:
                 todo += self.items[x][::-1]
         return " ".join("".join(parts).split())
 
+    def prose(self, node: int) -> int:
+        """Characters of a block's own text outside links."""
+        total, todo = 0, self.items[node][::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                total += len("".join(x.split()))
+            elif self.tag[x] not in BLOCK and not self.out[x] and self.tag[x] != "a":
+                todo += self.items[x][::-1]
+        return total
+
     def text(self, root: int, template: set[int]) -> str:
         """The blocks under `root`, one per line, without left-out nodes and the template nodes' own text."""
         blocks: list[str] = []
@@ -278,10 +297,24 @@ def _article(tree: Tree) -> bool:
     return any(tag in ("article", "main") for tag in tree.tag)
 
 
+def _in_articles(tree: Tree) -> set[int]:
+    """Nodes out by name that hold a fair share of their article's prose: a body under an unlucky class."""
+    inside, firm = [-1], [False]
+    for node in range(1, len(tree.tag)):
+        above = tree.parent[node]
+        inside.append(node if tree.tag[node] in ("article", "main") and inside[above] < 0 else inside[above])
+        # a named node inside another one goes with it, unless the outer one stays
+        firm.append(firm[above] or tree.readers[node] or (tree.out[node] and not tree.named[node]))
+    mass = _summed(tree, {n: tree.prose(n) for n, tag in enumerate(tree.tag) if tag in BLOCK and inside[n] >= 0 and not firm[n]})
+    return {n for n, named in enumerate(tree.named) if named and not firm[n] and inside[n] >= 0 and mass[n] >= max(1, SHARE * mass[inside[n]])}
+
+
 def _wrapping(tree: Tree) -> set[int]:
-    """Nodes out by name that hold most of the text of a page without article."""
-    if not any(tree.named) or _article(tree):
+    """Nodes out by name that are content: a fair share of an article, or most of a page without one."""
+    if not any(tree.named):
         return set()
+    if _article(tree):
+        return _in_articles(tree)
     firm = [False]
     for node in range(1, len(tree.tag)):
         firm.append(firm[tree.parent[node]] or (tree.out[node] and not tree.named[node]))
@@ -319,8 +352,9 @@ def extract(page: str | None, reference: Tree | None, root: int, template: set[i
     tree = Tree(page or "")
     pairs = align(tree, reference) if reference else {}
     own = next((node for node, twin in pairs.items() if twin == root), None)
+    article = _article(tree)
     for node in _wrapping(tree):
-        if own is None or node not in pairs:
+        if article or own is None or node not in pairs:
             tree.out[node] = False
     for node, twin in pairs.items():
         if twin in kept and tree.named[node]:

@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from precinct.llm.text import WORD
-from precinct.runtime import cut, small, spread
+from precinct.llm.text import WORD, free_names
+from precinct.runtime import cut, light, ranked, scratch, small, spread
 
 EDITS = 2
 
@@ -25,9 +25,47 @@ EDITS = 2
 MIN_CHARS = 20
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
-    """(doc_id, line_no, line) of every line long enough to be compared, or with `short_copies` of every one with a word; lines end at \\n."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+def told_apart(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a column `name` that tells rows of one doc_id, and rows without one, apart.
+
+    It is 0 where the id is a row's own. Other rows are numbered by a hash of their text and, if that
+    is equal too, in the order in which the table is written for it.
+    """
+    ids = F.col("doc_id").cast("bigint")
+    odd = cut(docs.groupBy(ids.alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
+    n_odd = odd.count()
+    if not n_odd:
+        return docs.withColumn(name, F.lit(0).cast("bigint"))
+    (row,) = free_names([*docs.columns, name], "row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(ids.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"), F.col(row).alias("row"))
+    narrow = narrow.join(small(odd, n_odd), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    narrow = narrow.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    numbers = cut(ranked(narrow, ["hash", "row"], "number", within="id").select(F.col("row").alias(row), F.col("number").alias(name)))
+    return rows.join(small(numbers, numbers.count()), row, "left").fillna(0, [name]).drop(row)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, dup, text of the rows."""
+    (dup,) = free_names(docs.columns, "dup")
+    return _narrow(told_apart(docs, dup), dup)
+
+
+def _narrow(rows: DataFrame, dup: str) -> DataFrame:
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(dup).alias("dup"), F.col("text").cast("string").alias("text"))
+
+
+def _place() -> Column:
+    """Where a line stands: by doc_id (null last), then `dup`, then line number, in one number of 126 bits."""
+    wide = "decimal(38,0)"
+    of = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    within = F.col("dup").cast("decimal(18,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+    return (of * F.lit(str(1 << 62)).cast("decimal(19,0)")).cast(wide) + within.cast(wide)
+
+
+def _occurrences(plain: DataFrame, min_chars: int, short_copies: bool) -> DataFrame:
+    """(doc_id, dup, line_no, line) of every line long enough to be compared, or with `short_copies` of every one with a word; lines end at \\n."""
+    rows = plain.select("doc_id", "dup", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     long = F.char_length("line") >= min_chars
     return rows.where(long | F.col("line").rlike(WORD) if short_copies else long)
 
@@ -35,11 +73,14 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool
 def distinct_lines(docs: DataFrame, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """One row per distinct line: id, line, chars, n, and its first place as `rank`.
 
-    Ranks order places by doc_id (null last) and line number; a line of many copies collapses
-    before the shuffle. The table is written, which fixes the ids.
+    Ranks order places by doc_id (null last), rows of one id by `told_apart`, and line number; a line
+    of many copies collapses before the shuffle. The table is written, which fixes the ids.
     """
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(18,0)") + F.col("line_no")
-    rows = occurrences(docs, min_chars, short_copies).select("line", place.cast("decimal(38,0)").alias("rank"))
+    return _distinct(_plain(docs), min_chars, short_copies)
+
+
+def _distinct(plain: DataFrame, min_chars: int, short_copies: bool) -> DataFrame:
+    rows = _occurrences(plain, min_chars, short_copies).select("line", _place().cast("decimal(38,0)").alias("rank"))
     found = rows.groupBy("line").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
     return cut(found.withColumns({"id": F.monotonically_increasing_id(), "chars": F.char_length("line")}))
 
@@ -238,9 +279,9 @@ def links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     return cut(pairs.where(within(F.col("left"), F.col("right"), edits)).select("a", "b"))
 
 
-def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
+def _judged(plain: DataFrame, edits: int, min_chars: int, short_copies: bool) -> DataFrame:
     """The distinct lines with `n_links`, the lines within `edits`, and `first`: none of them comes earlier."""
-    lines = distinct_lines(docs, min_chars, short_copies)
+    lines = _distinct(plain, min_chars, short_copies)
     pairs = links(lines.where(F.col("chars") >= min_chars), edits, min_chars)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ranks = lines.select(F.col("id").alias("b"), F.col("rank").alias("other"))
@@ -253,50 +294,60 @@ def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, shor
     )
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
-    """(doc_id, removed, n_linked): for documents with such lines, the sorted numbers of those that go.
+def _removed(plain: DataFrame, edits: int, min_chars: int, short_copies: bool) -> DataFrame:
+    """(doc_id, dup, removed, n_linked): for rows with such lines, the sorted numbers of those that go.
 
     A line goes when the same line stands at an earlier place, or when a line within `edits` of
-    it stands first at an earlier place. n_linked counts the document's lines that have links.
+    it stands first at an earlier place. n_linked counts the row's lines that have links.
     """
-    lines = judged(docs, edits, min_chars, short_copies).where("n > 1 OR n_links > 0")
-    lines = cut(lines.select(F.xxhash64("line").alias("h"), "line", "rank", "n_links", "first"))
-    rows = occurrences(docs, min_chars, short_copies).withColumn("h", F.xxhash64("line"))
-    # equal hashes are not enough: the texts are compared as well
-    rows = rows.join(small(lines, lines.count()).withColumnRenamed("line", "known"), "h").where("line = known")
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(18,0)") + F.col("line_no")
-    gone = ~F.col("first") | (place.cast("decimal(38,0)") > F.col("rank"))
-    return rows.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
-        F.countDistinct(F.when(F.col("n_links") > 0, F.col("line_no"))).alias("n_linked"),
-    )
+    spark = plain.sparkSession
+    with scratch(spark):
+        lines = _judged(plain, edits, min_chars, short_copies).where("n > 1 OR n_links > 0")
+        # a digest stands for the text, so what is sent to all tasks is some 60 bytes a line
+        digest = F.md5(F.col("line").cast("binary"))
+        lines = cut(lines.select(digest.alias("digest"), "rank", "n_links", "first"))
+        rows = _occurrences(plain, min_chars, short_copies).withColumn("digest", digest)
+        rows = rows.join(small(lines, lines.count()), "digest")
+        gone = ~F.col("first") | (_place() > F.col("rank"))
+        found = rows.groupBy("doc_id", "dup").agg(
+            F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
+            F.countDistinct(F.when(F.col("n_links") > 0, F.col("line_no"))).alias("n_linked"),
+        )
+        return cut(found, keep=True)
 
 
 def report(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, n_linked, removed (line numbers from 0).
 
-    Null and empty texts have no lines to remove. Rows that share a doc_id share the line numbers
-    that go; rows without a doc_id come last and share theirs. Other columns are ignored.
+    Null and empty texts have no lines to remove. Every row counts by itself, whether or not its
+    doc_id is null or repeats; rows without one come last, rows of one id in the order of
+    `told_apart`, so of equal rows one keeps its lines. An empty table gives no rows. Other
+    columns, of whatever names, are ignored.
     """
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("bigint"))
-    found = cut(removed_lines(docs, edits, min_chars, short_copies)).withColumnRenamed("doc_id", "of")
-    whole = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    removed = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda x: x < F.col("n_lines"))
+    plain = _plain(docs)
+    lines = F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0))
+    rows = plain.select("doc_id", "dup", lines.cast("bigint").alias("n_lines"))
+    found = _removed(plain, edits, min_chars, short_copies).withColumnsRenamed({"doc_id": "of", "dup": "number"})
+    whole = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("dup") == F.col("number")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
     return whole.select("doc_id", "n_lines", F.size(removed).cast("bigint").alias("n_removed"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), removed.alias("removed"))
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> DataFrame:
     """The documents, all columns, without the lines that go.
 
-    A document of which all lines with a word went goes too; others, empty ones included, stay.
+    A document of which all lines with a word went goes too; others, null and empty texts included,
+    stay. Rows, ids and other columns as in `report`.
     """
-    found = cut(removed_lines(docs, edits, min_chars, short_copies).where("size(removed) > 0").select(F.col("doc_id").alias("_of"), "removed"))
-    found = found.withColumnRenamed("removed", "_removed")
-    whole = docs.join(small(found, found.count()), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_of")), "left")
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    emptied = F.col("_removed").isNotNull() & ~F.coalesce(F.col("_text").rlike(WORD), F.lit(False))
-    whole = whole.withColumn("_text", text).where(~emptied)
-    return whole.select(*(F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    dup, of, number, gone, new = free_names(docs.columns, "dup", "of", "number", "gone", "new")
+    rows = told_apart(docs, dup)
+    found = _removed(_narrow(rows, dup), edits, min_chars, short_copies).where("size(removed) > 0")
+    weight = found.agg(F.sum(64 + 4 * F.size("removed"))).first()[0] or 0
+    found = found.select(F.col("doc_id").alias(of), F.col("dup").alias(number), F.col("removed").alias(gone))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(of)) & (F.col(dup) == F.col(number))
+    whole = rows.join(light(found, weight), same, "left")
+    kept = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    emptied = F.col(gone).isNotNull() & ~F.coalesce(F.col(new).rlike(WORD), F.lit(False))
+    whole = whole.withColumn(new, text).where(~emptied)
+    return whole.select(*(F.col(new).alias(c) if c == "text" else F.col(c) for c in docs.columns))

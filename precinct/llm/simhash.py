@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from precinct.llm.text import lowered, steps
+from precinct.llm.text import free_names, lowered, steps
 from precinct.operators.components import connected_components
 from precinct.runtime import attach, cut, send_to_workers, small
 
@@ -95,22 +95,24 @@ def one_per_class(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     """The rows of `docs`, all columns, of the smallest doc_id of each class.
 
     Rows that repeat a doc_id and its text count once. Rows without a doc_id go if their class
-    has one; of the others one per fingerprint stays.
+    has one; of the others one per fingerprint stays. An empty table stays empty; other columns may
+    have any names.
     """
     classes = near_classes(docs, shingle, distance)
-    first = cut(classes.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct())
+    at, same, mine = free_names(docs.columns, "at", "same", "mine")
+    first = cut(classes.where("doc_id = component_id").select(F.col("doc_id").alias(at)).distinct())
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(first, F.col("doc_id").cast("bigint") == F.col("_first"), "left_semi")
-    kept = kept.withColumn("_text", text).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    kept = docs.join(first, F.col("doc_id").cast("bigint") == F.col(at), "left_semi")
+    kept = kept.withColumn(same, text).dropDuplicates(["doc_id", same]).drop(same)
 
     @F.pandas_udf("bigint")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    nameless = cut(classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct())
-    alone = docs.where("doc_id IS NULL").withColumn("_fp", fp(F.col("text").cast("string")))
-    alone = alone.join(nameless, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
+    nameless = cut(classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias(mine)).distinct())
+    alone = docs.where("doc_id IS NULL").withColumn(mine, fp(F.col("text").cast("string")))
+    alone = alone.join(nameless, mine, "left_semi").dropDuplicates([mine]).drop(mine)
     return kept.unionByName(alone)
 
 

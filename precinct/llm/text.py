@@ -47,11 +47,25 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
 
 
 def in_worker(key: tuple, make: Callable[[], object]) -> object:
-    """A value kept in each Python worker for its later tasks; of the keys with one first part the last stays."""
+    """A value kept in each Python worker for its later tasks; one at a time, so another key takes its place."""
     kept = sys.modules.setdefault("_precinct_kept", types.ModuleType("_precinct_kept")).__dict__
-    if kept.get(key[0], (None,))[0] != key:
-        kept[key[0]] = (key, make())
-    return kept[key[0]][1]
+    if kept.get("key") != key:
+        # the former value goes before the next one is made
+        kept["key"] = kept["value"] = None
+        kept["value"] = make()
+        kept["key"] = key
+    return kept["value"]
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column (in any case) bears it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_of(doc_id: int | None) -> int:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -32,29 +33,34 @@ def _rows():
     pool = base + [_edited(rng, rng.choice(base), rng.randrange(0, 4)) for _ in range(120)] + ["short", "", "x" * 5000, "x" * 4999, "é" * 20]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 8)))) for i in range(40)]
     rows += [(40, None), (41, ""), (42, base[0]), (42, base[0]), (None, base[1] + "\nonly here, and nowhere else")]
+    # rows that share an id or have none, some of them equal
+    rows += [(i, "\n".join(rng.choice(pool) for _ in range(4))) for i in (None, None, None, 7, 7, 3)]
+    rows += [(None, None), (-5, base[2]), (None, rows[-1][1]), (7, rows[-2][1]), (7, rows[-2][1]), ((1 << 63) - 1, base[3] + "!")]
     return [(*r, "x", 0) for r in rows]
 
 
 def expected(rows, edits=2, min_chars=20):
+    """Row by row: rows of one id, or without any, are told apart by a hash of their text and then by their order."""
+
+    def hashed(text):
+        number = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return number - (1 << 64) if number >> 63 else number
+
+    rows = [(r, (r[0] is None, r[0] or 0, hashed(r[1]), at)) for at, r in enumerate(rows)]
     places = {}
-    for doc_id, text, *_ in rows:
-        for no, line in enumerate((text or "").split("\n") if text is not None else []):
+    for (_, text, *_), row in rows:
+        for no, line in enumerate(text.split("\n") if text is not None else []):
             if len(line) >= min_chars:
-                key = (doc_id is None, doc_id or 0, no)
-                places[line] = min(places.get(line, key), key)
+                places[line] = min(places.get(line, (row, no)), (row, no))
     near = {a: [b for b in places if b != a and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits] for a in places}
     out = []
-    gone_of = {}
-    for doc_id, text, *_ in rows:
-        for no, line in enumerate(text.split("\n") if text is not None else []):
-            if line in places:
-                early = any(places[b] < places[line] for b in near[line])
-                if early or (doc_id is None, doc_id or 0, no) > places[line]:
-                    gone_of.setdefault(doc_id, set()).add(no)
-    for doc_id, text, *_ in rows:
+    for (doc_id, text, *_), row in rows:
         all_lines = text.split("\n") if text is not None else []
-        linked = {no for d, t, *_ in rows if d == doc_id and t is not None for no, x in enumerate(t.split("\n")) if near.get(x)}
-        out.append((doc_id, len(all_lines), sorted(n for n in gone_of.get(doc_id, ()) if n < len(all_lines)), len(linked)))
+        gone = [
+            no for no, x in enumerate(all_lines)
+            if x in places and (any(places[b] < places[x] for b in near[x]) or (row, no) > places[x])
+        ]
+        out.append((doc_id, len(all_lines), gone, sum(bool(near.get(x)) for x in all_lines)))
     return out
 
 
@@ -69,6 +75,15 @@ def test_report(spark):
     assert kept.columns == docs.columns and kept.count() >= 2
 
 
+def test_no_row_takes_lines_from_another(spark):
+    rows = [(None, "a\nb"), (None, "c\nd"), (7, "a\ne"), (7, "f\nd")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id bigint, text string, dup string, gone string")
+    kept = lines.without_repeats(docs, short_copies=True)
+    assert sorted("".join(r.text for r in kept.collect())) == ["\n"] * 2 + list("abcdef") and kept.columns == docs.columns
+    twice = lines.without_repeats(docs.unionByName(docs), short_copies=True)
+    assert sorted(r.text for r in twice.collect()) == sorted(r.text for r in kept.collect())
+
+
 def test_copies_of_short_lines(spark, tmp_path):
     """Short lines with a word go as exact copies only, and a copy of a whole document goes."""
     whole = "Les.\n\nA line that is long enough to compare\nLes.\nYes."
