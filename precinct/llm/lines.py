@@ -93,7 +93,7 @@ def _segment(chars: Column, number: Column, edits: int) -> tuple[Column, Column]
 
 
 def _keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(key, id, probe) of each segment (probe false) and of each further substring that may be one (true)."""
+    """id and `keys` of each line: (key, probe) of each segment (probe false) and of each further substring that may be one (true)."""
     own, others = [], []
     for shorter in range(edits + 1):
         for number in range(edits + 1):
@@ -123,7 +123,7 @@ def _keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
     # four bytes a character, so that a substring is cut out without counting characters
     keys = _bound(F.encode("line", "UTF-32"), both)
-    return lines.select("id", F.explode(keys).alias("k")).select("k.key", "id", "k.probe")
+    return lines.select("id", keys.alias("keys"))
 
 
 def _traits(line: Column) -> Column:
@@ -164,7 +164,8 @@ def candidates(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     pair. Lines under a key of more are joined within it, on condition that their masks allow the
     edits, so variants of one long line that only share a segment make no pairs.
     """
-    keys = _keys(lines, edits, min_chars)
+    # worked out once and written, as they are read twice: to count them, and to join those of several lines
+    keys = cut(_keys(lines, edits, min_chars)).select("id", F.explode("keys").alias("k")).select("k.key", "id", "k.probe")
     found = keys.groupBy("key").agg(
         F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.bool_and("probe").alias("probes")
     )
