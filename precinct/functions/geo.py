@@ -12,8 +12,8 @@ KM_PER_DEGREE = 111.0
 # Centre shown when a map has no data (geographic centre of the US).
 DEFAULT_CENTRE = (39.8283, -98.5795)
 
-_NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
-_WKT_POINT = rf"(?i)^\s*POINT\s*\(\s*({_NUMBER})\s+({_NUMBER})\s*\)\s*$"
+NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_WKT_POINT = rf"(?i)^\s*POINT\s*\(\s*({NUMBER})\s+({NUMBER})\s*\)\s*$"
 
 
 def col(c: Column | str) -> Column:

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from precinct.functions import geo, labels
+from precinct.functions import geo, labels, shapes
 from precinct.operators import clean, conform, filters, layers, stats
 from precinct.plans.catalog import query
 from precinct.plans.views import load
 from precinct.runtime import checkpoint_dir
-from precinct.schemas import NULL_TOKENS, RECOVERY, SUSPECT, THEFT
-from precinct.sources import geojson, points, store
+from precinct.schemas import NULL_TOKENS, RECOVERY, SUSPECT, THEFT, Entity
+from precinct.sources import csv, geojson, points, store
 
 CENTRE_A = (40.7282, -74.2090)
 CENTRE_B = (40.7357, -74.1724)
@@ -615,6 +616,115 @@ def _new_table(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/precinct-tables/{uuid.uuid4().hex}"
 
 
+def _csv_folder(spark: SparkSession, sf: str, view: str, key: str) -> str:
+    """A raw view as CSV files, those of odd keys with their columns the other way round."""
+    folder = _new_table(spark)
+    raw = load(spark, sf, view)
+    odd = F.substring(key, 4, 20).cast("int") % 2 == 1
+    csv.export_csv(raw.where(~odd), f"{folder}/even")
+    csv.export_csv(raw.where(odd).select(*reversed(raw.columns)), f"{folder}/odd")
+    return f"{folder}/*"
+
+
+def _imported(spark: SparkSession, sf: str, entity: Entity) -> DataFrame:
+    return csv.import_csv(spark, _csv_folder(spark, sf, f"{entity.name}_raw", entity.key), entity)
+
+
+@query(
+    f"""SELECT incident_id, CAST(vehicle_year AS INT) AS vehicle_year, round(CAST(vehicle_value AS DOUBLE), 4) AS vehicle_value,
+          vehicle_model, TRY_CAST(incident_date AS TIMESTAMP) AS incident_date,
+          CAST(incident_lon AS DOUBLE) AS x, CAST(incident_lat AS DOUBLE) AS y
+        FROM theft_raw WHERE ({_THEFT_REASON}) IS NULL""",
+    ("theft_raw",),
+)
+def import_theft_csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _round(_imported(spark, sf, THEFT), {"vehicle_value": 4})
+    return rows.select("incident_id", "vehicle_year", "vehicle_value", "vehicle_model", "incident_date", "geometry.x", "geometry.y")
+
+
+@query(
+    f"""SELECT suspect_id, suspect_name, CAST(TRY_CAST(suspect_age AS INT) AS DOUBLE) AS suspect_age,
+          TRY_CAST(bail_amount AS DOUBLE) AS bail_amount, TRY_CAST(last_arrest_date AS TIMESTAMP) AS last_arrest_date,
+          CAST(address_lon AS DOUBLE) AS x, CAST(address_lat AS DOUBLE) AS y, CAST(arrest_lon AS DOUBLE) AS arrest_lon
+        FROM suspect_raw WHERE NOT ({_text_missing(SUSPECT)})
+          AND NOT ({_beyond('address_lat', 'address_lon')} OR {_beyond('arrest_lat', 'arrest_lon')})""",
+    ("suspect_raw",),
+)
+def import_suspect_csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _imported(spark, sf, SUSPECT).withColumn("suspect_age", F.col("suspect_age").cast("double"))
+    return rows.select(
+        "suspect_id", "suspect_name", "suspect_age", "bail_amount", "last_arrest_date", "geometry.x", "geometry.y", "arrest_lon"
+    )
+
+
+@query(
+    f"""SELECT recovery_id, TRY_CAST(recovery_date AS TIMESTAMP) AS recovery_date, recovery_location_name, vehicle_condition,
+          CASE WHEN lower(is_criminal_location) IN ('true', '1', 'yes', 'y') THEN 'true'
+            WHEN lower(is_criminal_location) IN ('false', '0', 'no', 'n') THEN 'false' END AS is_criminal_location,
+          CAST(recovery_lon AS DOUBLE) AS x, CAST(recovery_lat AS DOUBLE) AS y
+        FROM recovery_raw WHERE NOT ({_text_missing(RECOVERY)}) AND NOT ({_beyond('recovery_lat', 'recovery_lon')})""",
+    ("recovery_raw",),
+)
+def import_recovery_csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _imported(spark, sf, RECOVERY).withColumn("is_criminal_location", F.col("is_criminal_location").cast("string"))
+    return rows.select(
+        "recovery_id", "recovery_date", "recovery_location_name", "vehicle_condition", "is_criminal_location", "geometry.x", "geometry.y"
+    )
+
+
+@query(
+    f"""SELECT incident_id, {_THEFT_REASON} AS reject_reason, vehicle_value, incident_lat FROM theft_raw
+        WHERE ({_THEFT_REASON}) IS NOT NULL""",
+    ("theft_raw",),
+)
+def rejected_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected rows with their texts as read; the tests check their file and row number."""
+    rows = csv.rejected(spark, _csv_folder(spark, sf, "theft_raw", THEFT.key), THEFT)
+    cells = {c: F.get_json_object("cells", f"$.{c}").alias(c) for c in ("incident_id", "vehicle_value", "incident_lat")}
+    return rows.select(cells["incident_id"], "reject_reason", cells["vehicle_value"], cells["incident_lat"])
+
+
+@query(
+    """SELECT recovery_id, kind, round(lon + dx, 9) AS x, round(lat + dy, 9) AS y FROM (
+         SELECT recovery_id, recovery_lon AS lon, recovery_lat AS lat,
+           CASE k % 6 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINESTRING' WHEN 2 THEN 'POLYGON' WHEN 3 THEN 'MULTIPOINT'
+             WHEN 4 THEN 'MULTILINESTRING' ELSE 'MULTIPOLYGON' END AS kind,
+           CASE k % 6 WHEN 0 THEN 0e0 WHEN 1 THEN (0.03e0 * 0.015e0 + 0.01e0 * 0.03e0) / 0.04e0 WHEN 2 THEN (0.0016e0 * 0.02e0 - 0.0001e0 * 0.015e0) / 0.0015e0
+             WHEN 3 THEN 0.02e0 WHEN 4 THEN (0.03e0 * 0.015e0 + 0.01e0 * 0.05e0) / 0.04e0
+             ELSE (0.0004e0 * 0.01e0 + 0.0001e0 * 0.105e0) / 0.0005e0 END AS dx,
+           CASE k % 6 WHEN 0 THEN 0e0 WHEN 1 THEN 0.01e0 * 0.005e0 / 0.04e0 WHEN 2 THEN (0.0016e0 * 0.02e0 - 0.0001e0 * 0.025e0) / 0.0015e0
+             WHEN 3 THEN 0.01e0 WHEN 4 THEN 0.01e0 * 0.01e0 / 0.04e0
+             ELSE (0.0004e0 * 0.01e0 + 0.0001e0 * 0.005e0) / 0.0005e0 END AS dy
+         FROM (SELECT *, CAST(substr(recovery_id, 4) AS INT) AS k FROM recovery))""",
+    ("recovery",),
+)
+def wkt_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """Each recovery place as a geometry of one of six kinds, read from its text and brought to its centre."""
+    steps = {
+        "POINT": "({0} {0})",
+        "LINESTRING": "({0} {0}, {30} {0}, {30} {10})",
+        "POLYGON": "(({0} {0}, {40} {0}, {40} {40}, {0} {40}, {0} {0}), ({10} {20}, {20} {20}, {20} {30}, {10} {30}, {10} {20}))",
+        "MULTIPOINT": "(({0} {0}), ({20} {0}), ({40} {30}))",
+        "MULTILINESTRING": "(({0} {0}, {30} {0}), ({50} {5}, {50} {15}))",
+        "MULTIPOLYGON": "((({0} {0}, {20} {0}, {20} {20}, {0} {20}, {0} {0})), (({100} {0}, {110} {0}, {110} {10}, {100} {10}, {100} {0})))",
+    }
+    key = F.substring("recovery_id", 4, 20).cast("int") % len(steps)
+    text = F.lit(None).cast("string")
+    for k, (kind, body) in enumerate(steps.items()):
+        text = F.when(key == k, _placed(f"{kind} {body}")).otherwise(text)
+    rows = load(spark, sf, "recovery").withColumn("shape", shapes.from_wkt(text)).withColumn("c", shapes.centre("shape"))
+    return rows.select("recovery_id", "shape.kind", F.round("c.x", 9).alias("x"), F.round("c.y", 9).alias("y"))
+
+
+def _placed(body: str) -> Column:
+    """WKT in which each pair of numbers in braces is a step, in thousandths of a degree, from the recovery place."""
+    parts = re.split(r"\{(\d+)\}", body)
+    places = ("recovery_lon", "recovery_lat")
+    numbers = [(F.col(places[i % 2]) + int(n) / 1000).cast("string") for i, n in enumerate(parts[1::2])]
+    texts = [F.lit(t) for t in parts[::2]]
+    return F.concat(texts[0], *[c for pair in zip(numbers, texts[1:], strict=True) for c in pair])
+
+
 @query(
     f"""SELECT incident_id, incident_lat, incident_lon, vehicle_value, round(incident_lon, 9) AS x, round(incident_lat, 9) AS y
         FROM theft WHERE {_box('incident_lat', 'incident_lon', CENTRE_A, 5)}""",

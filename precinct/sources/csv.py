@@ -2,30 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import csv
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from precinct.functions.geo import WGS84, point, reproject
 from precinct.operators import clean
-from precinct.runtime import exists
+from precinct.runtime import cut, exists, send_to_workers, settings, small
 from precinct.schemas import Entity
 
+# One file for each task, so that a task ends after the first line of its file.
+_FILE_A_TASK = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 60),
+    "spark.sql.files.openCostInBytes": str(1 << 59),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "16",
+}
+
+# Where a row was read: its file, the place of its split in the file, and its order in the scan.
+_FILE, _BLOCK, _AT = "source_file", "source_block", "source_at"
+
+send_to_workers(__name__)
+
 
-def read_raw(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
-    """All cells as text. `multiline` allows line breaks in quoted cells but unsplit files.
+def header_groups(spark: SparkSession, path: str, encoding: str = "utf-8") -> dict[str, list[str]]:
+    """The header lines under `path`, each with the files that begin with it; empty files have none.
 
-    The files of a folder must agree in their headers; another order of columns is an error of
-    the job, as cells are taken by position.
+    Each task reads the first lines of one file and stops. What reaches the driver is one line for
+    each different header, and file names, which the driver lists for any scan.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    with settings(spark, _FILE_A_TASK):
+        lines = (
+            spark.read.schema("header string")
+            .option("encoding", encoding)
+            .option("sep", "\u0001")
+            .option("quote", "")
+            .option("escape", "")
+            .csv(path)
+            .select("header", F.col("_metadata.file_path").alias("file"))
+        )
+        firsts = lines.mapInArrow(first, "header string, file string")
+        groups = firsts.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).collect()
+    return {g.header: g.files for g in sorted(groups, key=lambda g: g.files[0])}
+
+
+def column_names(header: str) -> list[str]:
+    """The cells of a header line; nameless and repeated ones are told apart by their place."""
+    cells = next(csv.reader([header.removeprefix("\ufeff")]), [])
+    lower = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def read_raw(
+    spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False, positions: bool = False
+) -> DataFrame:
+    """All cells as text. `multiline` allows line breaks in quoted cells (not in headers) but unsplit files.
+
+    The files of a folder may differ in their headers: files of one header are read in its order of
+    columns, and the groups are united by name in any case; a column that a file lacks is null.
+    `positions` adds the file, the start of the split in it, and the order within the scan.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"CSV file not found: {path}")
-    return (
-        spark.read.option("header", True)
-        .option("encoding", encoding)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+
+    def scan(paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+        reader = spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+        reader = reader.option("multiLine", multiline).option("enforceSchema", schema is not None)
+        rows = (reader.schema(schema) if schema else reader).csv(paths)
+        if positions:
+            places = (F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_BLOCK))
+            rows = rows.select("*", *places)
+        return rows
+
+    groups = header_groups(spark, path, encoding)
+    if len(groups) < 2:
+        rows = scan(path)
+    else:
+        rows = None
+        for header, files in groups.items():
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in column_names(header)])
+            group = scan([_as_path(f) for f in files], schema)
+            rows = group if rows is None else rows.unionByName(group, allowMissingColumns=True)
+    return rows.withColumn(_AT, F.monotonically_increasing_id()) if positions else rows
+
+
+def _as_path(name: str) -> str:
+    """A file's listed address as a path, in which no character stands for others."""
+    return "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in unquote(name))
 
 
 def import_csv(
@@ -50,6 +124,38 @@ def import_csv(
     return with_points(rows, entity, crs)
 
 
+def rejected(
+    spark: SparkSession,
+    path: str,
+    entity: Entity,
+    encoding: str = "utf-8",
+    validate_coordinates: bool = True,
+    multiline: bool = False,
+) -> DataFrame:
+    """The rows that `import_csv` leaves out: source_file, source_row, reject_reason, cells.
+
+    `source_row` counts the records of the file from 1, its header aside; `cells` is JSON of the
+    texts as read. Files are parsed once; what is written in between is the texts of rejected
+    rows and three small columns of the others, from which the rows before each split are counted.
+    """
+    raw = read_raw(spark, path, encoding, multiline, positions=True)
+    texts = [c for c in raw.columns if c not in (_FILE, _BLOCK, _AT)]
+    clean.require_columns(texts, entity)
+    rows = clean.classify(raw.withColumn("source_cells", F.to_json(F.struct(*texts))), entity, validate_coordinates)
+    bad = F.col(clean.REASON).isNotNull()
+    rows = cut(
+        rows.select(
+            _FILE, F.col(_BLOCK).cast("bigint").alias(_BLOCK), F.col(_AT).cast("bigint").alias(_AT),
+            clean.REASON, F.when(bad, F.col("source_cells")).alias("cells"),
+        )
+    )
+    blocks = rows.groupBy(_FILE, _BLOCK).agg(F.count("*").alias("n"), F.min(_AT).alias("first"))
+    before = Window.partitionBy(_FILE).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut(blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+    row = (F.col("before") + F.col(_AT) - F.col("first") + 1).alias("source_row")
+    return rows.where(bad).join(small(blocks, blocks.count()), [_FILE, _BLOCK]).select(_FILE, row, clean.REASON, "cells")
+
+
 def with_points(rows: DataFrame, entity: Entity, crs: str = WGS84) -> DataFrame:
     x, y = reproject(entity.lon, entity.lat, WGS84, crs)
     return rows.withColumn("geometry", point(x, y))

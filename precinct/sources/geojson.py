@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from precinct.functions.geo import WEB_MERCATOR, WGS84, reproject
+from precinct.functions.shapes import area_centre
 from precinct.runtime import exists
 
 # The names of the two systems that coordinates may be in.
@@ -65,8 +66,7 @@ def read_layer(spark: SparkSession, path: str, crs: str = WGS84, lines: bool = F
         rings.alias("polygons"),
         moved(spot).alias("_spot"),
     )
-    centre = F.expr(_CENTROID)
-    return parsed.withColumn("_centre", F.coalesce(centre, F.when(kind_is_point(), F.col("_spot")))).select(
+    return parsed.withColumn("_centre", F.coalesce(area_centre("polygons"), F.when(kind_is_point(), F.col("_spot")))).select(
         "properties", "geometry_type", "polygons", F.col("_centre.x").alias("x"), F.col("_centre.y").alias("y")
     )
 
@@ -75,29 +75,6 @@ def kind_is_point():
     return F.col("geometry_type") == "Point"
 
 
-# Area-weighted centroid: shoelace sums per ring, outer rings added, holes taken away.
-_RING_SUMS = """
-aggregate(
-  sequence(1, size(ring) - 1),
-  struct(0D AS area, 0D AS mx, 0D AS my),
-  (s, i) -> struct(
-    s.area + (ring[i-1].x * ring[i].y - ring[i].x * ring[i-1].y) / 2 AS area,
-    s.mx + (ring[i-1].x + ring[i].x) * (ring[i-1].x * ring[i].y - ring[i].x * ring[i-1].y) / 6 AS mx,
-    s.my + (ring[i-1].y + ring[i].y) * (ring[i-1].x * ring[i].y - ring[i].x * ring[i-1].y) / 6 AS my))
-"""
-_CENTROID = f"""
-aggregate(
-  flatten(transform(polygons, polygon -> transform(polygon, (ring, n) ->
-    transform(array({_RING_SUMS}), s -> struct(
-      abs(s.area) * if(n = 0, 1, -1) AS area,
-      s.mx * sign(s.area) * if(n = 0, 1, -1) AS mx,
-      s.my * sign(s.area) * if(n = 0, 1, -1) AS my))[0]))),
-  struct(0D AS area, 0D AS mx, 0D AS my),
-  (t, s) -> struct(t.area + s.area AS area, t.mx + s.mx AS mx, t.my + s.my AS my),
-  t -> if(t.area <> 0, struct(t.mx / t.area AS x, t.my / t.area AS y), NULL))
-"""
-
-
 def bounds(layer: DataFrame) -> DataFrame:
     """One row (minx, miny, maxx, maxy) over all ring points and point features."""
     corners = F.flatten(F.flatten("polygons"))

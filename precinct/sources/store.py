@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from precinct.functions import shapes
 from precinct.functions.geo import from_wkt, to_wkt
 from precinct.operators.conform import NULLS, conform
 from precinct.operators.filters import near
@@ -210,9 +211,9 @@ def geometry_column(columns: list[str]) -> str:
 
 
 def with_geometry(rows: DataFrame, wkt: str | None = None, drop_text: bool = True) -> DataFrame:
-    """`geometry` decoded from a text column; bad or blank text gives null."""
+    """`geometry` decoded from a text column: a point, or the centre of another shape; bad or blank text gives null."""
     source = wkt or geometry_column(rows.columns)
-    point = from_wkt(source)
+    point = F.coalesce(from_wkt(source), shapes.centre(shapes.from_wkt(source)))
     texts = [c for c in rows.columns if "_wkt" in c.lower() or "geometry" in c.lower()] if drop_text else []
     return rows.select([c for c in rows.columns if c not in texts] + [point.alias("geometry")])
 

@@ -202,15 +202,6 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
     assert "suspect_name" not in plan
 
 
-def test_files_with_another_header_order_fail(spark, tmp_path):
-    from precinct.sources.csv import read_raw
-
-    (tmp_path / "a.csv").write_text("make,model\nHonda,Civic\n")
-    (tmp_path / "b.csv").write_text("model,make\nFocus,Ford\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_raw(spark, str(tmp_path)).collect()
-
-
 @pytest.mark.parametrize("name,x", [("EPSG:4326", 1.0), ("urn:ogc:def:crs:OGC:1.3:CRS84", 1.0), ("EPSG:2263", None), ("EPSG:13857", None)])
 def test_only_known_reference_systems(spark, tmp_path, name, x):
     from precinct.sources.geojson import read_layer
