@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.llm.text import steps, words_of
-from precinct.runtime import BROADCAST_ROWS, attach, cut, send_to_workers, small
+from precinct.runtime import BROADCAST_ROWS, attach, cut, scratch, send_to_workers, small
 
 WINDOW = 13
 GRAM = 5
@@ -107,13 +107,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     """(doc_id, th, h, start, piece): the words around each anchor found under several doc_ids.
 
     A row here is one anchor of one text. Anchors are counted with partial sums before the
-    shuffle, and the rows of a hot one meet it by broadcast, so they are never in one task.
+    shuffle, and the rows of a hot one meet it by broadcast, so they are never in one task. The
+    written anchors go as soon as the pieces are cut out.
     """
-    found = cut(anchors(docs, window, gram))
-    known = cut(shared(found))
-    found = attach(found, known, ["h"], "n") if (n := known.count()) > BROADCAST_ROWS else found.join(small(known, n), "h")
-    spots = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out: dict[str, list] = {"doc_id": [], "th": [], "h": [], "start": [], "piece": []}
@@ -129,8 +125,14 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("piece", pa.string())])
-    joined = docs.join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots")
-    cut_out = cut(joined.mapInArrow(run, "doc_id bigint, th bigint, h bigint, start int, piece string"))
+    with scratch(docs.sparkSession):
+        found = cut(anchors(docs, window, gram))
+        known = cut(shared(found))
+        n = known.count()
+        found = attach(found, known, ["h"], "n") if n > BROADCAST_ROWS else found.join(small(known, n), "h")
+        spots = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
+        joined = docs.join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots")
+        cut_out = cut(joined.mapInArrow(run, "doc_id bigint, th bigint, h bigint, start int, piece string"), keep=True)
     return _spread(cut_out, window)
 
 
@@ -214,12 +216,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     """
     rows = _keyed(docs)
     numbered = rows.where("doc_id IS NOT NULL")
-    found = pieces(numbered, window, gram)
-    spots = located(found, window)
-    hits = found.select("doc_id", "th", "h", "start", F.xxhash64("piece").alias("piece_hash")).join(cut(spots), ["h", "piece_hash"])
-    earlier = F.filter("spots", lambda s: s["first"] < F.col("doc_id"))
-    hits = hits.withColumn("gone", F.transform(earlier, lambda s: s["at"] + F.col("start"))).where("size(gone) > 0")
-    hits = cut(hits.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
     kept_schema = "doc_id bigint, th bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +237,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=False)], list(out))
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    keys, n = ["doc_id", "th"], hits.count()
+    keys = ["doc_id", "th"]
     plain = rows.mapInArrow(run, kept_schema)
-    changed = rows.join(small(hits.select(keys), n), keys, "left_semi").dropDuplicates(keys)
-    changed = cut(changed.join(hits, keys).select("doc_id", "th", "text", "gone").mapInArrow(run, kept_schema))
+    with scratch(docs.sparkSession):
+        found = pieces(numbered, window, gram)
+        spots = located(found, window)
+        hits = found.select("doc_id", "th", "h", "start", F.xxhash64("piece").alias("piece_hash")).join(cut(spots), ["h", "piece_hash"])
+        earlier = F.filter("spots", lambda s: s["first"] < F.col("doc_id"))
+        hits = hits.withColumn("gone", F.transform(earlier, lambda s: s["at"] + F.col("start"))).where("size(gone) > 0")
+        hits = cut(hits.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+        n = hits.count()
+        changed = rows.join(small(hits.select(keys), n), keys, "left_semi").dropDuplicates(keys)
+        changed = cut(changed.join(hits, keys).select("doc_id", "th", "text", "gone").mapInArrow(run, kept_schema), keep=True)
     names = [c for c in changed.columns if c not in keys and c != "n_words"]
     changed = changed.select(*keys, *(F.col(c).alias(f"new_{c}") for c in names))
     whole = plain.join(small(changed, n) if not with_text else changed, keys, "left")
