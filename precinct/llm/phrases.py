@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
     A row here is one anchor of one text. Anchors are counted with partial sums before the
     shuffle, and the rows of a hot one meet it by broadcast, so they are never in one task. The
-    written anchors go as soon as the pieces are cut out.
+    written anchors go before the texts are shuffled to meet theirs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -126,11 +126,12 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("piece", pa.string())])
     with scratch(docs.sparkSession):
-        found = cut(anchors(docs, window, gram))
-        known = cut(shared(found))
-        n = known.count()
-        found = attach(found, known, ["h"], "n") if n > BROADCAST_ROWS else found.join(small(known, n), "h")
-        spots = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots"))
+        with scratch(docs.sparkSession):
+            found = cut(anchors(docs, window, gram))
+            known = cut(shared(found))
+            n = known.count()
+            found = attach(found, known, ["h"], "n") if n > BROADCAST_ROWS else found.join(small(known, n), "h")
+            spots = cut(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "places")).alias("spots")), keep=True)
         joined = docs.join(spots, ["doc_id", "th"]).select("doc_id", "th", "text", "spots")
         cut_out = cut(joined.mapInArrow(run, "doc_id bigint, th bigint, h bigint, start int, piece string"), keep=True)
     return _spread(cut_out, window)
