@@ -19,6 +19,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,19 +113,21 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            out: dict[str, list] = {"doc_id": [], "th": [], "h": [], "start": [], "piece": []}
-            for doc_id, th, text, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = [w.decode() for w in words_of(text)]
-                for h, place in {(s["h"], at) for s in spots for at in s["places"]}:
-                    start, more = divmod(place, window)
-                    out["doc_id"].append(doc_id)
-                    out["th"].append(th)
-                    out["h"].append(h)
-                    out["start"].append(start)
-                    out["piece"].append(" ".join(words[start : start + more + window]))
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("piece", pa.string())])
+            row, h, place = _places(batch.column(3))
+            words = [words_of(t) for t in batch.column(2).to_pylist()]
+            before = np.r_[0, np.cumsum([len(w) for w in words])]
+            flat = list(chain.from_iterable(words))
+            ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
+            start, more = np.divmod(place, window)
+            first = before[row] + start
+            text = b" ".join(flat)
+            # a piece is a stretch of the batch's words joined by single spaces
+            starts, stops = np.r_[0, ends][first], ends[first + more + window - 1] - 1
+            piece = pa.array([text[i:j] for i, j in zip(starts.tolist(), stops.tolist(), strict=True)], pa.string())
+            rows = pa.array(row)
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(start.astype(np.int32)), piece]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h", "start", "piece"])
+
     with scratch(docs.sparkSession):
         with scratch(docs.sparkSession):
             found = cut(anchors(docs, window, gram))
@@ -137,6 +140,20 @@ def pieces(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     return _spread(cut_out, window)
 
 
+def _places(spots: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, anchor, place), once each, of a column of lists of anchors with their places."""
+    h, places = spots.flatten().flatten()
+    row = np.repeat(np.arange(len(spots)), pc.list_value_length(spots).to_numpy(zero_copy_only=False))
+    sizes = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+    row, h = np.repeat(row, sizes), np.repeat(h.to_numpy(zero_copy_only=False), sizes)
+    place = places.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((place, row))
+    row, h, place = row[order], h[order], place[order]
+    # repeated rows bring the same places, and a place has one anchor
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (place[1:] != place[:-1])]) if len(row) else np.zeros(0, int)
+    return row[new], h[new], place[new]
+
+
 def _spread(rows: DataFrame, window: int) -> DataFrame:
     """Anchors with too many distinct pieces for one automaton are dealt out window by window."""
     counts = rows.groupBy("h").agg(F.approx_count_distinct(F.xxhash64("piece")).alias("n"))
