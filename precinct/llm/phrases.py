@@ -199,7 +199,10 @@ def _locate(shard: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
         for i in range(len(text) - window + 1):
             phrase = text[i : i + window]
             known = seen.get(phrase)
-            seen[phrase] = (low, high) if known is None else (min(low, known[0]), max(high, known[1]))
+            if known is None:
+                seen[phrase] = (low, high)
+            elif low < known[0] or high > known[1]:
+                seen[phrase] = (min(low, known[0]), max(high, known[1]))
     automaton = ahocorasick.Automaton()
     for phrase, (low, high) in seen.items():
         if low < high:
@@ -207,15 +210,19 @@ def _locate(shard: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     if not len(automaton):
         return
     automaton.make_automaton()
-    out: dict[str, list] = {"h": [], "piece_hash": [], "spots": []}
-    for (h, piece_hash, *_), text in zip(shard, texts, strict=True):
-        spots = [{"at": end - window + 1, "first": low} for end, low in automaton.iter(text)]
-        if spots:
-            out["h"].append(h)
-            out["piece_hash"].append(piece_hash)
-            out["spots"].append(spots)
-    spot = pa.list_(pa.struct([("at", pa.int32()), ("first", pa.int64())]))
-    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("h", pa.int64()), ("piece_hash", pa.int64()), ("spots", spot)]))
+    ends, firsts, bounds, kept = [], [], [0], []
+    for i, text in enumerate(texts):
+        for end, low in automaton.iter(text):
+            ends.append(end)
+            firsts.append(low)
+        if len(ends) > bounds[-1]:
+            bounds.append(len(ends))
+            kept.append(i)
+    at = pa.array(np.array(ends, np.int32) - np.int32(window - 1))
+    spots = pa.StructArray.from_arrays([at, pa.array(firsts, pa.int64())], ["at", "first"])
+    columns = [pa.array([shard[i][k] for i in kept], pa.int64()) for k in (0, 1)]
+    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spots))
+    yield pa.RecordBatch.from_arrays(columns, ["h", "piece_hash", "spots"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
