@@ -31,7 +31,7 @@ WINDOW = 13
 GRAM = 5
 
 # Pieces that one automaton is compiled from: small, as a node's children are searched one by one.
-SHARD_PIECES = 1000
+SHARD_PIECES = 250
 
 # Distinct pieces from which on an anchor is dealt out window by window.
 HOT_PIECES = 10_000
