@@ -6,14 +6,16 @@ estimates by Krichevsky-Trofimov from its training counts, and the tree mixes th
 all depths, each with the weight that the training counts give to stopping there.
 
 Nothing of the model is sent whole to a task. Counts are grams (DEPTH context bytes and the byte)
-summed over the cluster. The trees are worked out two depths at a time: below depth 4 in buckets
-of grams, where those with the same four last context bytes, 2^24 at most, stay together; from
-depth 4 to 2 per two last context bytes; the rest at once. Chances then go back the same way, and
-each block of documents gets those of just the grams it holds.
+of blocks of documents, kept as one compressed array per block and bucket, and summed by bucket.
+The trees are worked out two depths at a time: below depth 4 in buckets of grams, where those with
+the same four last context bytes, 2^24 at most, stay together; from depth 4 to 2 per two last
+context bytes; the rest at once. Chances then go back the same way, and each block gets those of
+just the grams it holds, as arrays in the order of its own grams.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -21,12 +23,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from precinct.llm.text import crc_of, lowered, steps
-from precinct.runtime import cut, send_to_workers
+from precinct.runtime import cut, scratch, send_to_workers, spread
 
 # Context bytes, 5 or 6: a gram and its node are one 64-bit number, and those that share four bytes are bounded.
 DEPTH = 6
@@ -35,12 +38,19 @@ END = b"\n"
 
 FOLDS, HELD_OUT = 7, 2
 
-# Grams of one bucket, on average.
-BUCKET = 1 << 19
+# Text bytes whose grams fill one bucket, on average.
+BUCKET = 2 << 20
+
+# Grams that are summed at once, and grams (or those of one context of MIDDLE bytes) whose nodes are worked out at once.
+MERGE = 1 << 20
+NODES = 1 << 16
+
+# Parts of a log10 probability that are sent; a byte's error is half of one at most.
+PARTS = float(1 << 32)
 
 # Text bytes of one block of documents, and of one step of counting.
-BLOCK_BYTES = 16 << 20
-PART_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 512 << 10
 
 LN2 = float(np.log(2.0))
 
@@ -144,17 +154,16 @@ def _upper(rows: pd.DataFrame) -> tuple[Level, Level]:
     return three, _shorter(three, 2)
 
 
-def _chances(grams: np.ndarray, n: np.ndarray, above: pd.DataFrame) -> np.ndarray:
-    """log10 of the probability of each gram's byte after its context; `above` has what the depths under MIDDLE give, by key."""
+def _chances(grams: np.ndarray, n: np.ndarray, above: np.ndarray, done: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's byte after its context; `done` and `rest` are what the depths under MIDDLE give, by sorted key."""
     levels = _deep(grams, n)
     keys, bits = _expanded(grams, grams >> 8)
-    order = np.argsort(above["key"].to_numpy())
-    at = order[np.searchsorted(above["key"].to_numpy()[order], keys & _mask(MIDDLE))]
+    at = np.searchsorted(above, keys & _mask(MIDDLE))
     one, _ = levels[0].look(keys)
     for depth, level in zip(range(DEPTH - 1, MIDDLE - 1, -1), levels[1:], strict=True):
         p, stop = level.look(keys & _mask(depth))
         one = stop * p + (1 - stop) * one
-    one = above["done"].to_numpy()[at] + above["rest"].to_numpy()[at] * one
+    one = done[at] + rest[at] * one
     return np.log10(np.where(bits == 1, one, 1 - one)).sum(axis=0)
 
 
@@ -171,45 +180,140 @@ def _top(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return q0 * p0 + (1 - q0) * q1 * p1, (1 - q0) * (1 - q1)
 
 
-def chances(grams: DataFrame) -> DataFrame:
-    """(gram, p): log10 probability of each distinct gram of (gram, n), n its training count."""
-    grams = cut(grams.select("gram", "n"))
-    buckets = max(1, -(-grams.count() // BUCKET))
+def pack(values: np.ndarray) -> bytes:
+    """Integers as compressed planes of bytes of equal weight."""
+    planes = np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
-    def bucket(last: Column) -> Column:
-        return F.pmod(F.xxhash64(last.bitwiseAND(F.lit((1 << 8 * MIDDLE) - 1))), F.lit(buckets)).alias("bucket")
 
-    grams = grams.select("gram", "n", bucket(F.shiftright("gram", 8)))
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T
+    return np.ascontiguousarray(planes).view("<i8").ravel()
 
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = _deep(pdf["gram"].to_numpy(), pdf["n"].to_numpy())[-1]
-        return pd.DataFrame({"key": level.keys, "n0": level.n0, "n1": level.n1, "weighted": level.weighted})
 
-    # grams without training counts have nodes too, which change nothing and weigh a half
-    nodes = cut(grams.groupBy("bucket").applyInPandas(up, "key bigint, n0 double, n1 double, weighted double"))
-    nodes = nodes.withColumn("two", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+def _turned(grams: np.ndarray) -> np.ndarray:
+    """Grams with their four last context bytes first, so that those of one context follow each other."""
+    return ((grams >> 8 & 0xFFFFFFFF) << 24) | (grams >> 40 << 8) | (grams & 255)
+
+
+def _back(turned: np.ndarray) -> np.ndarray:
+    return (turned >> 8 & 0xFFFF) << 40 | (turned >> 24) << 8 | (turned & 255)
+
+
+def _bucket(last: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of four context bytes."""
+    spun = last.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((spun >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(turned: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted turned grams by bucket, the buckets there are, and where each begins."""
+    of = _bucket(turned >> 24, buckets)
+    order = np.argsort(of, kind="stable")
+    own, begins = np.unique(of[order], return_index=True)
+    return order, own, begins
+
+
+def _words_by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
+    """Sorted words by bucket."""
+    out: dict[int, list[bytes]] = {}
+    for w in sorted(words):
+        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+    return out
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[begins], np.add.reduceat(counts, begins) if len(begins) else counts
+
+
+def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct turned grams of a bucket's blocks and their training counts, merged step by step."""
+    whole, waiting, size = _merged([]), [], 0
+    for packed, n in zip(pdf["items"], pdf["n"], strict=True):
+        waiting.append((np.cumsum(unpack(packed)), unpack(n)))
+        size += len(waiting[-1][0])
+        if size >= max(MERGE, len(whole[0])):
+            whole, waiting, size = _merged([whole, *waiting]), [], 0
+    return _merged([whole, *waiting])
+
+
+def _stretches(keys: np.ndarray) -> Iterator[slice]:
+    """Stretches of sorted turned grams of about NODES, each with all grams of its contexts of MIDDLE bytes."""
+    ends = np.append(np.flatnonzero(np.diff(keys >> 24)) + 1, len(keys))
+    start = 0
+    while start < len(keys):
+        end = int(ends[min(np.searchsorted(ends, start + NODES), len(ends) - 1)])
+        yield slice(start, end)
+        start = end
+
+
+def chances(held: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, values): the chances of each block's grams of a bucket, in their order, in PARTS of log10.
+
+    `held` has the grams and training counts of blocks by bucket, as `_counted` packs them.
+    """
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, n = _summed(pdf)
+        tops = (_deep(_back(keys[part]), n[part])[-1] for part in _stretches(keys))
+        return pd.concat([pd.DataFrame({"key": t.keys, "n0": t.n0, "n1": t.n1, "weighted": t.weighted}) for t in tops])
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         two = _upper(pdf)[1]
         return pd.DataFrame({"last": two.keys >> 8 & 255, "node": two.keys & 255, "n0": two.n0, "n1": two.n1, "weighted": two.weighted})
 
-    by_last = nodes.groupBy("two").applyInPandas(sums, "last int, node int, n0 double, n1 double, weighted double")
-    top = _top(by_last.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).toPandas())
+    with scratch(held.sparkSession):
+        # grams without training counts have nodes too, which change nothing and weigh a half
+        nodes = cut(spread(held, "bucket").groupBy("bucket").applyInPandas(up, "key bigint, n0 double, n1 double, weighted double"))
+        nodes = nodes.withColumn("two", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+        by_last = nodes.groupBy("two").applyInPandas(sums, "last int, node int, n0 double, n1 double, weighted double")
+        top = _top(by_last.groupBy("last", "node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "weighted"))).toPandas())
 
-    def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, (three, two) = pdf["key"].to_numpy(), _upper(pdf)
-        (p3, q3), (p2, q2) = three.look(keys & _mask(3)), two.look(keys & _mask(2))
-        last = (keys >> 8) & 255
-        done, rest = top[0][last, keys & 255], top[1][last, keys & 255]
-        return pd.DataFrame({"key": keys, "done": done + rest * (q2 * p2 + (1 - q2) * q3 * p3), "rest": rest * (1 - q2) * (1 - q3)})
+        def down(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys, (three, two) = pdf["key"].to_numpy(), _upper(pdf)
+            (p3, q3), (p2, q2) = three.look(keys & _mask(3)), two.look(keys & _mask(2))
+            last = (keys >> 8) & 255
+            done, rest = top[0][last, keys & 255], top[1][last, keys & 255]
+            done, rest = done + rest * (q2 * p2 + (1 - q2) * q3 * p3), rest * (1 - q2) * (1 - q3)
+            return pd.DataFrame({"bucket": _bucket(keys >> 8 & 0xFFFFFFFF, buckets), "key": keys, "done": done, "rest": rest})
 
-    above = nodes.groupBy("two").applyInPandas(down, "key bigint, done double, rest double")
+        above = cut(nodes.groupBy("two").applyInPandas(down, "bucket bigint, key bigint, done double, rest double"), keep=True)
 
     def each(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": pdf["gram"], "p": _chances(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), above)})
+        keys, n = _summed(pdf)
+        above = above.sort_values("key")
+        above = [above[c].to_numpy() for c in ("key", "done", "rest")]
+        p = np.concatenate([_chances(_back(keys[part]), n[part], *above) for part in _stretches(keys)])
+        p = np.rint(p * -PARTS).astype(np.int64)
+        values = [pack(p[np.searchsorted(keys, np.cumsum(unpack(packed)))]) for packed in pdf["items"]]
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "values": values})
+
+    sides = (spread(x, "bucket").groupBy("bucket") for x in (held.select("block", "bucket", "items", "n"), above))
+    return next(sides).cogroup(next(sides)).applyInPandas(each, "block bigint, bucket bigint, values binary")
+
+
+def word_counts(held: DataFrame) -> DataFrame:
+    """(block, bucket, values, n, v): the training counts of each block's words of a bucket, in their order.
+
+    One row of a bucket has the sum n of its counts and the number v of its words with a count, the others zeros.
+    """
 
-    above = above.withColumn("bucket", bucket(F.shiftright("key", 8)))
-    return grams.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInPandas(each, "gram bigint, p double")
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: Counter = Counter()
+        for packed, n in zip(pdf["items"], pdf["n"], strict=True):
+            for w, c in zip(zstandard.decompress(packed).split(b" "), unpack(n).tolist(), strict=True):
+                total[w] += c
+        values = [pack(np.array([total[w] for w in zstandard.decompress(packed).split(b" ")])) for packed in pdf["items"]]
+        sums = {"n": sum(total.values()), "v": sum(c > 0 for c in total.values())}
+        first = np.arange(len(pdf)) == 0
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "values": values} | {k: x * first for k, x in sums.items()})
+
+    return spread(held, "bucket").groupBy("bucket").applyInPandas(count, "block bigint, bucket bigint, values binary, n bigint, v bigint")
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -231,30 +335,47 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block bigint, doc_id bigint, text string")
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(block, gram, token, n): what each block holds, with its training counts; one of gram and token is null."""
-    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("token", pa.binary()), ("n", pa.int64())])
+def _counted(docs: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, is_gram, items, n): what each block holds, with its training counts, packed by bucket.
+
+    Grams are turned, sorted and stored by their differences; words are sorted and joined by spaces.
+    """
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("is_gram", pa.bool_()), ("items", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, grams, tokens = None, [], Counter()
         for batch in steps(batches):
             for own, rows in _by_block(batch):
                 if own != block and block is not None:
-                    yield from _counts(block, grams, tokens, schema)
+                    yield from _counts(block, grams, tokens, buckets, schema)
                     grams, tokens = [], Counter()
                 block = own
                 for known in (True, False):
-                    part = [coded(t) for i, t in rows if (crc_of(i) % FOLDS != HELD_OUT) == known]
-                    if part:
-                        codes, distinct = pd.factorize(grams_of([t for _, t in part])[0])
-                        grams.append((distinct, np.bincount(codes) * known))
-                        words = Counter(chain.from_iterable(w for w, _ in part))
+                    for part in _parts((i, t) for i, t in rows if (crc_of(i) % FOLDS != HELD_OUT) == known):
+                        codes, distinct = pd.factorize(grams_of([t for *_, t in part])[0])
+                        grams.append((_turned(distinct), np.bincount(codes) * int(known)))
+                        words = Counter(chain.from_iterable(w for _, w, _ in part))
                         words[b""] = len(part)
                         tokens.update(words if known else dict.fromkeys(words, 0))
+                        if len(grams) > 8:
+                            grams = [_merged(grams)]
         if block is not None:
-            yield from _counts(block, grams, tokens, schema)
+            yield from _counts(block, grams, tokens, buckets, schema)
 
-    return _blocks(docs).mapInArrow(run, "block bigint, gram bigint, token binary, n bigint")
+    return _blocks(docs).mapInArrow(run, "block bigint, bucket bigint, is_gram boolean, items binary, n binary")
+
+
+def _parts(rows) -> Iterator[list[tuple]]:
+    """(doc_id, words, coded text) of (doc_id, text), in lists of about PART_BYTES."""
+    part, size = [], 0
+    for doc_id, text in rows:
+        part.append((doc_id, *coded(text)))
+        size += len(part[-1][2])
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
@@ -266,14 +387,18 @@ def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
             start = i
 
 
-def _counts(block: int, grams: list, tokens: Counter, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    distinct, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([c for _, c in grams])).astype(np.int64)
-    none = pa.nulls(len(distinct), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(distinct), none, pa.array(n)], schema=schema)
-    words = pa.array(list(tokens), pa.binary())
-    none = pa.nulls(len(words), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), none, words, pa.array(list(tokens.values()), pa.int64())], schema=schema)
+def _counts(block: int, grams: list, tokens: Counter, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    distinct, n = _merged(grams)
+    order, own, begins = _by_bucket(distinct, buckets)
+    rows = [
+        (block, int(b), True, pack(np.diff(distinct[part], prepend=0)), pack(n[part]))
+        for b, part in zip(own, np.split(order, begins[1:]), strict=True)
+    ]
+    for b, words in _words_by_bucket(tokens, buckets).items():
+        rows.append((block, b, False, zstandard.compress(b" ".join(words), 1), pack(np.array([tokens[w] for w in words]))))
+    for start in range(0, len(rows), 1000):
+        columns = zip(*rows[start : start + 1000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -284,49 +409,54 @@ def scored(docs: DataFrame) -> DataFrame:
     probability of the same words, `bits_per_byte` its code length. A null text is empty and
     scores its end mark; repeated rows count as often as they stand; other columns are ignored.
     """
-    held = cut(_counted(docs))
-    grams = held.where("gram IS NOT NULL").select("block", "gram", "n")
-    tokens = held.where("token IS NOT NULL").select("block", "token", "n")
-    chance = cut(chances(grams.groupBy("gram").agg(F.sum("n").alias("n"))))
-    counts = cut(tokens.groupBy("token").agg(F.sum("n").alias("c")))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    spark = docs.sparkSession
+    size = docs.select(F.octet_length(F.col("text").cast("string")).cast("bigint").alias("size")).agg(F.sum("size")).first()[0]
+    buckets = max(1, -(-(size or 0) // BUCKET))
+    with scratch(spark):
+        held = cut(_counted(docs, buckets))
+        words = cut(word_counts(held.where("NOT is_gram").drop("is_gram")), keep=True)
+        grams = cut(chances(held.where("is_gram").drop("is_gram"), buckets), keep=True)
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v"))).first()
     n, v = int(total.n), int(total.v)
-    none = F.lit(None)
-    needed = grams.join(chance, "gram").select("block", "gram", none.cast("binary").alias("token"), F.col("p").alias("value"))
-    # a gram has more bits than a double, which pandas makes of numbers with nulls
-    known = tokens.join(counts, "token").select("block", F.lit(-1).cast("bigint").alias("gram"), "token", F.col("c").cast("double").alias("value"))
+    needed = grams.withColumn("is_gram", F.lit(True)).unionByName(words.drop("n", "v").withColumn("is_gram", F.lit(False)))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        is_gram = right["token"].isna().to_numpy()
-        keys, values = right["gram"].to_numpy()[is_gram], right["value"].to_numpy()[is_gram]
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        count_of = dict(zip(map(bytes, right["token"][~is_gram]), right["value"][~is_gram], strict=True))
-        out: list[tuple] = []
-        rows = list(zip(left["doc_id"].astype(object).where(left["doc_id"].notna(), None), left["text"], strict=True))
-        start = 0
-        while start < len(rows):
-            part, size = [], 0
-            while start < len(rows) and (not part or size < PART_BYTES):
-                part.append((rows[start][0], *coded(rows[start][1])))
-                size += len(part[-1][2])
-                start += 1
+        right = right.sort_values("bucket")
+        is_gram = right["is_gram"].to_numpy(bool)
+        ids = left["doc_id"].astype(object).where(left["doc_id"].notna(), None)
+        # words by number, the end mark first
+        parts, number_of = [], {b"": 0}
+        for part in _parts(zip(ids, left["text"], strict=True)):
             own, begins = grams_of([t for *_, t in part])
             codes, distinct = pd.factorize(own)
-            at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-            if not np.array_equal(keys[at], distinct):
-                raise RuntimeError("the documents changed between two reads of them")
-            sums = np.add.reduceat(values[at][codes], begins)
-            for (doc_id, words, text), p in zip(part, sums.tolist(), strict=True):
-                c = np.array([count_of[w] for w in words] + [count_of[b""]])
-                doc_id = None if doc_id is None else int(doc_id)
-                base = float((np.log10(c + 1) - np.log10(n + v + 1)).sum())
-                out.append((doc_id, crc_of(doc_id) % FOLDS == HELD_OUT, len(c), int((c > 0).sum()), n, base, p, -p / np.log10(2) / len(text)))
+            texts = [(None if i is None else int(i), len(w) + 1, len(t)) for i, w, t in part]
+            words = np.array([number_of.setdefault(w, len(number_of)) for _, ws, _ in part for w in (*ws, b"")], np.int32)
+            parts.append((texts, words, begins, codes.astype(np.int32), _turned(distinct)))
+        # the block's grams and words in the order in which they were counted
+        keys = np.unique(np.concatenate([p[-1] for p in parts]))
+        values = np.empty(len(keys))
+        sent = np.concatenate([unpack(x) for x in right["values"][is_gram]])
+        distinct_words = _words_by_bucket(number_of, buckets)
+        counts = np.concatenate([unpack(x) for x in right["values"][~is_gram]])
+        if len(sent) != len(keys) or len(counts) != sum(map(len, distinct_words.values())):
+            raise RuntimeError("the documents changed between two reads of them")
+        values[_by_bucket(keys, buckets)[0]] = sent / -PARTS
+        count_of = np.empty(len(counts), np.int64)
+        count_of[[number_of[w] for b in sorted(distinct_words) for w in distinct_words[b]]] = counts
+        out: list[tuple] = []
+        for texts, words, begins, codes, distinct in parts:
+            sums = np.add.reduceat(values[np.searchsorted(keys, distinct)][codes], begins)
+            sizes = np.array([size for _, size, _ in texts])
+            starts, c = sizes.cumsum() - sizes, count_of[words]
+            base = np.add.reduceat(np.log10(c + 1) - np.log10(n + v + 1), starts)
+            seen = np.add.reduceat((c > 0).astype(np.int64), starts)
+            for (doc_id, size, length), p, b, k in zip(texts, sums.tolist(), base.tolist(), seen.tolist(), strict=True):
+                out.append((doc_id, crc_of(doc_id) % FOLDS == HELD_OUT, size, k, n, b, p, -p / np.log10(2) / length))
         frame = pd.DataFrame(out, columns=columns)
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     columns = [part.split()[0] for part in schema.split(", ")]
-    blocks = _blocks(docs)
-    return blocks.groupBy("block").cogroup(needed.unionByName(known).groupBy("block")).applyInPandas(score, schema)
+    sides = (spread(x, "block").groupBy("block") for x in (_blocks(docs), needed))
+    return next(sides).cogroup(next(sides)).applyInPandas(score, schema)
