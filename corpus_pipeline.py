@@ -1,7 +1,9 @@
 """A corpus from raw documents to tokens, as stages over Parquet tables.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
-last return the columns of `documents`. Nothing here is sampled or capped.
+last return the columns of `documents`. Only the toxicity classifier's training rows are drawn
+(its documented bound); every stage judges all rows it is given. Null texts, empty tables and
+clashing column names are treated as the called operators state.
 """
 
 from __future__ import annotations
