@@ -28,9 +28,16 @@ def from_wkt(text: Column | str) -> Column:
     ring four of which the last is the first. Positions become JSON pairs and brackets JSON arrays, so
     that Spark's own parser checks the nesting, however many points there are.
     """
-    text = col(text)
-    kind = F.upper(F.regexp_extract(text, _TEXT, 1))
-    body = F.regexp_extract(text, _TEXT, 2)
+
+    def matched(t: Column) -> Column:
+        return F.struct(F.upper(F.regexp_extract(t, _TEXT, 1)).alias("kind"), F.regexp_extract(t, _TEXT, 2).alias("body"))
+
+    # a lambda's body is evaluated as written, so that the text and its match are worked out before they are used
+    return _once(_once(col(text), matched), lambda m: _shape(m["kind"], m["body"]))
+
+
+def _shape(kind: Column, body: Column) -> Column:
+    """The shape of a text's kind, "" if there is none, and the brackets after it."""
     body = F.when(kind == "MULTIPOINT", F.regexp_replace(body, rf"\(\s*({_POSITION})\s*\)(?=\s*[,)])", "$1")).otherwise(body)
     pairs = F.regexp_replace(body, _POSITION, '["$1","$2"]')
     levels = F.lit(0)
@@ -59,7 +66,7 @@ def from_wkt(text: Column | str) -> Column:
 
     empty = F.array().cast("array<array<array<struct<x:double,y:double>>>>")
     parts = F.when(body == "", empty).otherwise(_once(parsed, read))
-    return F.when((kind != "") & parts.isNotNull(), F.struct(kind.alias("kind"), parts.alias("parts")))
+    return _once(parts, lambda p: F.when((kind != "") & p.isNotNull(), F.struct(kind.alias("kind"), p.alias("parts"))))
 
 
 def centre(shape: Column | str) -> Column:

@@ -75,3 +75,10 @@ def test_area_centre_of_degenerate_polygons(spark):
     kind = "array<array<array<struct<x:double,y:double>>>>"
     got = spark.range(1).select(*[shapes.area_centre(F.lit(None).cast(kind) if v is None else F.from_json(F.lit(v), kind)).alias(f"c{i}") for i, v in enumerate([None, "[]", "[[]]", "[[[]]]"])]).first()
     assert list(got) == [None] * 4
+
+
+def test_a_text_is_matched_once(spark):
+    df = spark.createDataFrame([("LINESTRING (0 0, 2 0)",)], "t string").select(shapes.from_wkt(F.concat("t", F.lit(""))).alias("s"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 2 and plan.count("concat(t") == 1 and plan.count("from_json") == 1
+    assert df.first().s.kind == "LINESTRING"
