@@ -9,7 +9,7 @@ evidence from which on a document counts as toxic is calibrated on labelled rows
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,9 +22,6 @@ from pyspark.sql import types as T
 from precinct.llm.text import crc, free_names, in_worker, lowered, steps
 from precinct.runtime import cut, send_to_workers
 
-# Labelled rows of each label that the dictionaries are trained on (a choice by hash).
-FIT_ROWS = 20_000
-
 # Bytes of the fragments that training weighs, and how many of them mark toxic samples.
 SIZES = (5, 8)
 FRAGMENTS = 256
@@ -51,6 +48,9 @@ FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
 # Words that a task remembers, in two generations.
 MEMORY_WORDS = 150_000
 
+# Words whose fragments or telling parts a task remembers while it counts.
+COUNTED_WORDS = 20_000
+
 # Fragments or words that a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -97,14 +97,17 @@ class Distance:
         if len(self.memory) > MEMORY_WORDS:
             self.memory, self.older = {}, self.memory
         memory, found = self.memory, [0] * (MOST_BYTES + 1)
-        for word in lowered(text).split():
-            saved = memory.get(word)
+        words = lowered(text).split()
+        long = {}
+        for word in set(words).difference(memory):
+            saved = self.older.get(word)
             if saved is None:
-                saved = self.older.get(word)
-                if saved is None:
-                    saved = self._saved(word)
-                if len(word) <= WORD_BYTES:
-                    memory[word] = saved
+                saved = self._saved(word)
+            (memory if len(word) <= WORD_BYTES else long)[word] = saved
+        told = list(filter(None, map(memory.get, words)))
+        if long:
+            told += [long[word] for word in words if word in long]
+        for saved in told:
             for x in saved:
                 found[x] += 1
         return np.cumsum(found[:0:-1])[::-1].tolist()
@@ -139,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
     known = cut(known.agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", crc("doc_id") % FOLDS))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fit = _sample(docs, known.where(~F.col("fold").isin(HELD_OUT, CALIBRATION)))
-    check = _sample(docs, known.where(F.col("fold") == CALIBRATION))
+    fit = _labelled(docs, known.where(~F.col("fold").isin(HELD_OUT, CALIBRATION)))
+    check = _labelled(docs, known.where(F.col("fold") == CALIBRATION))
     model = Model(*_contents(fit), 1, 1)
     if not model.toxic:
         return model._replace(windows=1 << 30)
@@ -148,14 +151,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(*_contents(fit.unionByName(check)), saved, windows)
 
 
-def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The labelled rows, at most about FIT_ROWS of each label; bounded, so they may be broadcast."""
-    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for label, n in sizes.items():
-        share = F.when(F.col("toxic") == label, F.lit(min(1.0, FIT_ROWS / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "toxic")
-    return cut(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """All labelled rows."""
+    return cut(docs.join(known.select("doc_id", "toxic"), "doc_id").select("toxic", "text"))
+
+
+class _Remembered(dict):
+    """What a function gives for a word, for a bounded number of words."""
+
+    def __init__(self, work: Callable[[bytes], object]):
+        self.work = work
+
+    def __missing__(self, word: bytes) -> object:
+        if len(self) >= COUNTED_WORDS:
+            self.clear()
+        made = self.work(word)
+        if len(word) <= WORD_BYTES:
+            self[word] = made
+        return made
+
+
+def _fragments(word: bytes) -> set[bytes]:
+    x = b" " + word + b" "
+    return {x[i : i + size] for size in SIZES for i in range(len(x) - size + 1)}
 
 
 def _contents(rows: DataFrame) -> tuple[bytes, bytes]:
@@ -172,14 +190,10 @@ def _contents(rows: DataFrame) -> tuple[bytes, bytes]:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        fragments = _Remembered(_fragments)
         for batch in steps(batches):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = set()
-                for word in set(lowered(text).split()):
-                    x = b" " + word + b" "
-                    for size in SIZES:
-                        found.update([x[i : i + size] for i in range(len(x) - size + 1)])
-                counts[toxic].update(found)
+                counts[toxic].update(set().union(*map(fragments.__getitem__, set(lowered(text).split()))))
             if len(counts[0]) + len(counts[1]) > COUNTED:
                 yield _pairs(counts)
                 counts = (Counter(), Counter())
@@ -193,10 +207,11 @@ def _contents(rows: DataFrame) -> tuple[bytes, bytes]:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        covered = _Remembered(lambda word: _covered(b" " + word + b" ", top))
         for batch in steps(batches):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word in set(lowered(text).split()):
-                    parts = _covered(b" " + word + b" ", top)
+                    parts = covered[word]
                     if toxic:
                         counts[1].update(parts)
                     elif not parts and len(word) <= WORD_BYTES:
