@@ -304,3 +304,9 @@ def test_pipeline(spark, tmp_path):
     # the near copy keeps its changed line only, which is a text of its own
     assert set(got) - {101} == set(range(40))
     assert all(got[i].decoded_sha256 == hashlib.sha256(clean[i].encode()).hexdigest() for i in range(40))
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    known = spark.range(21_000).selectExpr("id AS doc_id", "0 AS toxic")
+    assert toxicity._labelled(docs, known).count() == 21_000

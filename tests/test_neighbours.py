@@ -197,3 +197,20 @@ def test_scratch_folder_is_the_named_one(spark):
         runtime.checkpoint_dir(_Session(None, "yarn"))
     df = runtime.cut(spark.range(5))
     assert df.count() == 5 and all(runtime.checkpoint_dir(spark).split(":")[-1] in f for f in df.inputFiles())
+
+
+def test_tiles_meet_in_bounded_steps(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MET_TILES", 2)
+    monkeypatch.setattr(neighbours, "DISTANCES", 500)
+    points = _skewed(8, 600)
+    df, dims = _frame(spark, points)
+    got = neighbours.eps_neighbours(df, "id", dims, 0.02).toPandas().sort_values("id")["n_neighbours"].to_numpy()
+    want = ((((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)) <= 0.02 * 0.02).sum(axis=1)
+    np.testing.assert_array_equal(got, want)
+
+
+def test_bounds_of_single_points_need_no_shuffle(spark):
+    df, dims = _frame(spark, _skewed(9, 300))
+    places = tiles.locations(df, "id", dims)
+    best, _ = neighbours.nearest_sets(places, places, dims, 5)
+    assert "windowspecdefinition(pid" not in best._jdf.queryExecution().optimizedPlan().toString()
