@@ -214,3 +214,11 @@ def test_bounds_of_single_points_need_no_shuffle(spark):
     places = tiles.locations(df, "id", dims)
     best, _ = neighbours.nearest_sets(places, places, dims, 5)
     assert "windowspecdefinition(pid" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dimensions_may_have_any_name(spark):
+    df, _ = _frame(spark, _skewed(3, 90))
+    named = df.withColumnsRenamed({"d0": "value", "d1": "block"})
+    got = neighbours.eps_neighbours(named, "id", ["value", "block"], 0.05).toPandas().sort_values("id")["n_neighbours"]
+    want = neighbours.eps_neighbours(df, "id", ["d0", "d1"], 0.05).toPandas().sort_values("id")["n_neighbours"]
+    assert list(got) == list(want)
