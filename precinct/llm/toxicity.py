@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from precinct import runtime
 from precinct.llm.text import crc, free_names, in_worker, lowered, steps
-from precinct.runtime import cut, send_to_workers
+from precinct.runtime import cut, send_to_workers, small
 
 # Bytes of the fragments that training weighs, and how many of them mark toxic samples.
 SIZES = (5, 8)
@@ -28,6 +29,13 @@ FRAGMENTS = 256
 MIN_ROWS = 4
 MIN_LOG_ODDS = 1.5
 
+# Fragments that a task counts in ordinary rows at once.
+FIRST = 32_768
+
+# Bits for each id in the bitmaps that tell which rows may have a label, and bits of one bitmap (Spark's size).
+BITS_PER_ID = 8
+MAP_BITS = 1 << 15
+
 TOXIC_BYTES = 4 << 10
 ORDINARY_BYTES = 32 << 10
 
@@ -136,34 +144,55 @@ def score(model: Model, found: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Dictionaries and threshold from labelled rows (doc_id, toxic 0 or 1).
 
-    Only rows outside the held-out fold are learnt from, and of them only text and label. Without
-    toxic or without ordinary rows there is no evidence, and every text scores below 0.5.
+    Only rows outside the held-out fold are learnt from, and of them only text and label. The thresholds
+    are calibrated with dictionaries of the training rows alone; those that are kept are of all rows.
+    Without toxic or without ordinary rows there is no evidence, and every text scores below 0.5.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-    known = cut(known.agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", crc("doc_id") % FOLDS))
+    fold = crc("doc_id") % FOLDS
+    known = known.agg(F.max("toxic").cast("int").alias("toxic")).where(fold != HELD_OUT)
+    known = cut(known.withColumn("part", (fold == CALIBRATION).cast("int")))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fit = _labelled(docs, known.where(~F.col("fold").isin(HELD_OUT, CALIBRATION)))
-    check = _labelled(docs, known.where(F.col("fold") == CALIBRATION))
-    model = Model(*_contents(fit), 1, 1)
+    rows = _labelled(docs, known)
+    trained, whole = _contents(rows)
+    model = Model(*trained, 1, 1)
     if not model.toxic:
         return model._replace(windows=1 << 30)
+    check = rows.where("part = 1").select("toxic", "text")
     saved, windows = _thresholds(with_evidence(check, model).select("toxic", F.col("_found").alias("found")))
-    return Model(*_contents(fit.unionByName(check)), saved, windows)
+    return Model(*whole, saved, windows)
 
 
 def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """All labelled rows."""
-    return cut(docs.join(known.select("doc_id", "toxic"), "doc_id").select("toxic", "text"))
+    """All labelled rows: their text and the columns of `known` but doc_id."""
+    n = known.count()
+    if n > runtime.BROADCAST_ROWS:
+        docs = _perhaps(docs, known, n)
+    return cut(docs.join(small(known, n), "doc_id").drop("doc_id"))
+
+
+def _perhaps(docs: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """The rows of `docs` whose doc_id has its bit in bitmaps of the known ids' hashes: all labelled ones and some others.
+
+    So few texts but those that are learnt from are shuffled to meet a long table of labels.
+    """
+    maps = -(-min(n * BITS_PER_ID, runtime.BROADCAST_BYTES * 8) // MAP_BITS)
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(maps * MAP_BITS))
+    map_no, bit = F.floor(slot / MAP_BITS), slot % MAP_BITS
+    bits = known.groupBy(map_no.alias("_map")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.join(F.broadcast(bits), map_no == F.col("_map")).where(there).drop("_map", "_bits")
 
 
 class _Remembered(dict):
     """What a function gives for a word, for a bounded number of words."""
 
-    def __init__(self, work: Callable[[bytes], object]):
-        self.work = work
+    def __init__(self, work: Callable[[bytes], object], most: int = COUNTED_WORDS):
+        self.work, self.most = work, most
 
     def __missing__(self, word: bytes) -> object:
-        if len(self) >= COUNTED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         made = self.work(word)
         if len(word) <= WORD_BYTES:
@@ -176,66 +205,148 @@ def _fragments(word: bytes) -> set[bytes]:
     return {x[i : i + size] for size in SIZES for i in range(len(x) - size + 1)}
 
 
-def _contents(rows: DataFrame) -> tuple[bytes, bytes]:
-    """Train both dictionaries.
+def _contents(rows: DataFrame) -> tuple[tuple[bytes, bytes], tuple[bytes, bytes]]:
+    """Train both dictionaries, once on the rows of part 0 and once on all rows.
 
     Fragments of a few bytes are weighed by the documents of each label that have them. The
     toxic content is made of the parts of toxic documents' words that the strongest fragments
     cover, the ordinary one of ordinary documents' frequent words without such fragments; the
-    most frequent stand last, where matches cost least.
+    most frequent stand last, where matches cost least. Each pass over the texts serves both trainings.
     """
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return b"", b""
+    n = np.zeros((2, 2), int)
+    for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect():
+        n[r.part :, r.toxic] += r.n
+    if not n[1].all():
+        return (b"", b""), (b"", b"")
+    tops = _strongest(rows, n)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of ordinary rows every word by part, of toxic ones the covered parts of words by training
+        words, parts = (Counter(), Counter()), (Counter(), Counter())
+        covered = _Remembered(lambda word: [_covered(b" " + word + b" ", top) for top in tops])
+
+        def counted() -> pa.RecordBatch:
+            plain = (Counter(), Counter())
+            for word in words[0].keys() | words[1].keys():
+                numbers = words[0][word], words[0][word] + words[1][word]
+                for k, top in enumerate(tops):
+                    if numbers[k] and not _covered(b" " + word + b" ", top):
+                        plain[k][b" " + word + b" "] = numbers[k]
+            return _batch((*plain, *parts), ("b0", "b1", "a0", "a1"))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        fragments = _Remembered(_fragments)
         for batch in steps(batches):
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[toxic].update(set().union(*map(fragments.__getitem__, set(lowered(text).split()))))
-            if len(counts[0]) + len(counts[1]) > COUNTED:
-                yield _pairs(counts)
-                counts = (Counter(), Counter())
-        yield _pairs(counts)
+            for toxic, part, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "part", "text")), strict=True):
+                distinct = set(lowered(text).split())
+                if toxic:
+                    for found in map(covered.__getitem__, distinct):
+                        for k in range(part, 2):
+                            parts[k].update(found[k])
+                else:
+                    words[part].update(w for w in distinct if len(w) <= WORD_BYTES)
+            if sum(map(len, words)) > COUNTED:
+                yield counted()
+                words, parts = (Counter(), Counter()), (Counter(), Counter())
+        yield counted()
+
+    counted = rows.mapInArrow(sample, "item binary, b0 bigint, b1 bigint, a0 bigint, a1 bigint").groupBy("item")
+    items = cut(counted.agg(*(F.sum(c).alias(c) for c in ("b0", "b1", "a0", "a1"))))
+    out = []
+    for k in range(2):
+        pair = [b"", b""]
+        for i, (column, limit) in enumerate((("a", TOXIC_BYTES), ("b", ORDINARY_BYTES))):
+            if n[k].all():
+                for r in items.where(F.col(f"{column}{k}") > 0).orderBy(F.desc(f"{column}{k}"), "item").limit(limit // min(SIZES)).collect():
+                    if len(pair[i]) + len(r.item) <= limit:
+                        pair[i] = bytes(r.item) + pair[i]
+        out.append((pair[0], pair[1]))
+    return out[0], out[1]
 
-    grams = rows.mapInArrow(weigh, "item binary, ordinary bigint, toxic bigint").groupBy("item")
-    grams = grams.agg(F.sum("ordinary").alias("b"), F.sum("toxic").alias("a"))
-    odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
-    strong = grams.withColumn("odds", odds).where((F.col("a") >= MIN_ROWS) & (F.col("odds") > MIN_LOG_ODDS))
-    top = {bytes(r.item) for r in strong.orderBy(F.desc(F.col("a") * F.col("odds")), "item").limit(FRAGMENTS).collect()}
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strongest(rows: DataFrame, n: np.ndarray) -> list[set[bytes]]:
+    """For each training the FRAGMENTS fragments with the largest product of toxic rows and log odds.
+
+    Toxic rows come first, they are few. A fragment's toxic rows bound its product, so it suffices
+    to count in the ordinary rows the FIRST ones by toxic rows and those whose bound reaches the weakest of
+    the strongest so far: a fragment in fewer toxic rows than needed is never counted there.
+    """
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        covered = _Remembered(lambda word: _covered(b" " + word + b" ", top))
+        fragments = _Remembered(_fragments)
         for batch in steps(batches):
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word in set(lowered(text).split()):
-                    parts = covered[word]
-                    if toxic:
-                        counts[1].update(parts)
-                    elif not parts and len(word) <= WORD_BYTES:
-                        counts[0][b" " + word + b" "] += 1
-            if len(counts[0]) > COUNTED:
-                yield _pairs(counts)
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts[part].update(set().union(*map(fragments.__getitem__, set(lowered(text).split()))))
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield _batch(counts, ("n0", "n1"))
                 counts = (Counter(), Counter())
-        yield _pairs(counts)
+        yield _batch(counts, ("n0", "n1"))
+
+    schema = "item binary, n0 bigint, n1 bigint"
+
+    def summed(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("item").agg(F.sum("n0").alias(f"{name}0"), F.sum(F.col("n0") + F.col("n1")).alias(f"{name}1"))
+
+    def product(k: int, b: Column) -> tuple[Column, Column]:
+        odds = F.log((F.col(f"a{k}") + 0.5) / (n[k, 1].item() + 1)) - F.log((b + 0.5) / (n[k, 0].item() + 1))
+        return F.col(f"a{k}") * odds, (F.col(f"a{k}") >= MIN_ROWS) & (odds > MIN_LOG_ODDS)
+
+    ordinary = rows.where("toxic = 0").select("part", "text")
+    toxic = summed(rows.where("toxic = 1").select("part", "text").mapInArrow(weigh, schema), "a")
+    toxic = cut(toxic.where(F.col("a1") >= MIN_ROWS))
+    first = {bytes(r.item) for k in range(2) for r in toxic.orderBy(F.desc(f"a{k}"), "item").limit(FIRST).collect()}
+    counted = _in_ordinary(ordinary, sorted(first))
+    grams = toxic.join(F.broadcast(counted), "item")
+
+    def best(k: int) -> list:
+        weight, strong = product(k, F.col(f"b{k}"))
+        return grams.where(strong).select("item", weight.alias("weight")).orderBy(F.desc("weight"), "item").limit(FRAGMENTS).collect()
+
+    tops = [best(k) for k in range(2)]
+    may = F.lit(False)
+    for k, top in enumerate(tops):
+        weight, strong = product(k, F.lit(0))
+        # the margin keeps a fragment that only rounding would rule out
+        may = may | (strong & (weight >= (top[-1].weight * (1 - 1e-9) if len(top) == FRAGMENTS else 0.0)))
+    rest = cut(toxic.join(F.broadcast(counted.select("item")), "item", "left_anti").where(may))
+    n_rest = rest.count()
+    if n_rest:
+        if n_rest <= FIRST:
+            counted = _in_ordinary(ordinary, sorted(bytes(r.item) for r in rest.select("item").collect()))
+        else:
+            counted = summed(ordinary.mapInArrow(weigh, schema).join(small(rest.select("item"), n_rest), "item", "left_semi"), "b")
+        more = rest.join(small(counted, min(n_rest, runtime.BROADCAST_ROWS + 1)), "item", "left").fillna(0, ["b0", "b1"])
+        grams = cut(grams.unionByName(more))
+        tops = [best(k) for k in range(2)]
+    return [{bytes(r.item) for r in top} for top in tops]
 
-    items = cut(rows.mapInArrow(sample, "item binary, ordinary bigint, toxic bigint").groupBy("item").agg(F.sum("ordinary").alias("b"), F.sum("toxic").alias("a")))
-    out = []
-    for column, limit in (("a", TOXIC_BYTES), ("b", ORDINARY_BYTES)):
-        content = b""
-        for r in items.where(F.col(column) > 0).orderBy(F.desc(column), "item").limit(limit // min(SIZES)).collect():
-            if len(content) + len(r.item) <= limit:
-                content = bytes(r.item) + content
-        out.append(content)
-    return out[0], out[1]
 
+def _in_ordinary(ordinary: DataFrame, items: list[bytes]) -> DataFrame:
+    """(item, b0, b1): in how many rows of part 0 and of both parts each fragment stands; for a bounded number of them."""
+    spark = ordinary.sparkSession
+    shared = spark.sparkContext.broadcast(items)
 
-def _pairs(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
-    items = list(counts[0].keys() | counts[1].keys())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {item: i for i, item in enumerate(shared.value)}
+        counts = np.zeros((2, len(number)), np.int64)
+        known = _Remembered(lambda word: np.array([number[x] for x in _fragments(word) if x in number], np.int32), MEMORY_WORDS)
+        for batch in steps(batches):
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = [known[word] for word in set(lowered(text).split())]
+                if found:
+                    # a place that is named twice is raised once: rows are counted, not occurrences
+                    counts[part][np.concatenate(found)] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, *counts[:, at])], ["number", "n0", "n1"])
+
+    found = ordinary.mapInArrow(run, "number bigint, n0 bigint, n1 bigint").groupBy("number")
+    found = found.agg(F.sum("n0").alias("b0"), F.sum(F.col("n0") + F.col("n1")).alias("b1"))
+    table = spark.createDataFrame(pa.table({"number": pa.array(range(len(items)), pa.int64()), "item": pa.array(items, pa.binary())}))
+    return cut(table.join(found, "number", "left").fillna(0, ["b0", "b1"]).drop("number"))
+
+
+def _batch(counts: tuple[Counter, ...], names: tuple[str, ...]) -> pa.RecordBatch:
+    items = list(set().union(*counts))
     columns = [pa.array(items, pa.binary()), *(pa.array([c[i] for i in items], pa.int64()) for c in counts)]
-    return pa.RecordBatch.from_arrays(columns, ["item", "ordinary", "toxic"])
+    return pa.RecordBatch.from_arrays(columns, ["item", *names])
 
 
 def _covered(word: bytes, top: set[bytes]) -> list[bytes]:

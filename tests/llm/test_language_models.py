@@ -310,3 +310,44 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
     known = spark.range(21_000).selectExpr("id AS doc_id", "0 AS toxic")
     assert toxicity._labelled(docs, known).count() == 21_000
+
+
+@pytest.mark.parametrize("first, counted, most", [(1 << 15, 200_000, 200_000), (40, 30, 20), (400, 30, 0)])
+def test_toxicity_counts_equal_plain_ones(spark, labelled, monkeypatch, first, counted, most):
+    """Both trainings of one set of passes against plain counts, with few, some and all fragments counted in ordinary rows."""
+    monkeypatch.setattr(toxicity, "FIRST", first)
+    monkeypatch.setattr(toxicity, "COUNTED", counted)
+    monkeypatch.setattr(toxicity.runtime, "BROADCAST_ROWS", most)
+    docs, labels = labelled
+    texts = docs.where("doc_id < 400").dropDuplicates(["doc_id"])
+    known = labels.where("toxic IS NOT NULL").selectExpr("doc_id", "toxic", "CAST(doc_id % 3 = 0 AS INT) AS part")
+    rows = toxicity._labelled(texts.select("doc_id", "text"), known)
+    plain = [(r.toxic, r.part, toxicity.lowered(r.text).split()) for r in rows.collect()]
+    assert len(plain) == known.count()
+    for got, most_part in zip(toxicity._contents(rows), (0, 1), strict=True):
+        mine = [(t, set(words)) for t, part, words in plain if part <= most_part]
+        n = [sum(t == label for t, _ in mine) for label in (0, 1)]
+        counts = [toxicity.Counter(x for t, words in mine if t == label for x in set().union(*map(toxicity._fragments, words))) for label in (0, 1)]
+        weights = {}
+        for x, a in counts[1].items():
+            odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((counts[0][x] + 0.5) / (n[0] + 1))
+            if a >= toxicity.MIN_ROWS and odds > toxicity.MIN_LOG_ODDS:
+                weights[x] = round(a * odds, 9)
+        top = set(sorted(weights, key=lambda x: (-weights[x], x))[: toxicity.FRAGMENTS])
+        parts = toxicity.Counter(p for t, words in mine if t for w in words for p in toxicity._covered(b" " + w + b" ", top))
+        frequent = toxicity.Counter(b" " + w + b" " for t, words in mine if not t for w in words if not toxicity._covered(b" " + w + b" ", top))
+        for content, items, limit in zip(got, (parts, frequent), (toxicity.TOXIC_BYTES, toxicity.ORDINARY_BYTES), strict=True):
+            want = b""
+            for x in sorted(items, key=lambda x: (-items[x], x))[: limit // min(toxicity.SIZES)]:
+                want = x + want if len(want) + len(x) <= limit else want
+            assert content == want
+
+
+def test_toxicity_shuffles_few_texts_without_labels(spark, monkeypatch):
+    """Beyond a broadcast, bitmaps of the ids keep all labelled rows and few of the others, so their texts are not shuffled."""
+    docs = spark.range(40_000).selectExpr("id * 7919 - 5 AS doc_id", "CAST(id AS STRING) AS text")
+    known = docs.where("text % 5 = 0").selectExpr("doc_id", "CAST(text % 2 AS INT) AS toxic")
+    monkeypatch.setattr(toxicity.runtime, "BROADCAST_ROWS", 100)
+    assert toxicity._labelled(docs, known).count() == 8_000
+    perhaps = toxicity._perhaps(docs, known, 8_000)
+    assert perhaps.join(known, "doc_id").count() == 8_000 and perhaps.count() < 8_000 + 0.2 * 32_000
