@@ -136,3 +136,38 @@ def test_a_broken_save_leaves_the_bundle_before(spark, tmp_path, monkeypatch):
         models.save_models(spark, worse, folder)
     assert models.load_models(spark, folder).kmeans == worse.kmeans
     assert len(list((tmp_path / "bundle" / "manifests").iterdir())) == 2
+
+
+@pytest.mark.parametrize("size,k", [(2, 9), (4, 3)])
+def test_kmeans_rounds_read_only_points_that_may_change_sides(spark, monkeypatch, size, k):
+    """Rounds over ever smaller tables end on the centres of plain rounds, as soon as no point changes sides."""
+    random = np.random.default_rng(size)
+    points = random.normal(0, 1, (6000, size))
+    points[:500] = points[0]
+    names = [f"c{i}" for i in range(size)]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(centres, "CAPACITY", 16)
+    read, plain = [], centres._totals
+
+    def totals(rows, *args):
+        read.append(rows.selectExpr("sum(size(pids))").first()[0])
+        return plain(rows, *args)
+
+    monkeypatch.setattr(centres, "_totals", totals)
+    start = points[500 : 500 + k].tolist()
+    got, found = centres.kmeans(df, names, k, start=start, rounds=60, tolerance=0.0)
+    label, centre = _lloyd(points, start, len(read))
+    np.testing.assert_allclose(found.values, centre, atol=1e-9)
+    np.testing.assert_allclose(
+        sorted(tuple(r) for r in got.collect()), sorted((*map(float, p), int(c)) for p, c in zip(points, label, strict=True))
+    )
+    assert read[0] == 5501 and min(read) < 5501 / 4
+
+
+def test_kmeans_tiles_hold_neighbours():
+    random = np.random.default_rng(3)
+    keys = np.sort(np.concatenate([random.integers(0, 1 << 60, 3000), np.full(1000, 77)]))
+    ends = centres._tile_ends(keys)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == 4000 and 0 < sizes.min() and sizes.max() <= centres.CAPACITY
+    assert centres._tile_ends(keys[:0]) == []
