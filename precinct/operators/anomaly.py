@@ -110,28 +110,31 @@ def score(df: DataFrame, names: list[str], nodes: DataFrame) -> DataFrame:
         cells[place] = table[column].to_numpy()
         return cells
 
-    # bounded by trees × 511 nodes
+    # all trees in one row of cells, bounded by trees × 511 nodes; a leaf's children are the leaf itself
+    split = grid("feature", int).ravel()
+    inner, own = split >= 0, np.arange(trees * width)
+    first = own - own % width
+    kids = np.column_stack([np.where(inner, first + grid(side, int).ravel(), own) for side in ("right", "left")])
+    steps, reached = 0, first[::width]
+    while (inside := reached[inner[reached]]).size:
+        steps, reached = steps + 1, kids[inside].ravel()
     forest = df.sparkSession.sparkContext.broadcast(
-        (grid("feature", int), grid("threshold", float), grid("left", int), grid("right", int), grid("length", float))
+        (np.maximum(split, 0), grid("threshold", float).ravel(), kids.ravel(), grid("length", float).ravel())
     )
 
     def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, threshold, left, right, length = forest.value
+        feature, threshold, kids, length = forest.value
         for columns in batches:
             points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            at_row = np.arange(len(points))
+            row, flat = np.arange(len(points)) * len(columns), points.ravel()
             total = np.zeros(len(points))
-            for tree in range(len(feature)):
-                node = np.zeros(len(points), dtype=int)
-                while True:
-                    split = feature[tree][node]
-                    inner = split >= 0
-                    if not inner.any():
-                        break
-                    lower = points[at_row, np.maximum(split, 0)] <= threshold[tree][node]
-                    node = np.where(inner, np.where(lower, left[tree][node], right[tree][node]), node)
-                total += length[tree][node]
-            yield pd.Series(-np.exp2(-total / len(feature) / scale))
+            for tree in range(trees):
+                node = np.full(len(points), tree * width)
+                for _ in range(steps):
+                    lower = flat.take(row + feature.take(node)) <= threshold.take(node)
+                    node = kids.take(2 * node + lower)
+                total += length.take(node)
+            yield pd.Series(-np.exp2(-total / trees / scale))
 
     return df.withColumn("score", F.pandas_udf(scored, "double")(*names))
 

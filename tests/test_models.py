@@ -198,3 +198,21 @@ def test_quantiles_narrow_their_bracket(spark, few_values):
     for q in (0.0, 0.1, 0.31, 0.5, 0.999, 1.0):
         got = df.limit(1).select(quantile(df, "v", q, accuracy=100, few_values=few_values).scalar().alias("q")).first().q
         assert got == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
+def test_forest_scores_equal_plain_walks(spark):
+    """Trees of very different depths, with rows beyond all thresholds and ones without a number."""
+    random = np.random.default_rng(8)
+    points = np.concatenate([random.normal(0, 1, (300, 3)), np.zeros((300, 3)), [[1e9, -1e9, 0.0], [float("nan"), 0.0, 0.0]]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id int, a double, b double, c double")
+    nodes = anomaly.fit_forest(df.where("id < 600"), "id", ["a", "b", "c"], trees=20)
+    table = {(r.tree, r.node): r for r in nodes.collect()}
+    scale = anomaly.average_length(256)
+    for r in anomaly.score(df, ["a", "b", "c"], nodes).collect():
+        total = 0.0
+        for tree in range(20):
+            at = table[tree, 0]
+            while at.feature >= 0:
+                at = table[tree, at.left if r[1 + at.feature] <= at.threshold else at.right]
+            total += at.length
+        assert abs(r.score + 2 ** (-total / 20 / scale)) < 1e-12
