@@ -29,10 +29,15 @@ NONE = np.int32(2**31 - 1)  # the rank of a pair that never merges
 # through a heap with the same order of merges instead.
 MATRIX_BYTES = 128
 
-# Words that a task remembers (in two generations, so twice as many at most), and the longest word that it remembers.
-MEMORY_WORDS = 300_000
+# Words that make a task begin a new generation of those it remembers (it keeps two, each with a step's words more at
+# most), and the longest word that it remembers.
+MEMORY_WORDS = 200_000
 MEMORY_CHARS = 64
 
+# Bytes of text that a task encodes at a time, and new words that it splits and merges at a time.
+STEP_BYTES = 4 << 20
+NEW_WORDS = 1 << 15
+
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 send_to_workers(__name__)
@@ -223,20 +228,28 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [self._words(t) for t in texts]
+        # texts are cut twice, since all their words at once take some ten times their bytes
+        words: set[str] = set()
+        for text in texts:
+            words.update(self._words(text))
         if len(self.memory) > MEMORY_WORDS:
             self.memory, self.older = {}, self.memory
-        new = {w for row in words for w in row} - self.memory.keys()
-        self.memory.update((w, self.older[w]) for w in new & self.older.keys())
-        new = list(new - self.older.keys())
-        split = [self.split(w) for w in new]
+        words -= self.memory.keys()
+        self.memory.update((w, self.older[w]) for w in words & self.older.keys())
+        new, long = list(words - self.older.keys()), {}
+        del words
+        for start in range(0, len(new), NEW_WORDS):
+            for w, ids in self._merged(new[start : start + NEW_WORDS]):
+                (self.memory if len(w) <= MEMORY_CHARS else long)[w] = ids
+        known = ChainMap(self.memory, long) if long else self.memory
+        return [b"".join(map(known.__getitem__, self._words(t))) for t in texts]
+
+    def _merged(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids."""
+        split = [self.split(w) for w in words]
         pieces = list({p for row in split for p in row})
         ids_of = dict(zip(pieces, encode_pieces([p.encode() for p in pieces], self.ranks), strict=True))
-        found = {w: b"".join(map(ids_of.__getitem__, row)) for w, row in zip(new, split, strict=True)}
-        self.memory.update((w, ids) for w, ids in found.items() if len(w) <= MEMORY_CHARS)
-        long = {w: ids for w, ids in found.items() if len(w) > MEMORY_CHARS}
-        known = ChainMap(self.memory, long) if long else self.memory
-        return [b"".join(map(known.__getitem__, row)) for row in words]
+        return ((w, b"".join(map(ids_of.__getitem__, row))) for w, row in zip(words, split, strict=True))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
@@ -264,7 +277,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = in_worker(("bpe", path, pattern), lambda: Coder(lines.value, pattern))
-        for batch in steps(batches):
+        for batch in steps(batches, size=STEP_BYTES):
             ids = coder.encode(batch.column(1).to_pylist())
             plain = [coder.decode(i) for i in ids]
             out = {
@@ -275,7 +288,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             }
             if with_ids:
                 out["ids"] = pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in ids], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_pydict(out)
+            out = pa.RecordBatch.from_pydict(out)
+            del ids, plain
+            yield out
 
     schema = f"doc_id bigint, {SCHEMA}" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -32,16 +32,16 @@ def lowered(text: str | None) -> bytes:
     return text.encode().lower() if text else b""
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of a bounded number of text bytes, at least one row each."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
-        for i, size in enumerate(sizes):
-            if i > start and total + size > STEP_BYTES:
+        for i, own in enumerate(sizes):
+            if i > start and total + own > size:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
-            total += size
+            total += own
         if start < len(sizes):
             yield batch.slice(start)
 

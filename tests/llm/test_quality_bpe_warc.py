@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -88,6 +89,34 @@ def test_bpe_long_pieces_and_matrix_agree():
         assert bpe._matrix([piece], width, ranks) == [bpe._long_piece(piece, ranks)]
 
 
+def test_bpe_holds_no_words_of_all_texts():
+    """A step holds its distinct words and the ids, not an object for each word that stands in it."""
+    coder = bpe.Coder(bpe.rank_lines(None, TOKENIZER), public_tokenizers.PATTERN)
+    texts = [" ".join(f"w{(i * k) % 997}" for i in range(5000)) for k in range(1, 41)]
+    plain = [t.encode() for t in texts]
+    tracemalloc.start()
+    try:
+        ids = coder.encode(texts)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [coder.decode(i) for i in ids] == plain
+    assert held < 2 * sum(map(len, ids)) + 4_000_000
+
+
+def test_bpe_generations(monkeypatch):
+    """Words that are forgotten, kept over a generation, too long to keep or in several portions get the same ids."""
+    lines = bpe.rank_lines(None, TOKENIZER)
+    texts = [" ".join([f"word{i % 7}", f"rare{i}", "x" * 70, f"é{i % 50}  two"]) for i in range(300)]
+    want = bpe.Coder(lines, public_tokenizers.PATTERN).encode(texts)
+    monkeypatch.setattr(bpe, "MEMORY_WORDS", 20)
+    monkeypatch.setattr(bpe, "NEW_WORDS", 3)
+    coder = bpe.Coder(lines, public_tokenizers.PATTERN)
+    got = [coder.encode(texts[start : start + 10]) for start in range(0, 300, 10)]
+    assert [i for part in got for i in part] == want
+    assert len(coder.memory) < 60 and len(coder.older) < 60
+
+
 A, B = "<p>" + "copy " * 400, "é" * 100_000
 PAGES = [
     (1, "http://a/1", A, "x"), (2, "http://a/\r\n2", A, "x"), (9, None, A, "x"), (3, "http://b", B, "x"), (4, "u", B, "x"),
