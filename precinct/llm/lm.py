@@ -16,9 +16,9 @@ just the grams it holds, as arrays in the order of its own grams.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,9 @@ FOLDS, HELD_OUT = 7, 2
 # Text bytes whose grams fill one bucket, on average.
 BUCKET = 2 << 20
 
-# Grams that are summed at once, and grams (or those of one context of MIDDLE bytes) whose nodes are worked out at once.
+# Occurrences of grams that are sorted at once, grams that are summed at once, and grams (or those of one context of MIDDLE
+# bytes) whose nodes are worked out at once.
+SORTED = 1 << 22
 MERGE = 1 << 20
 NODES = 1 << 16
 
@@ -222,6 +224,31 @@ def _words_by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
     return out
 
 
+def _tallied(marked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct turned grams and their training counts, of grams with a lowest bit that is 1 in training texts."""
+    keys = np.concatenate([np.zeros(0, np.int64), *marked])
+    marked.clear()
+    keys.sort()
+    begins = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+    return keys[begins] >> 1, np.add.reduceat(keys & 1, begins) if len(begins) else keys
+
+
+def _numbered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each gram among the sorted distinct ones, and these."""
+    order = np.argsort(grams)
+    begins = np.diff(grams[order], prepend=-1) != 0
+    codes = np.empty(len(grams), np.int32)
+    codes[order] = np.cumsum(begins) - 1
+    return codes, grams[order[begins]]
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The sorted distinct values of some arrays."""
+    keys = np.concatenate(parts)
+    keys.sort()
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
     keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in parts)])
@@ -343,24 +370,23 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("is_gram", pa.bool_()), ("items", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, grams, tokens = None, [], Counter()
+        block, grams, marked, tokens = None, [], [], Counter()
         for batch in steps(batches):
             for own, rows in _by_block(batch):
                 if own != block and block is not None:
-                    yield from _counts(block, grams, tokens, buckets, schema)
+                    yield from _counts(block, [*grams, _tallied(marked)], tokens, buckets, schema)
                     grams, tokens = [], Counter()
                 block = own
                 for known in (True, False):
                     for part in _parts((i, t) for i, t in rows if (crc_of(i) % FOLDS != HELD_OUT) == known):
-                        codes, distinct = pd.factorize(grams_of([t for *_, t in part])[0])
-                        grams.append((_turned(distinct), np.bincount(codes) * int(known)))
-                        words = Counter(chain.from_iterable(w for _, w, _ in part))
-                        words[b""] = len(part)
+                        marked.append(_turned(grams_of([t for *_, t in part])[0]) << 1 | int(known))
+                        if sum(map(len, marked)) >= SORTED:
+                            grams.append(_tallied(marked))
+                        # the end mark counts once a text
+                        words = chain(chain.from_iterable(w for _, w, _ in part), (b"" for _ in part))
                         tokens.update(words if known else dict.fromkeys(words, 0))
-                        if len(grams) > 8:
-                            grams = [_merged(grams)]
         if block is not None:
-            yield from _counts(block, grams, tokens, buckets, schema)
+            yield from _counts(block, [*grams, _tallied(marked)], tokens, buckets, schema)
 
     return _blocks(docs).mapInArrow(run, "block bigint, bucket bigint, is_gram boolean, items binary, n binary")
 
@@ -425,15 +451,15 @@ def scored(docs: DataFrame) -> DataFrame:
         is_gram = right["is_gram"].to_numpy(bool)
         ids = left["doc_id"].astype(object).where(left["doc_id"].notna(), None)
         # words by number, the end mark first
-        parts, number_of = [], {b"": 0}
+        parts, number_of = [], defaultdict(count().__next__)
+        number_of[b""]
         for part in _parts(zip(ids, left["text"], strict=True)):
             own, begins = grams_of([t for *_, t in part])
-            codes, distinct = pd.factorize(own)
             texts = [(None if i is None else int(i), len(w) + 1, len(t)) for i, w, t in part]
-            words = np.array([number_of.setdefault(w, len(number_of)) for _, ws, _ in part for w in (*ws, b"")], np.int32)
-            parts.append((texts, words, begins, codes.astype(np.int32), _turned(distinct)))
+            words = np.fromiter(map(number_of.__getitem__, chain.from_iterable((*w, b"") for _, w, _ in part)), np.int32)
+            parts.append((texts, words, begins, *_numbered(_turned(own))))
         # the block's grams and words in the order in which they were counted
-        keys = np.unique(np.concatenate([p[-1] for p in parts]))
+        keys = _distinct([p[-1] for p in parts])
         values = np.empty(len(keys))
         sent = np.concatenate([unpack(x) for x in right["values"][is_gram]])
         distinct_words = _words_by_bucket(number_of, buckets)

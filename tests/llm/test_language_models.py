@@ -269,6 +269,31 @@ def test_scores(spark, monkeypatch):
     assert lm.scored(docs.where("false")).count() == 0
 
 
+def test_grams_by_sorting():
+    """Training counts from marked grams sorted in several portions, and numbers of grams, against plain counts."""
+    rng = np.random.default_rng(5)
+    portions = [(rng.integers(0, 1 << 56, 40)[rng.integers(0, 40, n)], rng.integers(0, 2, n)) for n in (500, 300, 1, 0)]
+    keys, n = lm._merged([lm._tallied([g << 1 | known]) for g, known in portions])
+    want = {}
+    for g, known in portions:
+        for x, k in zip(g.tolist(), known.tolist(), strict=True):
+            want[x] = want.get(x, 0) + k
+    assert list(zip(keys.tolist(), n.tolist(), strict=True)) == sorted(want.items())
+    numbered = [lm._numbered(g) for g, _ in portions]
+    assert all((distinct[codes] == g).all() for (codes, distinct), (g, _) in zip(numbered, portions, strict=True))
+    assert (lm._distinct([distinct for _, distinct in numbered]) == keys).all()
+
+
+def test_blocks_sorted_in_portions(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, _words(rng, 80, 40)) for i in range(40)], "doc_id bigint, text string").coalesce(1)
+    whole = sorted(map(tuple, lm.scored(docs).collect()))
+    monkeypatch.setattr(lm, "PART_BYTES", 300)
+    monkeypatch.setattr(lm, "SORTED", 1000)
+    for got, want in zip(sorted(map(tuple, lm.scored(docs).collect())), whole, strict=True):
+        assert got == pytest.approx(want)
+
+
 def test_contexts_beyond_four_bytes(spark):
     """A byte that only the fifth and sixth byte before it tell is learnt, over several buckets as over one."""
     rng = random.Random(9)
