@@ -16,13 +16,13 @@ just the grams it holds, as arrays in the order of its own grams.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -50,9 +50,12 @@ NODES = 1 << 16
 # Parts of a log10 probability that are sent; a byte's error is half of one at most.
 PARTS = float(1 << 32)
 
-# Text bytes of one block of documents, and of one step of counting.
+# Text bytes of one block of documents, and of one step of counting or scoring.
 BLOCK_BYTES = 8 << 20
-PART_BYTES = 512 << 10
+PART_BYTES = 1 << 20
+
+# Texts of one step of scoring: a gram of seven bytes and the number of its text are one 64-bit number.
+OWNERS = 256
 
 LN2 = float(np.log(2.0))
 
@@ -102,6 +105,22 @@ def coded(text: str | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + END
 
 
+def coded_column(texts: pa.Array) -> tuple[pa.Array, np.ndarray, list[bytes]]:
+    """The words of a column of texts one after another, how many each text has, and the bytes that are scored, as `coded` gives them."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))))
+    ended = pc.binary_join_element_wise(pc.binary_join(words, " "), END.decode(), "").cast(pa.binary()).to_pylist()
+    sizes, words = pc.list_value_length(words).to_numpy().astype(np.int64), words.flatten().cast(pa.binary())
+    # a text without words is split into one empty word
+    sizes[np.array([t == END for t in ended], bool)] = 0
+    return words.filter(pc.not_equal(words, b"")), sizes, ended
+
+
+def _coded_words(parts: list[pa.Array]) -> tuple[list[np.ndarray], pa.Array]:
+    """The numbers of the words of some arrays, and the distinct ones by number; the end mark is number 0."""
+    words = pa.concat_arrays([pa.array([b""], pa.binary()), *parts]).dictionary_encode()
+    return np.split(words.indices.to_numpy()[1:], np.cumsum([len(p) for p in parts])[:-1]), words.dictionary
+
+
 def _expanded(grams: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys (context, decision) and bits of the eight decisions of each gram."""
     symbol = grams & 255
@@ -116,10 +135,10 @@ class Level:
     """The nodes of one depth: sorted keys, counts, own and weighted log probabilities."""
 
     def __init__(self, keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None):
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.n0, self.n1 = (np.bincount(at.ravel(), x.ravel(), len(self.keys)) for x in (n0, n1))
+        at, self.keys = _numbered(keys.ravel())
+        self.n0, self.n1 = (np.bincount(at, x.ravel(), len(self.keys)) for x in (n0, n1))
         self.own = kt(self.n0, self.n1)
-        self.weighted = self.own if below is None else mixed(self.own, np.bincount(at.ravel(), below.ravel(), len(self.keys)))
+        self.weighted = self.own if below is None else mixed(self.own, np.bincount(at, below.ravel(), len(self.keys)))
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(chance of a one, weight of stopping here) at each key; a half each where nothing was seen."""
@@ -216,12 +235,20 @@ def _by_bucket(turned: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, own, begins
 
 
-def _words_by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    """Sorted words by bucket."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(words):
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return out
+def _words_by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of distinct words by bucket and then by their bytes, the buckets there are, and where each begins."""
+    of = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % buckets
+    order = pc.sort_indices(words).to_numpy()
+    order = order[np.argsort(of[order], kind="stable")]
+    own, begins = np.unique(of[order], return_index=True)
+    return order, own, begins
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Whether each of some sorted values is the first of its kind."""
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return first
 
 
 def _tallied(marked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,24 +256,38 @@ def _tallied(marked: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([np.zeros(0, np.int64), *marked])
     marked.clear()
     keys.sort()
-    begins = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
-    return keys[begins] >> 1, np.add.reduceat(keys & 1, begins) if len(begins) else keys
+    grams = keys >> 1
+    keys &= 1
+    begins = np.flatnonzero(_firsts(grams))
+    return grams[begins], np.add.reduceat(keys, begins) if len(begins) else keys
 
 
 def _numbered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The number of each gram among the sorted distinct ones, and these."""
     order = np.argsort(grams)
-    begins = np.diff(grams[order], prepend=-1) != 0
+    grams = grams[order]
+    first = _firsts(grams)
     codes = np.empty(len(grams), np.int32)
-    codes[order] = np.cumsum(begins) - 1
-    return codes, grams[order[begins]]
+    codes[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return codes, grams[first]
+
+
+def _owned(turned: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct turned grams of OWNERS texts at most, how often each stands, and the text of each occurrence, by gram."""
+    keys = turned.view(np.uint64) << np.uint64(8)
+    keys |= np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    keys.sort()
+    owners = keys.astype(np.uint8)
+    keys >>= np.uint64(8)
+    begins = np.flatnonzero(_firsts(keys))
+    return keys[begins].view(np.int64), np.diff(begins, append=len(keys)).astype(np.int32), owners
 
 
 def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     """The sorted distinct values of some arrays."""
     keys = np.concatenate(parts)
     keys.sort()
-    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+    return keys[_firsts(keys)]
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -331,35 +372,37 @@ def word_counts(held: DataFrame) -> DataFrame:
     """
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        total: Counter = Counter()
-        for packed, n in zip(pdf["items"], pdf["n"], strict=True):
-            for w, c in zip(zstandard.decompress(packed).split(b" "), unpack(n).tolist(), strict=True):
-                total[w] += c
-        values = [pack(np.array([total[w] for w in zstandard.decompress(packed).split(b" ")])) for packed in pdf["items"]]
-        sums = {"n": sum(total.values()), "v": sum(c > 0 for c in total.values())}
+        items = pa.array([zstandard.decompress(packed) for packed in pdf["items"]], pa.binary())
+        words = pc.split_pattern(items, b" ")
+        encoded = words.flatten().dictionary_encode()
+        codes, total = encoded.indices.to_numpy(), np.zeros(len(encoded.dictionary), np.int64)
+        np.add.at(total, codes, np.concatenate([unpack(n) for n in pdf["n"]]))
+        ends = pc.list_value_length(words).to_numpy().cumsum()
+        values = [pack(own) for own in np.split(total[codes], ends[:-1])]
+        sums = {"n": total.sum(), "v": (total > 0).sum()}
         first = np.arange(len(pdf)) == 0
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "values": values} | {k: x * first for k, x in sums.items()})
 
     return spread(held, "bucket").groupBy("bucket").applyInPandas(count, "block bigint, bucket bigint, values binary, n bigint, v bigint")
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, doc_id, text): blocks are stretches of a partition of about BLOCK_BYTES of text.
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, text) of a partition: blocks are stretches of it of about BLOCK_BYTES of text."""
+    read, first = 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        total = read + np.cumsum(sizes, dtype=np.int64)
+        read = int(total[-1]) if len(total) else read
+        yield pa.RecordBatch.from_arrays([pa.array(first + total // BLOCK_BYTES), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
 
-    Both uses run the same narrow plan over the same rows in the same order, so they agree; a
-    block without the chances it needs is an error.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, first = 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            total = read + np.cumsum(sizes, dtype=np.int64)
-            read = int(total[-1]) if len(total) else read
-            yield pa.RecordBatch.from_arrays([pa.array(first + total // BLOCK_BYTES), batch.column(0), batch.column(1)], ["block", "doc_id", "text"])
+def _read(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), read twice.
 
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "block bigint, doc_id bigint, text string")
+    Both uses of `_in_blocks` run on the same narrow plan over the same rows in the same order, so
+    they agree; a block without the chances it needs is an error.
+    """
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _counted(docs: DataFrame, buckets: int) -> DataFrame:
@@ -370,58 +413,55 @@ def _counted(docs: DataFrame, buckets: int) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("is_gram", pa.bool_()), ("items", pa.binary()), ("n", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, grams, marked, tokens = None, [], [], Counter()
-        for batch in steps(batches):
+        block, grams, marked, tokens = None, [], [], []
+        for batch in steps(_in_blocks(batches)):
             for own, rows in _by_block(batch):
                 if own != block and block is not None:
                     yield from _counts(block, [*grams, _tallied(marked)], tokens, buckets, schema)
-                    grams, tokens = [], Counter()
+                    grams, tokens = [], []
                 block = own
-                for known in (True, False):
-                    for part in _parts((i, t) for i, t in rows if (crc_of(i) % FOLDS != HELD_OUT) == known):
-                        marked.append(_turned(grams_of([t for *_, t in part])[0]) << 1 | int(known))
-                        if sum(map(len, marked)) >= SORTED:
-                            grams.append(_tallied(marked))
-                        # the end mark counts once a text
-                        words = chain(chain.from_iterable(w for _, w, _ in part), (b"" for _ in part))
-                        tokens.update(words if known else dict.fromkeys(words, 0))
+                for part in steps(iter([rows]), size=PART_BYTES):
+                    known = np.array([crc_of(i) % FOLDS != HELD_OUT for i in part.column("doc_id").to_pylist()])
+                    words, sizes, texts = coded_column(part.column("text"))
+                    turned = _turned(grams_of(texts)[0])
+                    turned <<= 1
+                    turned |= np.repeat(known, [len(t) for t in texts])
+                    marked.append(turned)
+                    if sum(map(len, marked)) >= SORTED:
+                        grams.append(_tallied(marked))
+                    tokens.append((words, np.repeat(known, sizes), int(known.sum())))
         if block is not None:
             yield from _counts(block, [*grams, _tallied(marked)], tokens, buckets, schema)
 
-    return _blocks(docs).mapInArrow(run, "block bigint, bucket bigint, is_gram boolean, items binary, n binary")
+    return _read(docs).mapInArrow(run, "block bigint, bucket bigint, is_gram boolean, items binary, n binary")
 
 
-def _parts(rows) -> Iterator[list[tuple]]:
-    """(doc_id, words, coded text) of (doc_id, text), in lists of about PART_BYTES."""
-    part, size = [], 0
-    for doc_id, text in rows:
-        part.append((doc_id, *coded(text)))
-        size += len(part[-1][2])
-        if size >= PART_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each block, for rows in the order of their blocks."""
+    blocks = batch.column("block").to_numpy()
+    begins = np.flatnonzero(_firsts(blocks))
+    for start, end in zip(begins.tolist(), [*begins[1:].tolist(), len(blocks)], strict=True):
+        yield int(blocks[start]), batch.slice(start, end - start)
 
 
-def _by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
-    blocks, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-    start = 0
-    for i in range(1, len(blocks) + 1):
-        if i == len(blocks) or blocks[i] != blocks[start]:
-            yield blocks[start], list(zip(ids[start:i], texts[start:i], strict=True))
-            start = i
-
-
-def _counts(block: int, grams: list, tokens: Counter, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _counts(block: int, grams: list, tokens: list, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     distinct, n = _merged(grams)
     order, own, begins = _by_bucket(distinct, buckets)
     rows = [
         (block, int(b), True, pack(np.diff(distinct[part], prepend=0)), pack(n[part]))
         for b, part in zip(own, np.split(order, begins[1:]), strict=True)
     ]
-    for b, words in _words_by_bucket(tokens, buckets).items():
-        rows.append((block, b, False, zstandard.compress(b" ".join(words), 1), pack(np.array([tokens[w] for w in words]))))
+    codes, words = _coded_words([w for w, *_ in tokens])
+    n = np.zeros(len(words), np.int64)
+    for c, (_, known, ends) in zip(codes, tokens, strict=True):
+        n += np.bincount(c[known], minlength=len(n))
+        # the end mark counts once a text
+        n[0] += ends
+    order, own, begins = _words_by_bucket(words, buckets)
+    ends = pa.array(np.append(begins, len(words)), pa.int32())
+    lists = pc.binary_join(pa.ListArray.from_arrays(ends, words.take(pa.array(order))), b" ").to_pylist()
+    for b, text, part in zip(own, lists, np.split(order, begins[1:]), strict=True):
+        rows.append((block, int(b), False, zstandard.compress(text, 1), pack(n[part])))
     for start in range(0, len(rows), 1000):
         columns = zip(*rows[start : start + 1000], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -446,43 +486,47 @@ def scored(docs: DataFrame) -> DataFrame:
     n, v = int(total.n), int(total.v)
     needed = grams.withColumn("is_gram", F.lit(True)).unionByName(words.drop("n", "v").withColumn("is_gram", F.lit(False)))
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("bucket")
-        is_gram = right["is_gram"].to_numpy(bool)
-        ids = left["doc_id"].astype(object).where(left["doc_id"].notna(), None)
-        # words by number, the end mark first
-        parts, number_of = [], defaultdict(count().__next__)
-        number_of[b""]
-        for part in _parts(zip(ids, left["text"], strict=True)):
-            own, begins = grams_of([t for *_, t in part])
-            texts = [(None if i is None else int(i), len(w) + 1, len(t)) for i, w, t in part]
-            words = np.fromiter(map(number_of.__getitem__, chain.from_iterable((*w, b"") for _, w, _ in part)), np.int32)
-            parts.append((texts, words, begins, *_numbered(_turned(own))))
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("bucket")
+        is_gram = right.column("is_gram").to_numpy()
+        sent, counts = (np.concatenate([unpack(x) for x in right.column("values").filter(pa.array(kind)).to_pylist()]) for kind in (is_gram, ~is_gram))
+        ids, words, sizes, lengths, parts = left.column("doc_id").to_pylist(), [], [], [], []
+        for batch in steps(iter(left.select(["text"]).to_batches()), size=PART_BYTES):
+            for start in range(0, batch.num_rows, OWNERS):
+                own, size, texts = coded_column(batch.slice(start, OWNERS).column("text"))
+                words.append(own)
+                sizes.append(size)
+                lengths.append(np.array([len(t) for t in texts]))
+                parts.append(_owned(_turned(grams_of(texts)[0]), lengths[-1]))
         # the block's grams and words in the order in which they were counted
-        keys = _distinct([p[-1] for p in parts])
-        values = np.empty(len(keys))
-        sent = np.concatenate([unpack(x) for x in right["values"][is_gram]])
-        distinct_words = _words_by_bucket(number_of, buckets)
-        counts = np.concatenate([unpack(x) for x in right["values"][~is_gram]])
-        if len(sent) != len(keys) or len(counts) != sum(map(len, distinct_words.values())):
+        keys = _distinct([p[0] for p in parts])
+        codes, distinct = _coded_words(words)
+        if len(sent) != len(keys) or len(counts) != len(distinct):
             raise RuntimeError("the documents changed between two reads of them")
+        values, count_of = np.empty(len(keys)), np.empty(len(counts), np.int64)
         values[_by_bucket(keys, buckets)[0]] = sent / -PARTS
-        count_of = np.empty(len(counts), np.int64)
-        count_of[[number_of[w] for b in sorted(distinct_words) for w in distinct_words[b]]] = counts
-        out: list[tuple] = []
-        for texts, words, begins, codes, distinct in parts:
-            sums = np.add.reduceat(values[np.searchsorted(keys, distinct)][codes], begins)
-            sizes = np.array([size for _, size, _ in texts])
-            starts, c = sizes.cumsum() - sizes, count_of[words]
-            base = np.add.reduceat(np.log10(c + 1) - np.log10(n + v + 1), starts)
-            seen = np.add.reduceat((c > 0).astype(np.int64), starts)
-            for (doc_id, size, length), p, b, k in zip(texts, sums.tolist(), base.tolist(), seen.tolist(), strict=True):
-                out.append((doc_id, crc_of(doc_id) % FOLDS == HELD_OUT, size, k, n, b, p, -p / np.log10(2) / length))
-        frame = pd.DataFrame(out, columns=columns)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
-
+        count_of[_words_by_bucket(distinct, buckets)[0]] = counts
+        sums = [
+            np.bincount(owners, np.repeat(values[np.searchsorted(keys, grams)], often), len(length))
+            for (grams, often, owners), length in zip(parts, lengths, strict=True)
+        ]
+        p, length, size = (np.concatenate(x) for x in (sums, lengths, sizes))
+        # the end mark stands behind each text's words
+        c = np.insert(count_of[np.concatenate(codes)], size.cumsum(), count_of[0])
+        size += 1
+        starts = size.cumsum() - size
+        base = np.add.reduceat(np.log10(c + 1) - np.log10(n + v + 1), starts)
+        seen = np.add.reduceat((c > 0).astype(np.int64), starts)
+        held_out = [crc_of(i) % FOLDS == HELD_OUT for i in ids]
+        columns = [ids, held_out, size, seen, np.full(len(ids), n), base, p, -p / np.log10(2) / length]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
+
+    fields = pa.schema(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_())]
+        + [(k, pa.int64()) for k in ("n_tokens", "n_known", "train_tokens")]
+        + [(k, pa.float64()) for k in ("base_score", "score", "bits_per_byte")]
+    )
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    columns = [part.split()[0] for part in schema.split(", ")]
-    sides = (spread(x, "block").groupBy("block") for x in (_blocks(docs), needed))
-    return next(sides).cogroup(next(sides)).applyInPandas(score, schema)
+    blocks = _read(docs).mapInArrow(_in_blocks, "block bigint, doc_id bigint, text string")
+    sides = (spread(x, "block").groupBy("block") for x in (blocks, needed))
+    return next(sides).cogroup(next(sides)).applyInArrow(score, schema)

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -294,6 +295,42 @@ def test_blocks_sorted_in_portions(spark, monkeypatch):
         assert got == pytest.approx(want)
 
 
+def test_columns_are_coded_like_texts():
+    """Words and coded bytes of a column against the plain ones, white space of all kinds and letters beyond ASCII among them."""
+    texts = [None, "", " \t\x0b\x0c\r\n", "One", " TWO  words\n", "\x1c\x85\u00a0 \u2003Ä ÉÀ\u0130", "a\x00b  \x7f", "x " * 300]
+    words, sizes, ended = lm.coded_column(pa.array(texts, pa.string()))
+    want = [lm.coded(t) for t in texts]
+    assert np.split(np.array(words.to_pylist(), object), sizes.cumsum()[:-1])[-1].tolist() == want[-1][0]
+    assert words.to_pylist() == [w for own, _ in want for w in own]
+    assert sizes.tolist() == [len(own) for own, _ in want] and ended == [t for _, t in want]
+    codes, distinct = lm._coded_words([words, words.slice(0, 0), words.slice(0, 3)])
+    assert distinct[0].as_py() == b"" and [distinct.take(pa.array(c)).to_pylist() for c in codes] == [words.to_pylist(), [], words.to_pylist()[:3]]
+    order, own, begins = lm._words_by_bucket(distinct, 3)
+    buckets = [[w.as_py() for w in distinct.take(pa.array(part))] for part in np.split(order, begins[1:])]
+    assert buckets == [sorted(w for w in distinct.to_pylist() if zlib.crc32(w) % 3 == b) for b in own]
+
+
+def test_grams_of_texts_by_one_sort():
+    """Grams of several texts, numbered with the text of each occurrence, against plain counts; the highest bits are in use."""
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 30, lm.OWNERS)
+    grams = rng.integers(0, 1 << 56, 50)[rng.integers(0, 50, sizes.sum())]
+    grams[:2] = (1 << 56) - 1
+    distinct, often, owners = lm._owned(grams, sizes)
+    got = sorted(zip(np.repeat(distinct, often).tolist(), owners.tolist(), strict=True))
+    assert got == sorted(zip(grams.tolist(), np.repeat(np.arange(lm.OWNERS), sizes).tolist(), strict=True))
+    assert distinct.tolist() == sorted(set(grams.tolist()))
+
+
+def test_more_texts_than_one_step_scores(spark):
+    """Texts of a block beyond OWNERS, equal ones and empty ones among them, score what they score in any other order."""
+    rng = random.Random(10)
+    rows = [(i, None if i % 97 == 0 else _words(rng, i % 7, 12)) for i in range(2 * lm.OWNERS + 30)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got, want = ({r.doc_id: tuple(r) for r in lm.scored(frame(x)).collect()} for x in (rows, rows[::-1]))
+    assert len(got) == len(rows) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
 def test_contexts_beyond_four_bytes(spark):
     """A byte that only the fifth and sixth byte before it tell is learnt, over several buckets as over one."""
     rng = random.Random(9)
