@@ -1,5 +1,6 @@
 """Row identity through the models, k-means over tiles, and saved bundles."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from precinct.operators import anomaly, centres, features, models, risk, rows
 from precinct.operators.rows import ROW, identified
+from precinct.plans import model_queries
 from test_models import _recoveries, _thefts
 
 
@@ -47,6 +49,22 @@ def test_each_row_once_whatever_its_id(spark):
     assert outcome.metrics["n_training_samples"] == 122 - math.ceil(0.2 * 122)
 
 
+def test_kmeans_thefts_has_a_centre_for_each_hotspot(spark, tmp_path):
+    """Five places with six thefts each are five hotspots, so there are five centres."""
+    # strides apart in every feature of place
+    orders = [(41 * k, 7, dt.date(2024, 1, 1), 1000.0, "F", "1-URGENT") for k in range(1, 6) for _ in range(6)]
+    orders += [(1000 + k, 7, dt.date(2024, 2, 1), 50.0 * k, "O", "2-HIGH") for k in range(9)]
+    tables = {
+        "orders": (orders, "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string"),
+        "customer": ([(7, "c", "m", 10.0, 1)], "c_custkey bigint, c_name string, c_mktsegment string, c_acctbal double, c_nationkey int"),
+        "part": ([(0, "b", "p", 3, "t")], "p_partkey bigint, p_brand string, p_name string, p_size int, p_type string"),
+    }
+    for name, (rows_of, schema) in tables.items():
+        spark.createDataFrame(rows_of, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    labels = model_queries.kmeans_thefts(spark, str(tmp_path))
+    assert labels.count() == 39 and labels.select("kmeans_label").distinct().count() == 5
+
+
 def test_equal_seeds_draw_equal_samples_however_split(spark):
     df = _thefts(spark, 600).selectExpr("CAST(NULL AS STRING) AS id", "incident_lon AS a", "incident_lat AS b")
     drawn = [
