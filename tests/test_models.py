@@ -216,3 +216,13 @@ def test_forest_scores_equal_plain_walks(spark):
                 at = table[tree, at.left if r[1 + at.feature] <= at.threshold else at.right]
             total += at.length
         assert abs(r.score + 2 ** (-total / 20 / scale)) < 1e-12
+
+
+def test_few_and_many_clusters_measure_alike(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    rows = [(i, int(i % 9 - 1), float(random.normal(i % 9, 1)), float(random.normal(0, 1)) if i % 31 else None) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, 50, 3.0, 3.0)], "id int, dbscan_label int, x double, y double")
+    few = cluster.cluster_metrics(df, "id", ["x", "y"]).first()
+    monkeypatch.setattr(cluster, "FEW_CLUSTERS", 1)
+    many = cluster.cluster_metrics(df, "id", ["x", "y"]).first()
+    assert few[:3] == many[:3] == (9, pytest.approx(45 / 401), 401) and few.silhouette == pytest.approx(many.silhouette, abs=1e-12)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from precinct import runtime
-from precinct.operators import cluster, neighbours, tiles
+from precinct.operators import blocks, cluster, neighbours, tiles
 from precinct.operators.components import connected_components
 from precinct.runtime import attach
 
@@ -222,3 +222,22 @@ def test_dimensions_may_have_any_name(spark):
     got = neighbours.eps_neighbours(named, "id", ["value", "block"], 0.05).toPandas().sort_values("id")["n_neighbours"]
     want = neighbours.eps_neighbours(df, "id", ["d0", "d1"], 0.05).toPandas().sort_values("id")["n_neighbours"]
     assert list(got) == list(want)
+
+
+@pytest.mark.parametrize("dims,eps,min_samples,met", [(2, 0.05, 5, 1_000), (2, 0.002, 8, 4), (2, 0.9, 20, 3), (3, 0.2, 6, 1_000), (5, 0.4, 4, 5)])
+def test_many_blocks_equal_brute_force(spark, monkeypatch, dims, eps, min_samples, met):
+    """Links, border points and counts go across blocks and parts of blocks, and no tree of tiles is walked."""
+    for name, value in (("LEAST", 20), ("MOST", 20), ("CAPACITY", 6), ("OFTEN", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    monkeypatch.setattr(neighbours, "MET_TILES", met)
+    monkeypatch.setattr(tiles, "build", None)
+    points = np.random.default_rng(12).permutation(_skewed(5, 600, dims))
+    df, names = _frame(spark, points)
+    counted = neighbours.eps_neighbours(df, "id", names, eps).toPandas().sort_values("id")
+    want = ((((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)) <= eps * eps).sum(axis=1)
+    np.testing.assert_array_equal(counted["n_neighbours"].to_numpy(), want)
+    got = cluster.dbscan(df, "id", names, eps, min_samples).toPandas().sort_values("id")
+    np.testing.assert_array_equal(got["dbscan_label"].to_numpy(), _dbscan(points, eps, min_samples))
+    locs, root, plain = neighbours.places(df, "id", names)
+    table = blocks.lay(locs, root, plain, eps, met).table
+    assert len(table.ids) > 10 and (table.parts > 1).any() == (met < 1_000)
