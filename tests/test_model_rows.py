@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from precinct.operators import anomaly, centres, features, models, risk, rows
+from precinct.operators import anomaly, centres, features, models, risk, rows, tiles
 from precinct.operators.rows import ROW, identified
 from precinct.plans import model_queries
 from test_models import _recoveries, _thefts
@@ -189,3 +189,12 @@ def test_kmeans_tiles_hold_neighbours():
     sizes = np.diff([0, *ends])
     assert ends[-1] == 4000 and 0 < sizes.min() and sizes.max() <= centres.CAPACITY
     assert centres._tile_ends(keys[:0]) == []
+
+
+def test_clusters_of_many_features_need_no_tree(spark, monkeypatch):
+    """Density clusters and the silhouette of few clusters, as model_summary trains them, walk no tree of tiles."""
+    monkeypatch.setattr(tiles, "build", None)
+    trained = models.Trained()
+    made = features.theft_features(_thefts(spark, 40).unionByName(_thefts(spark, 9)).unionByName(_thefts(spark, 9)))
+    metrics = models.train_clusters(trained, "theft", made, min_samples=3).first()
+    assert (metrics.n_records, metrics.n_clusters) == (58, 9) and metrics.noise_ratio == pytest.approx(31 / 58)
